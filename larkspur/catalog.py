@@ -161,3 +161,156 @@ def q_knn_with_docs(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return (k.join(d, "doc_id")
             .select("query_id", "rank", "doc_id", r6("distance").alias("distance"), "n_chars"))
+
+
+# --------------------------------------------------------------------------
+# A1-A4, J11, T1, T2, U3 over the events table read as a request log
+# --------------------------------------------------------------------------
+
+N_RUNS = 8
+
+_LOG_SQL = f"""
+SELECT user_id % {N_RUNS} AS run, user_id, event_type, epoch_us(ts) / 1e6 AS timestamp,
+       event_type <> 'error' AS success, value AS latency_ms, props
+FROM events
+"""
+
+_SUMMARY_SQL = f"""
+WITH log AS ({_LOG_SQL}),
+g AS (
+  SELECT run, count(*) AS total_requests, count(*) FILTER (WHERE success) AS L,
+         min(timestamp) AS t0, max(timestamp) AS t1,
+         avg(latency_ms) FILTER (WHERE success) AS a,
+         min(latency_ms) FILTER (WHERE success) AS mn,
+         max(latency_ms) FILTER (WHERE success) AS mx
+  FROM log GROUP BY run),
+p AS (
+  SELECT *, (L + 1) // 2 AS m1, L // 2 + 1 AS m2,
+         CASE WHEN L <= 1 THEN 1 ELSE least(greatest((19 * (L + 1)) // 20, 1), L - 1) END AS j95,
+         CASE WHEN L <= 1 THEN 1 ELSE least(greatest((99 * (L + 1)) // 100, 1), L - 1) END AS j99
+  FROM g),
+s AS (SELECT run, latency_ms AS x,
+             row_number() OVER (PARTITION BY run ORDER BY latency_ms) AS r
+      FROM log WHERE success),
+v AS (
+  SELECT p.run,
+         max(x) FILTER (WHERE r = m1) AS xm1, max(x) FILTER (WHERE r = m2) AS xm2,
+         max(x) FILTER (WHERE r = j95) AS x95a, max(x) FILTER (WHERE r = least(j95 + 1, L)) AS x95b,
+         max(x) FILTER (WHERE r = j99) AS x99a, max(x) FILTER (WHERE r = least(j99 + 1, L)) AS x99b
+  FROM p JOIN s ON s.run = p.run GROUP BY p.run),
+q AS (
+  SELECT p.*, v.*,
+         19 * (L + 1) - j95 * 20 AS d95, 99 * (L + 1) - j99 * 100 AS d99,
+         CASE WHEN t1 - t0 > 0 THEN (t1 - t0) / 60.0 ELSE 1.0 / 60.0 END AS minutes
+  FROM p LEFT JOIN v ON v.run = p.run)
+SELECT run, total_requests, L AS successful, total_requests - L AS failed,
+  round(CASE WHEN L = 0 THEN 0.0 ELSE L / total_requests * 100.0 END, 6) AS success_rate,
+  round(CASE WHEN L = 0 THEN 0.0 ELSE L / minutes END, 6) AS throughput_req_per_min,
+  round(CASE WHEN L = 0 THEN 0.0 ELSE a END, 6) AS latency_avg_ms,
+  round(CASE WHEN L = 0 THEN 0.0 ELSE (xm1 + xm2) / 2.0 END, 6) AS latency_p50_ms,
+  round(CASE WHEN L = 0 THEN 0.0 WHEN L = 1 THEN x95a
+             ELSE (x95a * (20 - d95) + x95b * d95) / 20 END, 6) AS latency_p95_ms,
+  round(CASE WHEN L = 0 THEN 0.0 WHEN L = 1 THEN x99a
+             ELSE (x99a * (100 - d99) + x99b * d99) / 100 END, 6) AS latency_p99_ms,
+  round(CASE WHEN L = 0 THEN 0.0 ELSE mn END, 6) AS latency_min_ms,
+  round(CASE WHEN L = 0 THEN 0.0 ELSE mx END, 6) AS latency_max_ms
+FROM q
+"""
+
+
+def _summary(spark, sf_dir):
+    from larkspur.operators import runs
+    log = T.request_log_from_events(spark, sf_dir, N_RUNS)
+    s = runs.latency_summary(log, ["run"])
+    return s.select("run", *[r6(c).alias(c) if c not in ("total_requests", "successful", "failed")
+                             else F.col(c) for c in runs.SUMMARY_COLUMNS])
+
+
+@register("latency_summary", _SUMMARY_SQL)
+def q_latency_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+_MANIFEST_SQL = f"""
+SELECT 'run_' || CAST(run AS VARCHAR) AS full_run_id,
+       CASE WHEN run % 3 = 0 THEN NULL ELSE 'exp_' || CAST(run AS VARCHAR) END AS run_id,
+       'requests=' || CAST(count(*) AS VARCHAR) AS notes,
+       CAST(max(CAST(json_extract_string(props, '$.k') AS INTEGER)) % 32 + 1 AS INTEGER)
+         AS batch_size
+FROM ({_LOG_SQL}) GROUP BY run
+"""
+
+_RSS_SQL = f"""
+SELECT 'run_' || CAST(run AS VARCHAR) AS full_run_id,
+       sum(CAST(floor(latency_ms * 1048576) AS BIGINT)) / 1048576.0 AS total_rss_mb
+FROM ({_LOG_SQL}) WHERE event_type = 'purchase' GROUP BY run
+"""
+
+_CONSOLIDATED_SQL = f"""
+SELECT coalesce(m.run_id, m.full_run_id) AS run_id, m.full_run_id, m.notes, m.batch_size,
+       s.throughput_req_per_min AS throughput, s.latency_p50_ms AS latency_p50,
+       s.latency_p95_ms AS latency_p95, s.success_rate, round(r.total_rss_mb, 6) AS total_rss_mb
+FROM ({_SUMMARY_SQL}) s
+JOIN ({_MANIFEST_SQL}) m ON m.full_run_id = 'run_' || CAST(s.run AS VARCHAR)
+LEFT JOIN ({_RSS_SQL}) r ON r.full_run_id = m.full_run_id
+"""
+
+
+def _manifest(spark, sf_dir):
+    log = T.request_log_from_events(spark, sf_dir, N_RUNS).join(
+        T.table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return log.groupBy("run").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(k).alias("_k")).select(
+        F.concat(F.lit("run_"), F.col("run").cast("string")).alias("full_run_id"),
+        F.when(F.pmod("run", F.lit(3)) == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("exp_"), F.col("run").cast("string"))).alias("run_id"),
+        F.concat(F.lit("requests="), F.col("_n").cast("string")).alias("notes"),
+        (F.pmod("_k", F.lit(32)) + 1).cast("int").alias("batch_size"))
+
+
+def _rss(spark, sf_dir):
+    from larkspur.operators import runs
+    log = T.request_log_from_events(spark, sf_dir, N_RUNS).where(F.col("event_type") == "purchase")
+    stats = log.select(F.concat(F.lit("run_"), F.col("run").cast("string")).alias("full_run_id"),
+                       F.floor(F.col("latency_ms") * 1048576).cast("long").alias("rss"))
+    return runs.total_rss_mb(stats)
+
+
+def _consolidated(spark, sf_dir):
+    from larkspur.operators import runs
+    s = _summary(spark, sf_dir).withColumn(
+        "full_run_id", F.concat(F.lit("run_"), F.col("run").cast("string")))
+    out = runs.consolidate_runs(s, _manifest(spark, sf_dir), _rss(spark, sf_dir))
+    return out.withColumn("total_rss_mb", r6("total_rss_mb"))
+
+
+@register("consolidate_runs", _CONSOLIDATED_SQL)
+def q_consolidate_runs(spark, sf_dir):
+    return _consolidated(spark, sf_dir)
+
+
+@register("sort_by_throughput", f"SELECT * FROM ({_CONSOLIDATED_SQL}) ORDER BY throughput DESC")
+def q_sort_by_throughput(spark, sf_dir):
+    from larkspur.operators import runs
+    return runs.sort_by_throughput(_consolidated(spark, sf_dir))
+
+
+@register("top3_throughput", f"""
+SELECT run_id, full_run_id, throughput FROM ({_CONSOLIDATED_SQL})
+ORDER BY throughput DESC, full_run_id LIMIT 3
+""")
+def q_top3_throughput(spark, sf_dir):
+    from larkspur.operators import runs
+    return runs.top_throughput(_consolidated(spark, sf_dir), 3).select(
+        "run_id", "full_run_id", "throughput")
+
+
+@register("unpivot_percentiles", f"""
+SELECT run_id, 'P50' AS percentile, latency_p50 AS latency FROM ({_CONSOLIDATED_SQL})
+UNION ALL
+SELECT run_id, 'P95', latency_p95 FROM ({_CONSOLIDATED_SQL})
+""")
+def q_unpivot_percentiles(spark, sf_dir):
+    from larkspur.operators import runs
+    return runs.unpivot_percentiles(_consolidated(spark, sf_dir), ["run_id"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.constants import CATEGORIES, CORPUS_TITLE
+from larkspur.functions.timeutil import as_instant, epoch_seconds
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -95,9 +96,8 @@ def request_log_from_events(spark: SparkSession, sf_dir: str, n_runs: int = 8) -
     return e.select(
         F.col("event_id").cast("string").alias("request_id"),
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").__truediv__(1e6)
-        .alias("timestamp"),
+        as_instant("ts").alias("ts"),
+        epoch_seconds("ts").alias("timestamp"),
         (F.col("event_type") != "error").alias("success"),
         F.col("value").alias("latency_ms"),
         F.pmod(F.col("user_id"), F.lit(n_runs)).alias("run"),
