@@ -314,3 +314,109 @@ SELECT run_id, 'P95', latency_p95 FROM ({_CONSOLIDATED_SQL})
 def q_unpivot_percentiles(spark, sf_dir):
     from larkspur.operators import runs
     return runs.unpivot_percentiles(_consolidated(spark, sf_dir), ["run_id"])
+
+
+# --------------------------------------------------------------------------
+# A5-A8, W8, P22 over events
+# --------------------------------------------------------------------------
+
+def _hist_sql():
+    from larkspur.constants import LATENCY_BUCKETS
+    from larkspur.operators.telemetry import bucket_label
+    cnts = ",\n".join(f"count(*) FILTER (WHERE value <= {float(b)!r}) AS b{i}"
+                      for i, b in enumerate(LATENCY_BUCKETS))
+    parts = [f"SELECT event_type, '{bucket_label(b)}' AS le, b{i} AS cumulative_count, sum, count FROM g"
+             for i, b in enumerate(LATENCY_BUCKETS)]
+    parts.append("SELECT event_type, '+Inf', count, sum, count FROM g")
+    return (f"WITH g AS (SELECT event_type, count(value) AS count, round(sum(value), 6) AS sum,\n"
+            f"{cnts} FROM events GROUP BY event_type)\n" + "\nUNION ALL\n".join(parts))
+
+
+@register("histogram_buckets", _hist_sql())
+def q_histogram_buckets(spark, sf_dir):
+    from larkspur.constants import LATENCY_BUCKETS
+    from larkspur.operators import telemetry
+    e = T.table(spark, sf_dir, "events")
+    h = telemetry.histogram_buckets(e, ["event_type"], "value", LATENCY_BUCKETS)
+    return h.withColumn("sum", r6("sum"))
+
+
+@register("labelled_counters", f"""
+SELECT event_type, user_id % {N_RUNS} AS run, count(*) AS total,
+       round(sum(value), 6) AS amount_total
+FROM events GROUP BY event_type, user_id % {N_RUNS}
+""")
+def q_labelled_counters(spark, sf_dir):
+    from larkspur.operators import telemetry
+    e = T.table(spark, sf_dir, "events").withColumn("run", F.pmod("user_id", F.lit(N_RUNS)))
+    return telemetry.labelled_counters(e, ["event_type", "run"], "value").withColumn(
+        "amount_total", r6("amount_total"))
+
+
+@register("latest_gauge", """
+SELECT user_id, last_value FROM (
+  SELECT user_id, value AS last_value,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1
+""")
+def q_latest_gauge(spark, sf_dir):
+    from larkspur.operators import telemetry
+    e = T.table(spark, sf_dir, "events")
+    return telemetry.latest_gauge(e, ["user_id"], "value", ["ts", "event_id"])
+
+
+_DAY_US, _HALF_DAY_US = 86400 * 10 ** 6, 43200 * 10 ** 6
+
+
+@register("counter_rate", f"""
+WITH w AS (
+  SELECT event_type, ts, event_id, value,
+         (epoch_us(ts) // {_HALF_DAY_US}) * 43200 AS ws FROM events
+  UNION ALL
+  SELECT event_type, ts, event_id, value,
+         (epoch_us(ts) // {_HALF_DAY_US}) * 43200 - 43200 FROM events)
+SELECT event_type, CAST(ws AS BIGINT) AS window_start,
+       round((sum(value) - arg_min(value, struct_pack(t := ts, i := event_id))) / 86400.0, 6)
+         AS rate,
+       count(*) AS samples
+FROM w GROUP BY event_type, ws
+""")
+def q_counter_rate(spark, sf_dir):
+    from larkspur.functions.timeutil import as_instant
+    from larkspur.operators import telemetry
+    e = T.table(spark, sf_dir, "events").withColumn("t", as_instant("ts"))
+    r = telemetry.counter_rate_from_increments(e, ["event_type"], "t", "value",
+                                               ["ts", "event_id"], "1 day", "12 hours", 86400)
+    return r.withColumn("rate", r6("rate"))
+
+
+@register("stage_profile_summary", """
+SELECT user_id AS request_id, round(sum(value), 6) AS total_duration_ms,
+       max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS peak_memory_mb,
+       round(sum(CAST(json_extract_string(props, '$.k') AS INTEGER) / 10.0), 6)
+         AS total_memory_delta_mb,
+       count(*) AS stage_count
+FROM events GROUP BY user_id
+""")
+def q_stage_profile_summary(spark, sf_dir):
+    from larkspur.operators import telemetry
+    e = T.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    stages = e.select(F.col("user_id").alias("request_id"),
+                      F.col("event_type").alias("stage_name"),
+                      F.col("value").alias("duration_ms"),
+                      (k / 10.0).alias("memory_delta_mb"), k.alias("peak_memory_mb"))
+    s = telemetry.stage_profile_summary(stages)
+    return s.select("request_id", r6("total_duration_ms").alias("total_duration_ms"),
+                    "peak_memory_mb", r6("total_memory_delta_mb").alias("total_memory_delta_mb"),
+                    "stage_count")
+
+
+@register("sample_profiles", """
+SELECT event_id, user_id FROM events
+WHERE ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 < 0.25
+""")
+def q_sample_profiles(spark, sf_dir):
+    from larkspur.operators import telemetry
+    e = T.table(spark, sf_dir, "events").select("event_id", "user_id")
+    return telemetry.sample_profiles(e, 0.25, "event_id")
