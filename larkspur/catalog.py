@@ -420,3 +420,237 @@ def q_sample_profiles(spark, sf_dir):
     from larkspur.operators import telemetry
     e = T.table(spark, sf_dir, "events").select("event_id", "user_id")
     return telemetry.sample_profiles(e, 0.25, "event_id")
+
+
+# --------------------------------------------------------------------------
+# The answer plan and its stages
+# --------------------------------------------------------------------------
+
+def _tok_sql(expr: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({expr}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _embed_sql(prefix: str, src: str, key: str, text: str, dim: int) -> str:
+    """CTEs {prefix}_v(id, bucket, weight) and {prefix}_n(id, nn) for M1."""
+    return f"""
+{prefix}_t AS (SELECT {key} AS id, unnest({_tok_sql(text)}) AS w FROM {src}),
+{prefix}_s AS (
+  SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS bucket,
+         CAST(sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END)
+              AS DOUBLE) AS s
+  FROM {prefix}_t GROUP BY 1, 2 HAVING s <> 0),
+{prefix}_n0 AS (SELECT id, sqrt(sum(s * s)) AS n FROM {prefix}_s GROUP BY id),
+{prefix}_v AS (SELECT a.id, a.bucket, a.s / b.n AS weight
+               FROM {prefix}_s a JOIN {prefix}_n0 b ON a.id = b.id WHERE b.n > 0),
+{prefix}_n AS (SELECT id, sum(weight * weight) AS nn FROM {prefix}_v GROUP BY id)"""
+
+
+def _answer_sql_ctes() -> str:
+    from larkspur.constants import (CONTEXT_CHARS, CONTEXT_DOCS, EMBED_DIM, MAX_NEW_TOKENS,
+                                    SCORER_INPUT_CHARS)
+    dim = EMBED_DIM
+    return f"""WITH
+acc AS (SELECT CAST(item_id AS VARCHAR) AS request_id, text AS query FROM benchmark
+        WHERE item_id IS NOT NULL AND text IS NOT NULL AND length(text) >= 1),
+docs AS ({_DOCS_SQL}),
+{_embed_sql("d", "docs", "doc_id", "content", dim)},
+{_embed_sql("q", "acc", "request_id", "query", dim)},
+dots AS (SELECT q.id AS request_id, d.id AS doc_id, sum(q.weight * d.weight) AS dot
+         FROM q_v q JOIN d_v d ON q.bucket = d.bucket GROUP BY 1, 2),
+pairs AS (SELECT qn.id AS request_id, dn.id AS doc_id, qn.nn, dn.nn AS dd,
+                 coalesce(dots.dot, 0.0) AS dot
+          FROM q_n qn CROSS JOIN d_n dn
+          LEFT JOIN dots ON dots.request_id = qn.id AND dots.doc_id = dn.id),
+cand AS (SELECT request_id, doc_id, nn + dd - 2 * dot AS distance,
+                row_number() OVER (PARTITION BY request_id
+                                   ORDER BY round(nn + dd - 2 * dot, 9), doc_id) AS pos
+         FROM pairs QUALIFY pos <= {TOP_K}),
+tdocs AS (SELECT doc_id, substring(title, 1, {TRUNCATE_CHARS}) AS title,
+                 substring(content, 1, {TRUNCATE_CHARS}) AS content, category FROM docs),
+ndocs AS (SELECT count(*) AS n FROM tdocs),
+dfreq AS (SELECT w, count(*) AS df
+          FROM (SELECT doc_id, unnest(list_distinct({_tok_sql("content")})) AS w FROM tdocs)
+          GROUP BY w),
+qw AS (SELECT t.request_id, t.w,
+              ln(1 + ((SELECT n FROM ndocs) - coalesce(f.df, 0) + 0.5) / (coalesce(f.df, 0) + 0.5))
+                AS idf
+       FROM (SELECT request_id, unnest(list_distinct({_tok_sql("query")})) AS w FROM acc) t
+       LEFT JOIN dfreq f ON f.w = t.w),
+qtot AS (SELECT request_id, sum(idf) AS qtot FROM qw GROUP BY request_id),
+rows AS (SELECT c.request_id, c.pos, c.doc_id, c.distance, t.title, t.content
+         FROM cand c JOIN tdocs t ON t.doc_id = c.doc_id),
+ctok AS (SELECT request_id, doc_id, unnest(list_distinct({_tok_sql("content")})) AS w
+         FROM (SELECT DISTINCT request_id, doc_id, content FROM rows)),
+shared AS (SELECT c.request_id, c.doc_id, sum(q.idf) AS s
+           FROM ctok c JOIN qw q ON q.request_id = c.request_id AND q.w = c.w GROUP BY 1, 2),
+scored AS (SELECT r.*,
+             1.0 / (1.0 + exp(-(8.0 * (CASE WHEN t.qtot > 0 THEN coalesce(s.s, 0.0) / t.qtot
+                                           ELSE 0.0 END - 0.5)))) AS score
+           FROM rows r LEFT JOIN qtot t ON t.request_id = r.request_id
+           LEFT JOIN shared s ON s.request_id = r.request_id AND s.doc_id = r.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id
+                                        ORDER BY round(score, 9) DESC, pos) AS rank
+           FROM scored),
+ctx AS (SELECT request_id, rank, content, title FROM ranked WHERE rank <= {CONTEXT_DOCS}),
+sent0 AS (SELECT request_id, rank, unnest(range(len(ss))) AS spos, unnest(ss) AS sent
+          FROM (SELECT request_id, rank,
+                       regexp_extract_all(substring(coalesce(content, ''), 1, {CONTEXT_CHARS}),
+                                          '[^.!?\\n]+[.!?]?') AS ss FROM ctx)),
+sent AS (SELECT request_id, rank, spos, trim(sent) AS sent FROM sent0 WHERE trim(sent) <> ''),
+stok AS (SELECT request_id, rank, spos, unnest(list_distinct({_tok_sql("sent")})) AS w FROM sent),
+ov AS (SELECT s.request_id, s.rank, s.spos, count(*) AS overlap
+       FROM stok s JOIN qw q ON q.request_id = s.request_id AND q.w = s.w GROUP BY 1, 2, 3),
+best AS (SELECT s.request_id,
+                arg_max(s.sent, struct_pack(o := coalesce(ov.overlap, 0), r := -s.rank,
+                                            p := -s.spos)) AS best
+         FROM sent s LEFT JOIN ov ON ov.request_id = s.request_id AND ov.rank = s.rank
+                                 AND ov.spos = s.spos
+         GROUP BY s.request_id),
+ans AS (SELECT a.request_id,
+               coalesce(array_to_string(string_split(b.best, ' ')[1:{MAX_NEW_TOKENS}], ' '), '')
+                 AS answer
+        FROM acc a LEFT JOIN best b ON b.request_id = a.request_id),
+atok AS (SELECT request_id,
+                unnest({_tok_sql(f"substring(answer, 1, {SCORER_INPUT_CHARS})")}) AS w FROM ans),
+pol AS (SELECT request_id,
+               count(*) FILTER (WHERE substr(md5(w), 1, 1) IN ('0', '1')) AS pos_n,
+               count(*) FILTER (WHERE substr(md5(w), 1, 1) IN ('e', 'f')) AS neg_n
+        FROM atok GROUP BY request_id),
+senti AS (SELECT a.request_id,
+                 CAST(coalesce(p.pos_n, 0) - coalesce(p.neg_n, 0) AS DOUBLE)
+                   / greatest(1, coalesce(p.pos_n, 0) + coalesce(p.neg_n, 0)) AS p
+          FROM ans a LEFT JOIN pol p ON p.request_id = a.request_id),
+lab AS (SELECT l.doc_id, l.toxic, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+ncls AS (SELECT count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0
+         FROM lab),
+ltok AS (SELECT doc_id, toxic,
+                unnest(list_distinct({_tok_sql(f"substring(text, 1, {SCORER_INPUT_CHARS})")})) AS w
+         FROM lab),
+tw AS (SELECT w, ln((count(*) FILTER (WHERE toxic = 1) + 1.0) / ((SELECT n1 FROM ncls) + 2.0))
+                 - ln((count(*) FILTER (WHERE toxic = 0) + 1.0) / ((SELECT n0 FROM ncls) + 2.0))
+                 AS weight
+       FROM ltok GROUP BY w),
+ttok AS (SELECT request_id,
+                unnest(list_distinct({_tok_sql(f"substring(answer, 1, {SCORER_INPUT_CHARS})")}))
+                  AS w FROM ans),
+tsum AS (SELECT t.request_id, sum(tw.weight) AS s FROM ttok t JOIN tw ON tw.w = t.w
+         GROUP BY t.request_id),
+tox AS (SELECT a.request_id,
+               1.0 / (1.0 + exp(-(ln(((SELECT n1 FROM ncls) + 1.0) / ((SELECT n0 FROM ncls) + 1.0))
+                                  + coalesce(t.s, 0.0)))) AS toxicity
+        FROM ans a LEFT JOIN tsum t ON t.request_id = a.request_id)
+"""
+
+
+def _answer_models(spark, sf_dir, plan):
+    from larkspur.plans.answer import fit_models
+    docs = T.scan_documents(spark, sf_dir)
+    labelled = (T.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+                .join(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    return docs, fit_models(docs, labelled, plan)
+
+
+def _ranked(spark, sf_dir):
+    from larkspur.plans.answer import retrieve
+    from larkspur.plans.plan import PipelinePlan
+    plan = PipelinePlan().validate()
+    docs, models = _answer_models(spark, sf_dir, plan)
+    req = T.requests_from_benchmark(spark, sf_dir)
+    return req, retrieve(req, docs, models, plan), plan, models
+
+
+@register("embed_text", f"""
+WITH docs AS ({_DOCS_SQL}), {_embed_sql("d", "docs", "doc_id", "content", 256)}
+SELECT id AS doc_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 6) AS weight FROM d_v
+""")
+def q_embed_text(spark, sf_dir):
+    from larkspur.operators import scorers
+    docs = T.scan_documents(spark, sf_dir)
+    v = scorers.embed_sparse(docs, "doc_id", "content", 256)
+    return (v.select("doc_id", F.explode("vec").alias("e"))
+            .select("doc_id", F.col("e.bucket").alias("bucket"),
+                    r6(F.col("e.weight")).alias("weight")))
+
+
+@register("rerank_topn", _answer_sql_ctes() + """
+SELECT request_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score,
+       round(distance, 6) AS distance
+FROM ranked
+""")
+def q_rerank_topn(spark, sf_dir):
+    _, ranked, _, _ = _ranked(spark, sf_dir)
+    return ranked.select("request_id", "rank", "doc_id", r6("score").alias("score"),
+                         r6("distance").alias("distance"))
+
+
+@register("build_prompt", _answer_sql_ctes() + """
+SELECT a.request_id,
+       'When given Context and Question, reply as ''Answer: <final answer>'' only.' AS system,
+       'Context:' || chr(10) || coalesce(c.context, '') || chr(10) || chr(10) || 'Question: '
+         || a.query || chr(10) || chr(10) || 'Answer:' AS user
+FROM acc a LEFT JOIN (
+  SELECT request_id,
+         string_agg('- ' || title || ': ' || substring(content, 1, 200), chr(10) ORDER BY rank)
+           AS context
+  FROM ctx GROUP BY request_id) c ON c.request_id = a.request_id
+""")
+def q_build_prompt(spark, sf_dir):
+    from larkspur.operators import fetch, postprocess
+    req, ranked, plan, _ = _ranked(spark, sf_dir)
+    top = ranked.where(F.col("rank") <= plan.context_docs)
+    arr = fetch.collect_docs(top, req, order="rank")
+    p = req.join(arr, "request_id").select(
+        "request_id", postprocess.build_prompt(F.col("query"), F.col("docs")).alias("prompt"))
+    return p.select("request_id", F.col("prompt")[0]["content"].alias("system"),
+                    F.col("prompt")[1]["content"].alias("user"))
+
+
+_ANSWER_FINAL = """
+SELECT a.request_id,
+       CASE WHEN x.toxicity > 0.5 THEN '[Content Filtered due to toxicity]' ELSE a.answer END
+         AS generated_response,
+       CASE WHEN s.p <= -0.6 THEN 'very negative' WHEN s.p <= -0.2 THEN 'negative'
+            WHEN s.p < 0.2 THEN 'neutral' WHEN s.p < 0.6 THEN 'positive'
+            ELSE 'very positive' END AS sentiment,
+       CASE WHEN x.toxicity > 0.5 THEN 'true' ELSE 'false' END AS is_toxic
+FROM ans a JOIN senti s ON s.request_id = a.request_id JOIN tox x ON x.request_id = a.request_id
+"""
+
+
+def answer_requests_query(spark, sf_dir):
+    from larkspur.plans.answer import answer_requests
+    from larkspur.plans.plan import PipelinePlan
+    plan = PipelinePlan().validate()
+    docs, models = _answer_models(spark, sf_dir, plan)
+    answers, _ = answer_requests(T.requests_from_benchmark(spark, sf_dir), docs, models, plan)
+    return answers
+
+
+register("answer_requests", _answer_sql_ctes() + _ANSWER_FINAL)(answer_requests_query)
+
+
+@register("map_sentiment", """
+SELECT d.doc_id,
+       CASE 1 + 2 * l.quality + l.toxic WHEN 1 THEN 'very negative' WHEN 2 THEN 'negative'
+            WHEN 3 THEN 'neutral' WHEN 4 THEN 'positive' WHEN 5 THEN 'very positive'
+            ELSE 'neutral' END AS sentiment,
+       coalesce(CASE WHEN l.toxic * 0.9 + 0.05 > 0.5 THEN 'true'
+                     WHEN l.toxic IS NOT NULL THEN 'false' END, 'false') AS is_toxic,
+       length(CASE WHEN l.toxic * 0.9 + 0.05 > 0.5 THEN '[Content Filtered due to toxicity]'
+                   ELSE coalesce(d.text, '') END) AS text_len
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+""")
+def q_map_sentiment(spark, sf_dir):
+    from larkspur.operators import postprocess, scorers
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = T.table(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id", "left")
+    stars = F.lit(1) + F.lit(2) * F.col("quality") + F.col("toxic")
+    label = scorers.star_label(stars)
+    score = F.col("toxic") * 0.9 + 0.05
+    out = j.select("doc_id", postprocess.map_sentiment(label).alias("sentiment"),
+                   postprocess.flag_toxic(score).alias("is_toxic"),
+                   F.coalesce("text", F.lit("")).alias("text"))
+    out = postprocess.default_answer(out.withColumn(
+        "text", postprocess.mask_toxic("text", "is_toxic")))
+    return out.select("doc_id", "sentiment", "is_toxic", F.length("text").alias("text_len"))

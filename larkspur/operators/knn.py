@@ -42,7 +42,8 @@ def _stack(series) -> np.ndarray:
 class _TopK:
     """Running exact top-k per query over blocks of candidates."""
 
-    def __init__(self, q: np.ndarray, k: int):
+    def __init__(self, q: np.ndarray, k: int, decimals: int | None = None):
+        self.decimals = decimals
         self.q = q
         self.qn = (q * q).sum(1)
         self.k = k
@@ -60,6 +61,8 @@ class _TopK:
             qs = slice(s, s + step)
             d = self.qn[qs, None] + xn[None, :] - 2.0 * (self.q[qs] @ x.T)
             np.maximum(d, 0.0, out=d)
+            if self.decimals is not None:
+                d = np.round(d, self.decimals)
             cd = np.concatenate([self.best_d[qs], d], axis=1)
             ci = np.concatenate([self.best_i[qs], np.broadcast_to(ids, d.shape)], axis=1)
             self._select(qs, cd, ci)
@@ -108,22 +111,25 @@ class _TopK:
         xs = np.stack([self.best_row[i] for i in vi.tolist()])
         diff = self.q[qi] - xs
         dist = (diff * diff).sum(1)
-        return pd.DataFrame({"query_id": qids[qi].astype("int64"),
+        return pd.DataFrame({"query_id": qids[qi],
                              "vec_id": vi.astype("int64"), "distance": dist})
 
 
-_CAND_SCHEMA = "query_id long, vec_id long, distance double"
+def _cand_schema(q: DataFrame) -> str:
+    qt = q.schema["query_id"].dataType.simpleString()
+    return f"query_id {qt}, vec_id long, distance double"
 
 
-def _final_topk(cands: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+def _final_topk(cands: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
+    d = F.col("distance") if decimals is None else F.round("distance", decimals)
+    w = Window.partitionBy("query_id").orderBy(d, F.col("vec_id"))
     return (cands.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "distance"))
 
 
 def _prep(queries, corpus, query_id, query_vec, corpus_id, corpus_vec):
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"),
+    q = queries.select(F.col(query_id).alias("query_id"),
                        F.col(query_vec).alias("qvec")).where(F.col("qvec").isNotNull())
     c = corpus.select(F.col(corpus_id).cast("long").alias("vec_id"),
                       F.col(corpus_vec).alias("vec")).where(F.col("vec").isNotNull())
@@ -139,38 +145,45 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10,
               query_id: str = "query_id", query_vec: str = "embedding",
               corpus_id: str = "vec_id", corpus_vec: str = "embedding",
               broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-              block_rows: int = KNN_BLOCK_ROWS) -> DataFrame:
-    """K nearest corpus vectors per query -> (query_id, rank, vec_id, distance)."""
+              block_rows: int = KNN_BLOCK_ROWS, tie_decimals: int | None = None) -> DataFrame:
+    """K nearest corpus vectors per query -> (query_id, rank, vec_id, distance).
+
+    ``tie_decimals``: distances equal to that many places are ties (broken by
+    id), for vectors whose distances tie mathematically.
+    """
     q, c = _prep(queries, corpus, query_id, query_vec, corpus_id, corpus_vec)
     n_q, dim = query_side_size(q)
     if n_q * max(dim, 1) * 8 <= broadcast_limit:
-        return _final_topk(_broadcast_candidates(q, c, k), k)
+        return _final_topk(_broadcast_candidates(q, c, k, tie_decimals), k, tie_decimals)
     groups = math.ceil(n_q * dim * 8 / broadcast_limit)
     cells = c.withColumn("cell", F.lit(0))
     probes = q.withColumn("cell", F.lit(0))
-    return _final_topk(_blocked_candidates(probes, cells, k, block_rows, groups), k)
+    return _final_topk(_blocked_candidates(probes, cells, k, block_rows, groups, tie_decimals),
+                       k, tie_decimals)
 
 
-def _broadcast_candidates(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def _broadcast_candidates(q: DataFrame, c: DataFrame, k: int,
+                          decimals: int | None = None) -> DataFrame:
     spark = q.sparkSession
     tbl = q.toArrow()  # bounded: the caller checked n_q * dim * 8 <= limit
-    qids = np.asarray(tbl.column("query_id").to_pylist(), dtype=np.int64)
+    qids = np.asarray(tbl.column("query_id").to_pylist())
     qmat = _stack(tbl.column("qvec").to_pylist())
     bc = spark.sparkContext.broadcast((qids, qmat))
 
     def scan(batches):
         ids, mat = bc.value
-        top = _TopK(mat, k)
+        top = _TopK(mat, k, decimals)
         for pdf in batches:
             if len(pdf):
                 top.add(pdf["vec_id"].to_numpy(np.int64), _stack(pdf["vec"]))
         yield top.result(ids)
 
-    return c.mapInPandas(scan, _CAND_SCHEMA)
+    return c.mapInPandas(scan, _cand_schema(q))
 
 
 def _blocked_candidates(probes: DataFrame, cells: DataFrame, k: int,
-                        block_rows: int, groups: int) -> DataFrame:
+                        block_rows: int, groups: int,
+                        decimals: int | None = None) -> DataFrame:
     """probes(query_id, qvec, cell), cells(vec_id, vec, cell) -> local top-k rows.
 
     Cell sizes come from one aggregate (one row per cell, bounded by nlist);
@@ -191,15 +204,15 @@ def _blocked_candidates(probes: DataFrame, cells: DataFrame, k: int,
 
     def local(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if len(cpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+            return pd.DataFrame({"query_id": pd.Series([], dtype=qpdf["query_id"].dtype),
                                  "vec_id": pd.Series([], dtype="int64"),
                                  "distance": pd.Series([], dtype="float64")})
-        top = _TopK(_stack(qpdf["qvec"]), k)
+        top = _TopK(_stack(qpdf["qvec"]), k, decimals)
         top.add(cpdf["vec_id"].to_numpy(np.int64), _stack(cpdf["vec"]))
-        return top.result(qpdf["query_id"].to_numpy(np.int64))
+        return top.result(qpdf["query_id"].to_numpy())
 
     keys = ["cell", "block", "qgroup"]
-    return c.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(local, _CAND_SCHEMA)
+    return c.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(local, _cand_schema(probes))
 
 
 # ---------------------------------------------------------------------------
@@ -263,9 +276,11 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int,
                                 "qvec": pdf["qvec"].to_numpy()[rep],
                                 "cell": cid[o.ravel()].astype("int32")})
 
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"),
+    q = queries.select(F.col(query_id).alias("query_id"),
                        F.col(query_vec).alias("qvec")).where(F.col("qvec").isNotNull())
-    return q.mapInPandas(probe, "query_id long, qvec array<float>, cell int")
+    qt = q.schema["query_id"].dataType.simpleString()
+    vt = q.schema["qvec"].dataType.simpleString()
+    return q.mapInPandas(probe, f"query_id {qt}, qvec {vt}, cell int")
 
 
 def knn_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame,

@@ -64,3 +64,14 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     shared_dir(spark, unique=False)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Round-robin a frame whose partition count is below the cluster's
+    parallelism (e.g. one large file in one row group) before per-row heavy
+    work such as tokenising; frames that are already wide pass through."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
