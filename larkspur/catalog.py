@@ -654,3 +654,231 @@ def q_map_sentiment(spark, sf_dir):
     out = postprocess.default_answer(out.withColumn(
         "text", postprocess.mask_toxic("text", "is_toxic")))
     return out.select("doc_id", "sentiment", "is_toxic", F.length("text").alias("text_len"))
+
+
+# --------------------------------------------------------------------------
+# W4-W7, A14, R2, A10, J8, J9 over events / conversations
+# --------------------------------------------------------------------------
+
+_ADAPT_B, _ADAPT_MIN, _ADAPT_MAX = 32, 0.01, 0.1
+_HOUR_US = 3600 * 10 ** 6
+
+
+def _dbl(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _events_keyed(spark, sf_dir):
+    from larkspur.functions.timeutil import epoch_micros
+    return (T.table(spark, sf_dir, "events")
+            .withColumn("t_us", epoch_micros("ts"))
+            .withColumn("k", F.get_json_object("props", "$.k").cast("int")))
+
+
+_DEPTH_SQL = f"""
+WITH s AS (SELECT user_id, event_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+           FROM events),
+a AS (SELECT *, avg(k) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                             ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS avg_depth FROM s),
+t AS (SELECT *, CASE WHEN avg_depth >= {_dbl(float(_ADAPT_B))} THEN {_dbl(_ADAPT_MAX)}
+                     ELSE {_dbl(_ADAPT_MIN)} + avg_depth / {_dbl(float(_ADAPT_B))}
+                          * {_dbl(_ADAPT_MAX - _ADAPT_MIN)} END AS target FROM a),
+d AS (SELECT *, list_reduce(list(target) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                            lambda acc, x: {_dbl(0.7)} * acc + {_dbl(1.0 - 0.7)} * x,
+                            {_dbl(_ADAPT_MIN)}) AS ewma FROM t)
+"""
+
+
+@register("rolling_mean_depth", _DEPTH_SQL + """
+SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth FROM d
+""")
+def q_rolling_mean_depth(spark, sf_dir):
+    from larkspur.operators import batching
+    e = _events_keyed(spark, sf_dir)
+    r = batching.rolling_mean(e, ["user_id"], ["ts", "event_id"], "k")
+    return r.select("user_id", "event_id", r6("avg_depth").alias("avg_depth"))
+
+
+@register("adaptive_delay", _DEPTH_SQL + f"""
+SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth,
+       round(greatest({_dbl(_ADAPT_MIN)}, least(ewma, {_dbl(_ADAPT_MAX)})), 6) AS delay FROM d
+""")
+def q_adaptive_delay(spark, sf_dir):
+    from larkspur.operators import batching
+    e = _events_keyed(spark, sf_dir)
+    r = batching.adaptive_delay(e, ["user_id"], ["ts", "event_id"], "k",
+                                _ADAPT_B, _ADAPT_MIN, _ADAPT_MAX)
+    return r.select("user_id", "event_id", r6("avg_depth").alias("avg_depth"),
+                    r6("delay").alias("delay"))
+
+
+def _assign_sql(b: int, delay_us: int) -> str:
+    return f"""
+WITH RECURSIVE s AS (
+  SELECT user_id, event_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, rn, event_id, t, CAST(1 AS BIGINT) AS batch_no, 1 AS cnt, t AS t0
+  FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.user_id, s.rn, s.event_id, s.t,
+         r.batch_no + CASE WHEN r.cnt >= {b} OR s.t >= r.t0 + {delay_us} THEN 1 ELSE 0 END,
+         CASE WHEN r.cnt >= {b} OR s.t >= r.t0 + {delay_us} THEN 1 ELSE r.cnt + 1 END,
+         CASE WHEN r.cnt >= {b} OR s.t >= r.t0 + {delay_us} THEN s.t ELSE r.t0 END
+  FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1),
+bx AS (SELECT user_id, batch_no, max(cnt) AS mx FROM r GROUP BY 1, 2),
+lb AS (SELECT user_id, max(batch_no) AS lastb FROM r GROUP BY 1),
+assigned AS (
+  SELECT r.user_id, r.event_id, r.t, r.batch_no, CAST(r.cnt AS INTEGER) AS pos,
+         CASE WHEN bx.mx >= {b} THEN 'full' WHEN r.batch_no = lb.lastb THEN 'shutdown'
+              ELSE 'timeout' END AS reason
+  FROM r JOIN bx ON bx.user_id = r.user_id AND bx.batch_no = r.batch_no
+  JOIN lb ON lb.user_id = r.user_id)
+"""
+
+
+def _assigned(spark, sf_dir, b, delay_us):
+    from larkspur.operators import batching
+    e = _events_keyed(spark, sf_dir)
+    a = batching.assign_batches(e, ["user_id"], ["ts", "event_id"], "t_us", b, delay_us,
+                                "event_id")
+    return a.join(e.select("event_id", "t_us"), "event_id")
+
+
+@register("assign_batches", _assign_sql(4, 12 * _HOUR_US) + """
+SELECT user_id, event_id, batch_no, pos, reason FROM assigned
+""")
+def q_assign_batches(spark, sf_dir):
+    return _assigned(spark, sf_dir, 4, 12 * _HOUR_US).select(
+        "user_id", "event_id", "batch_no", "pos", "reason")
+
+
+@register("batch_stats", _assign_sql(4, 12 * _HOUR_US) + """
+SELECT user_id, batch_no, count(*) AS size, round((max(t) - min(t)) / 1000.0, 6) AS span_ms,
+       round(coalesce((max(t) - min(t)) / 1000.0 / count(*), 0.0), 6) AS avg_ms_per_item,
+       min(reason) AS reason
+FROM assigned GROUP BY user_id, batch_no
+""")
+def q_batch_stats(spark, sf_dir):
+    from larkspur.operators import batching
+    s = batching.batch_stats(_assigned(spark, sf_dir, 4, 12 * _HOUR_US), ["user_id"], "t_us")
+    return s.select("user_id", "batch_no", "size", r6("span_ms").alias("span_ms"),
+                    r6("avg_ms_per_item").alias("avg_ms_per_item"), "reason")
+
+
+@register("chunk_batches", _assign_sql(32, 12 * _HOUR_US) + """
+SELECT user_id, event_id, batch_no, CAST((pos - 1) // 8 AS INTEGER) AS chunk_index
+FROM assigned
+""")
+def q_chunk_batches(spark, sf_dir):
+    from larkspur.operators import batching
+    a = _assigned(spark, sf_dir, 32, 12 * _HOUR_US)
+    c = batching.chunk_batches(a, ["user_id", "batch_no"], ["pos"], 32)
+    return c.select("user_id", "event_id", "batch_no", "chunk_index")
+
+
+_TTL_US = 3 * 24 * _HOUR_US
+
+_REUSE_SQL = f"""
+WITH RECURSIVE s AS (
+  SELECT user_id, event_type, event_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn
+  FROM events),
+r AS (
+  SELECT user_id, event_type, rn, event_id, t, FALSE AS hit, t AS last_miss FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.user_id, s.event_type, s.rn, s.event_id, s.t,
+         s.t - r.last_miss <= {_TTL_US},
+         CASE WHEN s.t - r.last_miss <= {_TTL_US} THEN r.last_miss ELSE s.t END
+  FROM r JOIN s ON s.user_id = r.user_id AND s.event_type = r.event_type AND s.rn = r.rn + 1)
+"""
+
+
+def _reuse(spark, sf_dir):
+    from larkspur.operators import reuse
+    e = _events_keyed(spark, sf_dir)
+    return reuse.reuse_within_ttl(e, ["user_id", "event_type"], ["ts", "event_id"], "t_us",
+                                  _TTL_US, "event_id")
+
+
+@register("reuse_within_ttl", _REUSE_SQL + "SELECT user_id, event_type, event_id, hit FROM r")
+def q_reuse_within_ttl(spark, sf_dir):
+    return _reuse(spark, sf_dir)
+
+
+@register("reuse_ratio", _REUSE_SQL + """
+SELECT event_type, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses,
+       round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_ratio
+FROM r GROUP BY event_type
+""")
+def q_reuse_ratio(spark, sf_dir):
+    from larkspur.operators import reuse
+    return reuse.reuse_ratio(_reuse(spark, sf_dir), ["event_type"]).withColumn(
+        "hit_ratio", r6("hit_ratio"))
+
+
+@register("lookup_or_compute", r"""
+WITH u AS (
+  SELECT conv_id, turn, text,
+         sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key,
+         length(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS n
+  FROM conversations WHERE role = 'user'),
+store AS (SELECT key, 'conv:' || CAST(min(conv_id) AS VARCHAR) AS answer
+          FROM u WHERE turn < 2 GROUP BY key),
+asked AS (SELECT * FROM u WHERE turn >= 2)
+SELECT a.conv_id, a.turn, a.key,
+       CASE WHEN s.key IS NULL THEN 'miss' ELSE 'hit' END AS origin,
+       coalesce(s.answer, 'new:' || CAST(a.n AS VARCHAR)) AS answer
+FROM asked a LEFT JOIN store s ON s.key = a.key
+""")
+def q_lookup_or_compute(spark, sf_dir):
+    from larkspur.operators import reuse
+    c = T.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    norm = normalise_query("text")
+    u = c.select("conv_id", "turn", F.sha2(norm, 256).alias("key"), F.length(norm).alias("n"))
+    store = (u.where(F.col("turn") < 2).groupBy("key")
+             .agg(F.concat(F.lit("conv:"), F.min("conv_id").cast("string")).alias("answer")))
+    asked = u.where(F.col("turn") >= 2)
+
+    def compute(missing):
+        return missing.select("key", F.concat(F.lit("new:"), F.col("n").cast("string"))
+                              .alias("answer"))
+
+    res, _ = reuse.lookup_or_compute(asked, store, "key", compute, ["answer"])
+    return res.select("conv_id", "turn", "key", "origin", "answer")
+
+
+@register("payload_modes", f"""
+WITH r AS (SELECT vec_id AS request_id,
+                  [vec_id, vec_id + 1, vec_id, {_MISSING_ID}] AS ids FROM embeddings),
+x AS (SELECT request_id, unnest(ids) AS doc_id FROM r),
+f AS (SELECT x.request_id, count(d.doc_id) AS n, coalesce(sum(length(d.content)), 0) AS chars
+      FROM x LEFT JOIN ({_DOCS_SQL}) d ON d.doc_id = x.doc_id GROUP BY x.request_id),
+m AS (SELECT * FROM (VALUES ('full'), ('id_only'), ('compressed')) v(mode))
+SELECT f.request_id, m.mode,
+       CAST(CASE WHEN m.mode = 'compressed' THEN 0 ELSE f.n END AS INTEGER) AS n_docs,
+       CASE WHEN m.mode = 'full' THEN f.chars ELSE 0 END AS content_chars,
+       m.mode = 'compressed' AS has_payload
+FROM f CROSS JOIN m
+""")
+def q_payload_modes(spark, sf_dir):
+    from larkspur.operators import payload
+    e = T.table(spark, sf_dir, "embeddings")
+    req = e.select(F.col("vec_id").alias("request_id"),
+                   F.array("vec_id", F.col("vec_id") + 1, "vec_id",
+                           F.lit(_MISSING_ID).cast("long")).alias("doc_ids"))
+    got = fetch.fetch_documents(req, T.scan_documents(spark, sf_dir)).drop("score")
+    outs = []
+    for mode in ("full", "id_only", "compressed"):
+        m = payload.apply_payload_mode(got, mode)
+        outs.append(m.select(
+            "request_id", F.lit(mode).alias("mode"), F.size("docs").alias("n_docs"),
+            F.aggregate("docs", F.lit(0).cast("long"),
+                        lambda acc, d: acc + F.length(d["content"]).cast("long"))
+            .alias("content_chars"),
+            F.col("compressed_docs").isNotNull().alias("has_payload")))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
