@@ -882,3 +882,261 @@ def q_payload_modes(spark, sf_dir):
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+# --------------------------------------------------------------------------
+# Cell-pruned search
+# --------------------------------------------------------------------------
+
+def _ivf(spark, sf_dir, nlist):
+    e = T.scan_vectors(spark, sf_dir)
+    assigned, centroids = knn.build_ivf(e, nlist, sample_rows=10000, seed=42)
+    return e, assigned, centroids
+
+
+@register("knn_ivf_full", _KNN_SQL)
+def q_knn_ivf_full(spark, sf_dir):
+    """nprobe = nlist: every cell is searched, so the result equals knn_exact."""
+    e, assigned, centroids = _ivf(spark, sf_dir, 16)
+    r = knn.knn_ivf(e.withColumnRenamed("vec_id", "query_id"), assigned, centroids,
+                    nprobe=16, k=TOP_K)
+    return r.withColumn("distance", r6("distance"))
+
+
+@register("knn_ivf")
+def q_knn_ivf(spark, sf_dir):
+    """nprobe 4 of nlist 16 (approximate; checked by recall against knn_exact)."""
+    e, assigned, centroids = _ivf(spark, sf_dir, 16)
+    r = knn.knn_ivf(e.withColumnRenamed("vec_id", "query_id"), assigned, centroids,
+                    nprobe=4, k=TOP_K)
+    return r.withColumn("distance", r6("distance"))
+
+
+@register("index_stats")
+def q_index_stats(spark, sf_dir):
+    _, assigned, _ = _ivf(spark, sf_dir, 16)
+    return knn.index_stats(assigned, 16, 4)
+
+
+# --------------------------------------------------------------------------
+# Sources, generators and sinks on derived files
+# --------------------------------------------------------------------------
+
+@register("generate_corpus", """
+SELECT doc_id, 'Document ' || CAST(doc_id AS VARCHAR) AS title,
+       'This is the content of document ' || CAST(doc_id AS VARCHAR)
+         || '. It contains information about customer support issue '
+         || CAST(doc_id % 100 AS VARCHAR) || '.' AS content,
+       ['technical','billing','shipping','general'][(doc_id % 4) + 1] AS category
+FROM documents
+""")
+def q_generate_corpus(spark, sf_dir):
+    from larkspur.sources import generators
+    return generators.corpus_from_ids(T.table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@register("generate_vectors")
+def q_generate_vectors(spark, sf_dir):
+    """S11 for every document id (dim 64); rows-only: the hash is Spark's."""
+    from larkspur.sources import generators
+    v = generators.vectors_from_ids(T.table(spark, sf_dir, "documents").select("doc_id"), 64)
+    return v.select("vec_id", F.size("embedding").alias("dim"),
+                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq"))
+
+
+@register("generate_requests", """
+SELECT e.event_id AS id,
+       b.text || ' #' || sha256('7:' || CAST(e.event_id AS VARCHAR)) AS query
+FROM events e
+JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS qpos FROM benchmark) b
+  ON b.qpos = e.event_id % (SELECT count(*) FROM benchmark)
+""")
+def q_generate_requests(spark, sf_dir):
+    from larkspur.sources import generators
+    arrivals = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    qs = generators.number_list(
+        T.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")),
+        "item_id")
+    return generators.generate_requests(arrivals, qs, "id", unique_suffix=True, seed=7) \
+        .select("id", "query")
+
+
+@register("batch_envelope", """
+SELECT conv_id * 1000 + turn // 4 AS batch_id,
+       CAST(row_number() OVER (PARTITION BY conv_id * 1000 + turn // 4 ORDER BY turn) - 1
+            AS INTEGER) AS pos,
+       CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, text AS query
+FROM conversations
+""")
+def q_batch_envelope(spark, sf_dir):
+    from larkspur.sources import files
+    c = T.table(spark, sf_dir, "conversations")
+    items = c.select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 4)).alias("batch_id"),
+                     F.col("turn").alias("pos"),
+                     F.concat_ws(":", F.col("conv_id").cast("string"),
+                                 F.col("turn").cast("string")).alias("request_id"),
+                     F.col("text").alias("query"))
+    env = files.collect_batch_envelope(items, ["request_id", "query"])
+    return files.explode_batch_envelope(env)
+
+
+@register("scan_result_log", f"""
+SELECT CAST(event_id AS VARCHAR) AS request_id, event_type <> 'error' AS success,
+       value AS latency_ms, round(epoch_us(ts) / 1e6, 6) AS timestamp,
+       CASE WHEN event_type = 'error' THEN 'error ' || CAST(event_id AS VARCHAR) END AS error
+FROM events
+""")
+def q_scan_result_log(spark, sf_dir):
+    from larkspur.session import shared_dir
+    from larkspur.sources import files
+    log = T.request_log_from_events(spark, sf_dir)
+    out = log.select("request_id", F.lit(None).cast("string").alias("query"), "timestamp",
+                     "success", "latency_ms",
+                     F.when(~F.col("success"), F.concat(F.lit("error "), F.col("request_id")))
+                     .alias("error"))
+    path = shared_dir(spark, "result_log")
+    files.write_result_log(out, path)
+    back = files.read_result_log(spark, path)
+    return back.select("request_id", "success", "latency_ms",
+                       r6("timestamp").alias("timestamp"), "error")
+
+
+@register("scan_run_summaries", f"""
+SELECT 'run_' || CAST(s.run AS VARCHAR) AS full_run_id, s.total_requests, s.successful,
+       s.failed, s.success_rate, s.throughput_req_per_min, s.latency_avg_ms, s.latency_p50_ms,
+       s.latency_p95_ms, s.latency_p99_ms, s.latency_min_ms, s.latency_max_ms,
+       CAST(m.batch_size AS BIGINT) AS batch_size
+FROM ({_SUMMARY_SQL}) s JOIN ({_MANIFEST_SQL}) m ON m.full_run_id = 'run_' || CAST(s.run AS VARCHAR)
+""")
+def q_scan_run_summaries(spark, sf_dir):
+    from larkspur.session import shared_dir
+    from larkspur.sources import files, sinks
+    s = _summary(spark, sf_dir).withColumn(
+        "full_run_id", F.concat(F.lit("run_"), F.col("run").cast("string")))
+    s = s.join(_manifest(spark, sf_dir).select("full_run_id",
+                                               F.col("batch_size").cast("long")), "full_run_id")
+    base = shared_dir(spark, "runs")
+    sinks.write_summary_csv(s.drop("run"), base, partition_by="full_run_id")
+    back = files.read_run_summaries(spark, f"{base}/*/*.csv", r"full_run_id=([^/]+)/")
+    return back.select("full_run_id", *[c.name for c in files.SUMMARY.fields])
+
+
+@register("scan_event_log", """
+SELECT event_id AS batch_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS batch_size,
+       value AS latency_ms
+FROM events WHERE event_type <> 'error'
+""")
+def q_scan_event_log(spark, sf_dir):
+    from larkspur.session import shared_dir
+    from larkspur.sources import files
+    e = T.table(spark, sf_dir, "events")
+    msg = F.when(F.col("event_type") == "error",
+                 F.concat(F.lit("request failed: "), F.col("event_id").cast("string"))) \
+        .otherwise(F.to_json(F.struct(F.lit("batch_completed").alias("event"),
+                                      F.col("event_id").alias("batch_id"),
+                                      F.get_json_object("props", "$.k").cast("long")
+                                      .alias("batch_size"),
+                                      F.col("value").alias("latency_ms"))))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"),
+                    F.lit(" - larkspur.gateway - INFO - "), msg)
+    path = shared_dir(spark, "event_log")
+    e.select(line.alias("value")).write.text(path)
+    return files.read_event_log(spark, path).select("batch_id", "batch_size", "latency_ms")
+
+
+@register("scan_process_stats", f"""
+SELECT 'run_' || CAST(user_id % {N_RUNS} AS VARCHAR) AS full_run_id,
+       round(sum(CAST(floor(value * 1048576) AS BIGINT)) / 1048576.0, 6) AS total_rss_mb
+FROM events WHERE event_type = 'purchase' GROUP BY 1
+""")
+def q_scan_process_stats(spark, sf_dir):
+    from larkspur.operators import runs
+    from larkspur.session import shared_dir
+    from larkspur.sources import files
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    snap = e.select(
+        F.concat(F.lit("run_"), F.pmod("user_id", F.lit(N_RUNS)).cast("string"))
+        .alias("full_run_id"),
+        F.col("event_id").alias("pid"), F.lit("worker").alias("name"),
+        F.array(F.lit("python"), F.lit("-m"), F.lit("worker")).alias("cmdline"),
+        F.col("value").alias("cpu_percent"),
+        F.struct(F.floor(F.col("value") * 1048576).cast("long").alias("rss"),
+                 F.lit(0).cast("long").alias("vms")).alias("memory_info"))
+    base = shared_dir(spark, "process_stats")
+    snap.write.partitionBy("full_run_id").json(base)
+    back = files.read_process_stats(spark, base, multiline=False)
+    return runs.total_rss_mb(back).withColumn("total_rss_mb", r6("total_rss_mb"))
+
+
+# --------------------------------------------------------------------------
+# Streams over the tables (file source, availableNow)
+# --------------------------------------------------------------------------
+
+@register("stream_reuse_within_ttl", _REUSE_SQL + "SELECT user_id, event_type, event_id, hit FROM r")
+def q_stream_reuse(spark, sf_dir):
+    from larkspur.functions.timeutil import as_instant, epoch_micros
+    from larkspur.streaming import streams
+    ev = streams.table_stream(spark, sf_dir, "events").withColumn(
+        "t", as_instant("ts")).withColumn("t_us", epoch_micros("ts"))
+    out = streams.stream_reuse_within_ttl(ev, ["user_id", "event_type"], "t", "t_us",
+                                          "event_id", _TTL_US, "1 hour")
+    return spark.read.parquet(streams.run_to_sink(out, "reuse"))
+
+
+@register("stream_adaptive_delay", _DEPTH_SQL + f"""
+SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth,
+       round(greatest({_dbl(_ADAPT_MIN)}, least(ewma, {_dbl(_ADAPT_MAX)})), 6) AS delay FROM d
+""")
+def q_stream_adaptive_delay(spark, sf_dir):
+    from larkspur.functions.timeutil import epoch_micros
+    from larkspur.streaming import streams
+    ev = (streams.table_stream(spark, sf_dir, "events").withColumn("t_us", epoch_micros("ts"))
+          .withColumn("k", F.get_json_object("props", "$.k").cast("int")))
+    out = streams.stream_adaptive_delay(ev, ["user_id"], "t_us", "event_id", "k",
+                                        _ADAPT_B, _ADAPT_MIN, _ADAPT_MAX)
+    back = spark.read.parquet(streams.run_to_sink(out, "adaptive"))
+    return back.select("user_id", "event_id", r6("avg_depth").alias("avg_depth"),
+                       r6("delay").alias("delay"))
+
+
+@register("stream_metric_windows", """
+WITH w AS (SELECT event_type, (epoch_us(ts) // 86400000000) * 86400 AS ws, value FROM events)
+SELECT event_type, CAST(ws AS BIGINT) AS window_start, CAST(ws + 86400 AS BIGINT) AS window_end,
+       count(*) AS samples, round(sum(value), 6) AS value_sum, max(value) AS value_max
+FROM w GROUP BY event_type, ws
+HAVING ws + 86400 <= (SELECT max(epoch_us(ts)) // 1000 FROM events) / 1000.0 - 3600
+""")
+def q_stream_metric_windows(spark, sf_dir):
+    from larkspur.functions.timeutil import as_instant
+    from larkspur.streaming import streams
+    ev = streams.table_stream(spark, sf_dir, "events").withColumn("t", as_instant("ts"))
+    out = streams.stream_metric_windows(ev, ["event_type"], "t", "value", "1 day", "1 hour")
+    back = spark.read.parquet(streams.run_to_sink(out, "windows"))
+    return back.withColumn("value_sum", r6("value_sum"))
+
+
+@register("stream_batches")
+def q_stream_batches(spark, sf_dir):
+    """R3, rows-only: emitted rows equal the batch twin's closed batches."""
+    from larkspur.functions.timeutil import as_instant, epoch_micros
+    from larkspur.streaming import streams
+    ev = (streams.table_stream(spark, sf_dir, "events").withColumn("t", as_instant("ts"))
+          .withColumn("t_us", epoch_micros("ts")))
+    out = streams.stream_batches(ev, ["user_id"], "t", "t_us", "event_id", 4,
+                                 12 * _HOUR_US, "1 hour")
+    return spark.read.parquet(streams.run_to_sink(out, "batches"))
+
+
+def _stream_answer(spark, sf_dir):
+    from larkspur.plans.answer import answer_requests
+    from larkspur.plans.plan import PipelinePlan
+    from larkspur.streaming import streams
+    plan = PipelinePlan().validate()
+    docs, models = _answer_models(spark, sf_dir, plan)
+    req = streams.table_stream(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"))
+    base = streams.stream_answer(req, lambda b: answer_requests(b, docs, models, plan))
+    return spark.read.parquet(f"{base}/answers").drop("batch_id")
+
+
+register("stream_answer", _answer_sql_ctes() + _ANSWER_FINAL)(_stream_answer)
