@@ -48,7 +48,7 @@ def pack_docs(docs: Column) -> Column:
 def unpack_docs(payload: Column, schema: T.DataType = DOCS_ARRAY) -> Column:
     """Inverse of pack_docs; null when the payload is unreadable.
     Decoding into the 4-field document struct drops any extra field (score)."""
-    return F.from_json(_zlib_decompress(F.unbase64(payload)), schema)
+    return F.from_json(_zlib_decompress(F.try_to_binary(payload, F.lit("base64"))), schema)
 
 
 def apply_payload_mode(df: DataFrame, mode: str, docs: str = "docs") -> DataFrame:
