@@ -1140,3 +1140,140 @@ def _stream_answer(spark, sf_dir):
 
 
 register("stream_answer", _answer_sql_ctes() + _ANSWER_FINAL)(_stream_answer)
+
+
+# --------------------------------------------------------------------------
+# S2, P6, P8, P10, A9, A13, M6, J10, C5
+# --------------------------------------------------------------------------
+
+@register("scan_vectors", """
+SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim
+FROM embeddings
+""")
+def q_scan_vectors(spark, sf_dir):
+    return T.vector_corpus_stats(T.scan_vectors(spark, sf_dir)).select(
+        "n_vectors", F.col("min_dim").cast("long").alias("min_dim"),
+        F.col("max_dim").cast("long").alias("max_dim"))
+
+
+@register("validate_vectors", """
+SELECT vec_id,
+       CASE WHEN embedding IS NULL THEN 'Missing embedding in batch'
+            WHEN len(embedding) <> 64 THEN 'Embedding dimension mismatch: expected 64, got '
+                                           || CAST(len(embedding) AS VARCHAR) END AS vector_error
+FROM embeddings
+""")
+def q_validate_vectors(spark, sf_dir):
+    v = T.scan_vectors(spark, sf_dir)
+    return validate.validate_vectors(v, 64).select("vec_id", "vector_error")
+
+
+@register("l2_normalise", """
+WITH n AS (SELECT vec_id, embedding,
+                  sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nb
+           FROM embeddings)
+SELECT vec_id, round(nb, 6) AS norm_before,
+       round(CASE WHEN nb > 0
+                  THEN sqrt(list_sum(list_transform(embedding,
+                                                    lambda x: (x::DOUBLE / nb) * (x::DOUBLE / nb))))
+                  ELSE nb END, 6) AS norm_after
+FROM n
+""")
+def q_l2_normalise(spark, sf_dir):
+    from larkspur.functions.vectors import l2_norm, l2_normalise
+    v = T.scan_vectors(spark, sf_dir).withColumn(
+        "e", F.transform("embedding", lambda x: x.cast("double")))
+    n = v.select("vec_id", l2_norm("e").alias("nb"), l2_normalise("e").alias("u"))
+    return n.select("vec_id", r6("nb").alias("norm_before"), r6(l2_norm("u")).alias("norm_after"))
+
+
+@register("vector_fingerprint")
+def q_vector_fingerprint(spark, sf_dir):
+    """P6 over all vectors; rows-only (digests are this engine's canonical form)."""
+    from larkspur.functions.vectors import vector_fingerprint
+    v = T.scan_vectors(spark, sf_dir)
+    return v.select("vec_id", vector_fingerprint("embedding").alias("fp"))
+
+
+@register("client_summary", f"""
+WITH j AS (
+  SELECT user_id % {N_RUNS} AS run, epoch_us(ts) / 1e6 AS ts,
+         CASE WHEN event_type = 'view' THEN NULL ELSE event_type <> 'error' END AS success,
+         CASE WHEN event_type = 'view' THEN NULL ELSE epoch_us(ts) / 1e6 + value / 1000.0 END AS fin
+  FROM events)
+SELECT run, count(*) AS sent, count(*) FILTER (WHERE success) AS successful,
+       count(*) FILTER (WHERE NOT success) AS failed,
+       count(*) FILTER (WHERE success IS NULL) AS pending,
+       round(max(fin) - min(ts), 6) AS elapsed_s
+FROM j GROUP BY run
+""")
+def q_client_summary(spark, sf_dir):
+    from larkspur.operators import runs
+    log = T.request_log_from_events(spark, sf_dir, N_RUNS)
+    sent = log.select("request_id", "run", F.col("timestamp").alias("ts"))
+    res = log.where(F.col("event_type") != "view").select(
+        "request_id", "success",
+        (F.col("timestamp") + F.col("latency_ms") / 1000.0).alias("finished_ts"))
+    out = runs.client_summary(sent, res, ["run"])
+    return out.withColumn("elapsed_s", r6("elapsed_s"))
+
+
+@register("score_batches", """
+SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+       CAST(len(string_split(coalesce(text, ''), ' ')) AS BIGINT) AS n_words
+FROM documents
+""")
+def q_score_batches(spark, sf_dir):
+    from larkspur.operators import scorers
+    from larkspur.plans.analytics import scorer_char_stats
+    name = "char_stats"
+    try:
+        scorers.resolve_scorer(name)
+    except KeyError:
+        scorers.register_scorer(name, scorer_char_stats, "doc_id long, n_chars long, n_words long",
+                                aliases=("text_stats",))
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scorers.score_batches(d, "text_stats")
+
+
+@register("fetch_if_blank", ORACLES["fetch_documents"])
+def q_fetch_if_blank(spark, sf_dir):
+    """id_only payload (titles/contents blanked) refilled by J10 = a full fetch."""
+    from larkspur.operators import payload
+    e = T.table(spark, sf_dir, "embeddings")
+    req = e.select(F.col("vec_id").alias("request_id"),
+                   F.array("vec_id", F.col("vec_id") + 1, "vec_id",
+                           F.lit(_MISSING_ID).cast("long")).alias("doc_ids"))
+    docs = T.scan_documents(spark, sf_dir)
+    rows = fetch.explode_ids(req, "doc_ids").withColumn("score", F.lit(1.0))
+    got = fetch.collect_docs(fetch.fetch_rows(rows, docs), req)
+    blanked = payload.apply_payload_mode(got, "id_only").drop("compressed_docs")
+    refilled = fetch.fetch_if_blank(blanked, docs)
+    return (refilled.select("request_id", F.posexplode("docs").alias("pos", "d"))
+            .select("request_id", "pos", F.col("d.doc_id").alias("doc_id"),
+                    F.col("d.title").alias("title")))
+
+
+@register("compression_stats")
+def q_compression_stats(spark, sf_dir):
+    """A9 over packed document payloads of every embeddings-derived request."""
+    from larkspur.operators import payload
+    e = T.table(spark, sf_dir, "embeddings")
+    req = e.select(F.col("vec_id").alias("request_id"), F.array("vec_id").alias("doc_ids"))
+    got = fetch.fetch_documents(req, T.scan_documents(spark, sf_dir))
+    packed = got.select(F.to_json("docs").alias("json"),
+                        F.unbase64(payload.pack_docs(F.col("docs"))).alias("zipped"),
+                        F.lit("zlib").alias("algorithm"), F.lit("response").alias("direction"))
+    return payload.compression_stats(packed, "json", "zipped", ["algorithm", "direction"])
+
+
+@register("run_analytics", _CONSOLIDATED_SQL)
+def q_run_analytics(spark, sf_dir):
+    from larkspur.plans.analytics import run_analytics
+    log = T.request_log_from_events(spark, sf_dir, N_RUNS).withColumn(
+        "full_run_id", F.concat(F.lit("run_"), F.col("run").cast("string")))
+    ra = run_analytics(log, _manifest(spark, sf_dir), _rss(spark, sf_dir))
+    c = ra.ranked
+    return c.select("run_id", "full_run_id", "notes", "batch_size",
+                    *[r6(x).alias(x) for x in ("throughput", "latency_p50", "latency_p95",
+                                               "success_rate", "total_rss_mb")])
