@@ -39,15 +39,18 @@ from larkspur.session import spread
 # ---------------------------------------------------------------------------
 
 
-def token_bucket(w: Column, dim: int) -> Column:
-    """Bucket = first 8 hex digits of md5(token) as an integer, modulo dim."""
-    return F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"),
+def token_bucket(w: Column, dim: int, hashed: bool = False) -> Column:
+    """Bucket = first 8 hex digits of md5(token) as an integer, modulo dim.
+    With ``hashed`` the column already holds md5(token)."""
+    h = w if hashed else F.md5(w)
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"),
                   F.lit(dim)).cast("int")
 
 
-def token_sign(w: Column) -> Column:
+def token_sign(w: Column, hashed: bool = False) -> Column:
     """+1 when the 9th hex digit of md5(token) is even, else -1."""
-    digit = F.conv(F.substring(F.md5(w), 9, 1), 16, 10).cast("int")
+    h = w if hashed else F.md5(w)
+    digit = F.conv(F.substring(h, 9, 1), 16, 10).cast("int")
     return F.when(F.pmod(digit, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
 
 
@@ -61,8 +64,10 @@ def embed_sparse(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> Da
     """
     t = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))).select(
         "_k", F.explode(tokens("_t")).alias("w"))
-    g = (t.groupBy("_k", token_bucket(F.col("w"), dim).alias("bucket"))
-         .agg(F.sum(token_sign(F.col("w"))).cast("double").alias("s"))
+    h = t.select("_k", F.md5("w").alias("h"))   # one digest per token occurrence
+    g = (h.select("_k", token_bucket(F.col("h"), dim, True).alias("bucket"),
+                  token_sign(F.col("h"), True).alias("sgn"))
+         .groupBy("_k", "bucket").agg(F.sum("sgn").cast("double").alias("s"))
          .where(F.col("s") != 0))
     # The norm comes out of the same aggregate as the entry list, so the
     # per-entry division below references a plain column.

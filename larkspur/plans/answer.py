@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from larkspur.constants import BROADCAST_LIMIT_BYTES
 from larkspur.operators import fetch, knn, payload, postprocess, scorers, validate
 from larkspur.plans.plan import PipelinePlan
+from larkspur.session import cut_lineage
 
 TIE_DECIMALS = 9
 
@@ -73,6 +74,9 @@ def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
     small = n_req * plan.k * 64 <= BROADCAST_LIMIT_BYTES
     trunc = plan.truncate_chars if plan.runs("truncate") else None
     rows = fetch.fetch_rows(ids, docs, trunc, small_id_side=small)
+    # k rows per request: materialise once (reliable checkpoint on shared
+    # storage) so the scoring branches below do not each replay the search.
+    rows = cut_lineage(rows)
     if plan.runs("rerank"):
         qw = scorers.query_token_weights(requests, models.idf)
         rows = scorers.overlap_scores(rows, qw)
@@ -94,8 +98,8 @@ def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModel
         "request_id", "rank", "content")
     qtok = scorers.distinct_tokens(requests, ["request_id"], "query")
     ans = scorers.extractive_answer(ctx, qtok, ctx_chars=plan.context_chars)
-    out = (requests.select("request_id").join(ans, "request_id", "left")
-           .fillna("", ["generated_response"]))
+    out = cut_lineage(requests.select("request_id").join(ans, "request_id", "left")
+                      .fillna("", ["generated_response"]))
     if plan.runs("sentiment"):
         lab = scorers.sentiment_label(out, "request_id", "generated_response", models.lexicon)
         out = out.join(lab, "request_id", "left").withColumn(
