@@ -694,9 +694,11 @@ d AS (SELECT *, list_reduce(list(target) OVER (PARTITION BY user_id ORDER BY ts,
 SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth FROM d
 """)
 def q_rolling_mean_depth(spark, sf_dir):
-    from larkspur.operators import batching
+    """W4 through the range-partitioned scan (a hot user is split across tasks)."""
+    from larkspur.operators import sequence
     e = _events_keyed(spark, sf_dir)
-    r = batching.rolling_mean(e, ["user_id"], ["ts", "event_id"], "k")
+    r = sequence.adaptive_delay_scan(e, ["user_id"], ["ts", "event_id"], "k",
+                                     _ADAPT_B, _ADAPT_MIN, _ADAPT_MAX, "event_id")
     return r.select("user_id", "event_id", r6("avg_depth").alias("avg_depth"))
 
 
@@ -705,10 +707,10 @@ SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth,
        round(greatest({_dbl(_ADAPT_MIN)}, least(ewma, {_dbl(_ADAPT_MAX)})), 6) AS delay FROM d
 """)
 def q_adaptive_delay(spark, sf_dir):
-    from larkspur.operators import batching
+    from larkspur.operators import sequence
     e = _events_keyed(spark, sf_dir)
-    r = batching.adaptive_delay(e, ["user_id"], ["ts", "event_id"], "k",
-                                _ADAPT_B, _ADAPT_MIN, _ADAPT_MAX)
+    r = sequence.adaptive_delay_scan(e, ["user_id"], ["ts", "event_id"], "k",
+                                     _ADAPT_B, _ADAPT_MIN, _ADAPT_MAX, "event_id")
     return r.select("user_id", "event_id", r6("avg_depth").alias("avg_depth"),
                     r6("delay").alias("delay"))
 

@@ -99,3 +99,22 @@ def test_lookup_or_compute(spark):
     got = {r["id"]: (r["origin"], r["answer"]) for r in res.collect()}
     assert got == {1: ("hit", "old"), 2: ("miss", "new-k2"), 3: ("miss", "new-k2")}
     assert fresh.count() == 1  # k2 computed once
+
+
+def test_adaptive_delay_scan_splits_hot_key(spark):
+    from larkspur.operators import sequence
+    hot = [("hot", i, (i * 13) % 50) for i in range(2500)]
+    cold = [("c%d" % j, i, (i * 3 + j) % 40) for j in range(5) for i in range(30)]
+    df = spark.createDataFrame(hot + cold, "k string, t long, q int").withColumn("id", F.col("t"))
+    out = sequence.adaptive_delay_scan(df, ["k"], ["t"], "q", 16, 0.01, 0.2, "id", partitions=12)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["k"], []).append((r["id"], r["delay"]))
+    for k in ["hot", "c0", "c4"]:
+        seq = [q for kk, _, q in sorted(hot + cold, key=lambda x: (x[0], x[1])) if kk == k]
+        exp = _py_policy(seq, 16, 0.01, 0.2)
+        assert [d for _, d in sorted(got[k])] == pytest.approx(exp, abs=1e-12)
+    # the hot key really was cut into several partitions
+    parts = sequence.range_sorted(df, ["k"], ["t"], 12).where(F.col("k") == "hot") \
+        .select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 3
