@@ -741,10 +741,10 @@ assigned AS (
 
 
 def _assigned(spark, sf_dir, b, delay_us):
-    from larkspur.operators import batching
+    from larkspur.operators import sequence
     e = _events_keyed(spark, sf_dir)
-    a = batching.assign_batches(e, ["user_id"], ["ts", "event_id"], "t_us", b, delay_us,
-                                "event_id")
+    a = sequence.assign_batches_scan(e, ["user_id"], ["ts", "event_id"], "t_us", b, delay_us,
+                                     "event_id")
     return a.join(e.select("event_id", "t_us"), "event_id")
 
 

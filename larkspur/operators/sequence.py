@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.constants import ADAPTIVE_HISTORY, ADAPTIVE_KEEP
 from larkspur.session import cut_lineage
@@ -169,3 +170,187 @@ def adaptive_delay_scan(df: DataFrame, keys: list[str], order: list[str], depth:
     schema = ", ".join([f"{k} {types[k]}" for k in keys] +
                        [f"{id_col} {types[id_col]}", "avg_depth double", "delay double"])
     return s.mapInPandas(evaluate, schema)
+
+
+# ---------------------------------------------------------------------------
+# Batch assignment with hot keys split
+# ---------------------------------------------------------------------------
+#
+# A run of a key inside a partition behaves, for any incoming open batch,
+# like "the incoming batch takes rows [0, r) and a fresh batch starts at row
+# r", with r <= B.  So a run is summarised by its first B timestamps and, for
+# each r in [0, min(B, n)], the batches it starts and its end state.  Runs
+# simulated from different r usually merge after a few batches (same batch
+# start row), after which they share the tail of the row-0 simulation.
+
+def _w7_sim(ts: np.ndarray, start: int, b: int, delay: int,
+            merge: dict[int, int] | None = None):
+    """Fresh batch at row ``start``; returns (starts, cnt_end, t0_end, merged_at).
+
+    With ``merge`` (batch-start rows of another simulation) it stops at the
+    first batch start the two share: from there on they are identical."""
+    starts: list[int] = []
+    cnt, t0 = 0, 0
+    for i in range(start, len(ts)):
+        t = int(ts[i])
+        if cnt > 0 and t >= t0 + delay:
+            cnt = 0
+        if cnt == 0:
+            if merge is not None and i in merge:
+                return starts, None, None, i
+            starts.append(i)
+            t0 = t
+        cnt += 1
+        if cnt >= b:
+            cnt = 0
+    return starts, cnt, t0, None
+
+
+def _w7_table(ts: np.ndarray, b: int, delay: int):
+    """For r in [0, min(b, n)]: (batches started, cnt_end, t0_end)."""
+    s0, c0, t00, _ = _w7_sim(ts, 0, b, delay)
+    idx0 = {s: k for k, s in enumerate(s0)}
+    table = []
+    for r in range(0, min(b, len(ts)) + 1):
+        if r == len(ts):
+            table.append((0, 0, 0))
+            continue
+        if r in idx0:
+            table.append((len(s0) - idx0[r], c0, t00))
+            continue
+        st, c, t0, m = _w7_sim(ts, r, b, delay, idx0)
+        if m is None:
+            table.append((len(st), c, t0))
+        else:
+            table.append((len(st) + len(s0) - idx0[m], c0, t00))
+    return table
+
+
+def assign_batches_scan(df: DataFrame, keys: list[str], order: list[str], ts_micros: str,
+                        batch_size: int, delay_micros: int, id_col: str,
+                        partitions: int | None = None) -> DataFrame:
+    """W7 -> (keys..., id_col, batch_no, pos, reason); exact, hot keys split.
+
+    Same rule as ``batching.assign_batches``: full at B rows, timeout when an
+    arrival reaches t0 + delay, the last open batch of a key is "shutdown".
+    """
+    b, dl = int(batch_size), int(delay_micros)
+    cols = list(dict.fromkeys([*keys, *order, id_col, ts_micros]))
+    s = range_sorted(df.select(*cols).withColumn("_t", F.col(ts_micros)), keys, order,
+                     partitions)
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        first = cur = None      # (key, timestamps) of the first and the current run
+        for pdf in batches:
+            for key, g in _runs(pdf, keys):
+                t = g["_t"].to_numpy(np.int64).tolist()
+                if cur is not None and cur[0] == key:
+                    cur[1].extend(t)
+                    continue
+                if cur is not None and first is None:
+                    first = cur
+                cur = (key, list(t))   # a middle run is dropped when the next begins
+        out = [r for r in (first, cur) if r is not None]
+        rows = []
+        for i, (key, ts) in enumerate(out):
+            arr = np.asarray(ts, dtype=np.int64)
+            if i == 0:
+                tab = _w7_table(arr, b, dl)
+            else:  # the last run of a partition always starts fresh
+                s0, c0, t00, _ = _w7_sim(arr, 0, b, dl)
+                tab = [(len(s0), c0, t00)]
+            rows.append((pid, i, key, len(ts), ts[:b], [x[0] for x in tab],
+                         [x[1] for x in tab], [x[2] for x in tab]))
+        yield pd.DataFrame(rows, columns=["pid", "i", "key", "n", "head", "nb", "cend", "tend"])
+
+    summ = s.mapInPandas(summarise, "pid int, i int, key string, n long, head array<long>, "
+                                    "nb array<long>, cend array<long>, tend array<long>")
+    rows = summ.orderBy("pid", "i").collect()   # at most two rows per partition
+    state: dict[str, tuple[int, int, int]] = {}  # key -> (batch_no, cnt, t0)
+    carry: dict[tuple[int, str], tuple[int, int, int]] = {}
+    reasons: dict[tuple[str, int], str] = {}
+    last_key = None
+    for r in rows:
+        pid, key, n = r["pid"], r["key"], r["n"]
+        if last_key is not None and last_key != key:
+            bn, cnt, _t0 = state[last_key]      # that key has ended: flush
+            if cnt > 0:
+                reasons[(last_key, bn)] = "shutdown"
+        bno, cnt, t0 = state.get(key, (0, 0, 0)) if r["i"] == 0 else (0, 0, 0)
+        if r["i"] == 0 and key in state:
+            carry[(pid, key)] = (bno, cnt, t0)
+        head = list(r["head"])
+        if cnt == 0:
+            rr = 0
+        else:
+            rr = min(b - cnt, n)
+            for j in range(min(b - cnt, n)):
+                if head[j] >= t0 + dl:
+                    rr = j
+                    break
+            if rr < n or cnt + rr == b:
+                reasons[(key, bno)] = "full" if cnt + rr == b else "timeout"
+        if cnt > 0 and rr == n and cnt + n < b:
+            state[key] = (bno, cnt + n, t0)
+        else:
+            nb, ce, te = r["nb"][rr], r["cend"][rr], r["tend"][rr]
+            state[key] = (bno + nb, ce, te)
+        last_key = key
+    if last_key is not None:
+        bn, cnt, _t0 = state[last_key]
+        if cnt > 0:
+            reasons[(last_key, bn)] = "shutdown"
+    bc = s.sparkSession.sparkContext.broadcast((carry, reasons))
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        cmap, rmap = bc.value
+        out: list[tuple] = []
+        open_rows: list[tuple] = []
+        cur_key = None
+        bno = cnt = t0 = 0
+        kcols = None
+
+        def close(reason):
+            nonlocal open_rows
+            out.extend(r + (reason,) for r in open_rows)
+            open_rows = []
+
+        for pdf in batches:
+            for key, g in _runs(pdf, keys):
+                if key != cur_key:
+                    if open_rows:
+                        close(rmap.get((cur_key, bno), "shutdown"))
+                    cur_key = key
+                    bno, cnt, t0 = cmap.get((pid, key), (0, 0, 0))
+                kv = tuple(g[keys].iloc[0].tolist())
+                kcols = keys
+                for t, i in zip(g["_t"].to_numpy(np.int64).tolist(), g[id_col].tolist()):
+                    if cnt > 0 and t >= t0 + dl:
+                        close(rmap.get((cur_key, bno), "timeout"))
+                        cnt = 0
+                    if cnt == 0:
+                        bno += 1
+                        t0 = t
+                    cnt += 1
+                    open_rows.append(kv + (i, bno, cnt))
+                    if cnt >= b:
+                        close("full")
+                        cnt = 0
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, id_col, "batch_no", "pos", "reason"])
+                out = []
+        if open_rows:
+            close(rmap.get((cur_key, bno), "shutdown"))
+        if out:
+            yield pd.DataFrame(out, columns=[*(kcols or keys), id_col, "batch_no", "pos",
+                                             "reason"])
+
+    types = {f.name: f.dataType.simpleString() for f in s.schema.fields}
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] +
+                       [f"{id_col} {types[id_col]}", "batch_no long", "pos int",
+                        "reason string"])
+    return s.mapInPandas(evaluate, schema)

@@ -118,3 +118,27 @@ def test_adaptive_delay_scan_splits_hot_key(spark):
     parts = sequence.range_sorted(df, ["k"], ["t"], 12).where(F.col("k") == "hot") \
         .select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 3
+
+
+@pytest.mark.parametrize("b,delay", [(4, 10), (3, 1000), (8, 25)])
+def test_assign_batches_scan_hot_key(spark, b, delay):
+    from larkspur.operators import sequence
+    import random
+    rnd = random.Random(b * 7 + delay)
+    rows, t = [], 0
+    for i in range(1500):
+        t += rnd.choice([0, 1, 2, 5, 9, 30])
+        rows.append(("hot", t, i))
+    for j in range(6):
+        tt = 0
+        for i in range(rnd.randint(1, 12)):
+            tt += rnd.choice([0, 3, 11])
+            rows.append(("k%d" % j, tt, 10000 + j * 100 + i))
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    got = {r["id"]: (r["batch_no"], r["pos"], r["reason"]) for r in
+           sequence.assign_batches_scan(df, ["k"], ["t", "id"], "t", b, delay, "id",
+                                        partitions=16).collect()}
+    exp = {}
+    for k in sorted({r[0] for r in rows}):
+        exp.update(_py_batches(sorted((t, i) for kk, t, i in rows if kk == k), b, delay))
+    assert got == exp
