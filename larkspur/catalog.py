@@ -798,10 +798,10 @@ r AS (
 
 
 def _reuse(spark, sf_dir):
-    from larkspur.operators import reuse
+    from larkspur.operators import sequence
     e = _events_keyed(spark, sf_dir)
-    return reuse.reuse_within_ttl(e, ["user_id", "event_type"], ["ts", "event_id"], "t_us",
-                                  _TTL_US, "event_id")
+    return sequence.reuse_within_ttl_scan(e, ["user_id", "event_type"], ["ts", "event_id"],
+                                          "t_us", _TTL_US, "event_id")
 
 
 @register("reuse_within_ttl", _REUSE_SQL + "SELECT user_id, event_type, event_id, hit FROM r")

@@ -354,3 +354,119 @@ def assign_batches_scan(df: DataFrame, keys: list[str], order: list[str], ts_mic
                        [f"{id_col} {types[id_col]}", "batch_no long", "pos int",
                         "reason string"])
     return s.mapInPandas(evaluate, schema)
+
+
+# ---------------------------------------------------------------------------
+# R2: reuse within TTL with hot keys split
+# ---------------------------------------------------------------------------
+#
+# State = time of the key's last miss L.  Given L, the leading rows with
+# t <= L + ttl are hits and the row after them starts a deterministic chain
+# of misses (each miss -> first row later than miss + ttl).  A run's effect
+# is therefore the function "number of leading hits r -> last miss of the
+# chain from r", needed only for r within one ttl of the run's first row.
+
+def _r2_chain(t: np.ndarray, ttl: int):
+    """nxt[i] = first row later than t[i] + ttl; end[i] = last miss of the
+    chain starting with a miss at i (pointer jumping, O(log n) passes)."""
+    n = len(t)
+    nxt = np.searchsorted(t, t + ttl, side="right")
+    e = np.where(nxt < n, nxt, np.arange(n))
+    while True:
+        e2 = e[e]
+        if np.array_equal(e2, e):
+            return nxt, e
+        e = e2
+
+
+def reuse_within_ttl_scan(df: DataFrame, keys: list[str], order: list[str], ts_micros: str,
+                          ttl_micros: int, id_col: str,
+                          partitions: int | None = None) -> DataFrame:
+    """R2 -> (keys..., id_col, hit); exact, hot keys split across tasks."""
+    ttl = int(ttl_micros)
+    cols = list(dict.fromkeys([*keys, *order, id_col, ts_micros]))
+    s = range_sorted(df.select(*cols).withColumn("_t", F.col(ts_micros)), keys, order,
+                     partitions)
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        first = cur = None
+        for pdf in batches:
+            for key, g in _runs(pdf, keys):
+                t = g["_t"].to_numpy(np.int64).tolist()
+                if cur is not None and cur[0] == key:
+                    cur[1].extend(t)
+                    continue
+                if cur is not None and first is None:
+                    first = cur
+                cur = (key, list(t))
+        out = [r for r in (first, cur) if r is not None]
+        rows = []
+        for i, (key, ts) in enumerate(out):
+            t = np.asarray(ts, dtype=np.int64)
+            n = len(t)
+            _, e = _r2_chain(t, ttl)
+            m = int(np.searchsorted(t, t[0] + ttl, side="right")) if i == 0 else 1
+            r_hi = min(m, n - 1)
+            ends = t[e[:r_hi + 1]]
+            # runs of equal chain ends over r; threshold of run starting at a is t[a-1]
+            starts = [0] + [a for a in range(1, r_hi + 1) if ends[a] != ends[a - 1]]
+            thr = [None if a == 0 else int(t[a - 1]) for a in starts]
+            rows.append((pid, i, key, n, int(t[-1]), m == n, thr,
+                         [int(ends[a]) for a in starts]))
+        yield pd.DataFrame(rows, columns=["pid", "i", "key", "n", "tlast", "all_within",
+                                          "thr", "end"])
+
+    summ = s.mapInPandas(summarise, "pid int, i int, key string, n long, tlast long, "
+                                    "all_within boolean, thr array<long>, end array<long>")
+    rows = summ.orderBy("pid", "i").collect()   # at most two rows per partition
+    state: dict[str, int | None] = {}
+    carry: dict[tuple[int, str], int] = {}
+    for r in rows:
+        pid, key = r["pid"], r["key"]
+        last = state.get(key) if r["i"] == 0 else None
+        if r["i"] == 0 and last is not None:
+            carry[(pid, key)] = last
+        if last is None:
+            state[key] = r["end"][0]
+            continue
+        x = last + ttl
+        if r["all_within"] and r["tlast"] <= x:
+            state[key] = last            # every row of the run is a hit
+            continue
+        k = 0
+        for j, th in enumerate(r["thr"]):
+            if th is None or th <= x:
+                k = j
+        state[key] = r["end"][k]
+    bc = s.sparkSession.sparkContext.broadcast(carry)
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        cmap = bc.value
+        cur_key, last = None, None
+        for pdf in batches:
+            outs = []
+            for key, g in _runs(pdf, keys):
+                if key != cur_key:
+                    cur_key, last = key, cmap.get((pid, key))
+                t = g["_t"].to_numpy(np.int64)
+                hit = np.ones(len(t), dtype=bool)
+                i = 0 if last is None else int(np.searchsorted(t, last + ttl, side="right"))
+                nxt = np.searchsorted(t, t + ttl, side="right")
+                while i < len(t):      # walk the misses only
+                    hit[i] = False
+                    last = int(t[i])
+                    i = int(nxt[i])
+                o = g[[*keys, id_col]].copy()
+                o["hit"] = hit
+                outs.append(o)
+            if outs:
+                yield pd.concat(outs)
+
+    types = {f.name: f.dataType.simpleString() for f in s.schema.fields}
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] +
+                       [f"{id_col} {types[id_col]}", "hit boolean"])
+    return s.mapInPandas(evaluate, schema)

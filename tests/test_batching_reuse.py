@@ -142,3 +142,32 @@ def test_assign_batches_scan_hot_key(spark, b, delay):
     for k in sorted({r[0] for r in rows}):
         exp.update(_py_batches(sorted((t, i) for kk, t, i in rows if kk == k), b, delay))
     assert got == exp
+
+
+@pytest.mark.parametrize("ttl", [10, 1, 100])
+def test_reuse_scan_hot_key(spark, ttl):
+    from larkspur.operators import sequence
+    import random
+    rnd = random.Random(ttl)
+    rows, t = [], 0
+    for i in range(2000):
+        t += rnd.choice([0, 1, 2, 4, 7, 13, 40])
+        rows.append(("hot", t, i))
+    for j in range(5):
+        tt = 0
+        for i in range(rnd.randint(1, 9)):
+            tt += rnd.choice([0, 5, 11])
+            rows.append(("k%d" % j, tt, 10000 + j * 100 + i))
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    got = {r["id"]: r["hit"] for r in sequence.reuse_within_ttl_scan(
+        df, ["k"], ["t", "id"], "t", ttl, "id", partitions=16).collect()}
+    exp = {}
+    for k in sorted({r[0] for r in rows}):
+        last = None
+        for tt, i in sorted((tt, i) for kk, tt, i in rows if kk == k):
+            if last is not None and tt - last <= ttl:
+                exp[i] = True
+            else:
+                exp[i] = False
+                last = tt
+    assert got == exp
