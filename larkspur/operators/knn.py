@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.constants import BROADCAST_LIMIT_BYTES, KNN_BLOCK_ROWS
 
 _TILE_BYTES = 64 * 1024 * 1024
+SCAN_TASKS_PER_CORE = 4
 
 
 def _stack(series) -> np.ndarray:
@@ -178,6 +179,11 @@ def _broadcast_candidates(q: DataFrame, c: DataFrame, k: int,
                 top.add(pdf["vec_id"].to_numpy(np.int64), _stack(pdf["vec"]))
         yield top.result(ids)
 
+    # every scan task emits n_q * k candidates whatever its size, so the number
+    # of scan tasks is capped (a narrow coalesce, no shuffle of the corpus)
+    cap = SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    if c.rdd.getNumPartitions() > cap:
+        c = c.coalesce(cap)
     return c.mapInPandas(scan, _cand_schema(q))
 
 
