@@ -57,6 +57,15 @@ def run_to_sink(df: DataFrame, name: str, output_mode: str = "append",
     return f"{base}/data"
 
 
+def _one_frame(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """The group's rows of this micro-batch as one frame (no copy when the
+    group arrived in a single Arrow batch)."""
+    parts = [p for p in pdfs if len(p)]
+    if not parts:
+        return None
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+
 # --- R5 ----------------------------------------------------------------------
 
 def stream_metric_windows(events: DataFrame, labels: list[str], ts: str, value: str,
@@ -90,23 +99,27 @@ def stream_reuse_within_ttl(events: DataFrame, keys: list[str], ts: str, ts_micr
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
+        pdf = _one_frame(pdfs)
+        if pdf is None:
             return
-        pdf = pd.concat(parts).sort_values(["_t", id_col], kind="stable")
-        hits = np.zeros(len(pdf), dtype=bool)
-        for i, t in enumerate(pdf["_t"].to_numpy(np.int64)):
-            t = int(t)
-            if last is not None and t - last <= ttl_micros:
-                hits[i] = True
-            else:
-                last = t
+        t0 = pdf["_t"].to_numpy(np.int64)
+        ids0 = pdf[id_col].to_numpy()
+        o = np.lexsort((ids0, t0))
+        t = t0[o]
+        hit = np.ones(len(t), dtype=bool)
+        i = 0 if last is None else int(np.searchsorted(t, last + ttl_micros, side="right"))
+        nxt = np.searchsorted(t, t + ttl_micros, side="right")
+        while i < len(t):            # walk the misses only
+            hit[i] = False
+            last = int(t[i])
+            i = int(nxt[i])
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + ttl_micros // 1000 + 1,
                                       state.getCurrentWatermarkMs() + 1))
-        out = pdf[list(keys) + [id_col]].copy()
-        out["hit"] = hits
-        yield out
+        out = {k: np.repeat(np.asarray([v]), len(t)) for k, v in zip(keys, key)}
+        out[id_col] = ids0[o]
+        out["hit"] = hit
+        yield pd.DataFrame(out)
 
     src = events.withColumn("_t", F.col(ts_micros)).withWatermark(ts, watermark)
     return (src.groupBy(*keys).applyInPandasWithState(
@@ -184,29 +197,21 @@ def stream_adaptive_delay(events: DataFrame, keys: list[str], ts_micros: str, id
     hist_n = ADAPTIVE_HISTORY
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        from larkspur.operators.sequence import _ewma, _targets
         hist, d = (list(state.get[0]), state.get[1]) if state.exists else ([], min_delay)
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
+        pdf = _one_frame(pdfs)
+        if pdf is None:
             return
-        pdf = pd.concat(parts).sort_values(["_t", id_col], kind="stable")
-        avgs, delays = [], []
-        for k in pdf[depth].tolist():
-            hist.append(float(k))
-            if len(hist) > hist_n:
-                hist.pop(0)
-            avg = sum(hist) / len(hist)
-            if avg >= batch_size:
-                target = max_delay
-            else:
-                target = min_delay + avg / batch_size * (max_delay - min_delay)
-            d = keep * d + (1.0 - keep) * target
-            avgs.append(avg)
-            delays.append(max(min_delay, min(d, max_delay)))
-        state.update((hist, d))
-        out = pdf[list(keys) + [id_col]].copy()
-        out["avg_depth"] = avgs
-        out["delay"] = delays
-        yield out
+        o = np.lexsort((pdf[id_col].to_numpy(), pdf["_t"].to_numpy(np.int64)))
+        dep = pdf[depth].to_numpy(np.float64)[o]
+        avg, tgt = _targets(dep, hist, float(batch_size), float(min_delay), float(max_delay))
+        dd = _ewma(tgt, d, keep)
+        state.update(((list(hist) + dep.tolist())[-(hist_n - 1):], float(dd[-1])))
+        out = {k: np.repeat(np.asarray([v]), len(dep)) for k, v in zip(keys, key)}
+        out[id_col] = pdf[id_col].to_numpy()[o]
+        out["avg_depth"] = avg
+        out["delay"] = np.clip(dd, min_delay, max_delay)
+        yield pd.DataFrame(out)
 
     src = events.withColumn("_t", F.col(ts_micros))
     return src.groupBy(*keys).applyInPandasWithState(
