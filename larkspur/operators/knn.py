@@ -181,9 +181,8 @@ def _broadcast_candidates(q: DataFrame, c: DataFrame, k: int,
 
     # every scan task emits n_q * k candidates whatever its size, so the number
     # of scan tasks is capped (a narrow coalesce, no shuffle of the corpus)
-    cap = SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    if c.rdd.getNumPartitions() > cap:
-        c = c.coalesce(cap)
+    # (coalesce never adds partitions, so this is a no-op for a narrow corpus)
+    c = c.coalesce(SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return c.mapInPandas(scan, _cand_schema(q))
 
 

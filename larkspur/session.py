@@ -67,11 +67,13 @@ def cut_lineage(df, spark: SparkSession | None = None):
 
 
 def spread(df):
-    """Round-robin a frame whose partition count is below the cluster's
-    parallelism (e.g. one large file in one row group) before per-row heavy
-    work such as tokenising; frames that are already wide pass through."""
+    """Round-robin a frame read from fewer files than the cluster has cores
+    (e.g. one file of a few row groups) before per-row heavy work such as
+    tokenising; frames over many files are already wide and pass through.
+
+    Decided from the input file list only: nothing is executed here."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    if len(df.inputFiles()) < par:
         return df.repartition(par)
     return df
