@@ -233,7 +233,7 @@ def build_ivf(corpus: DataFrame, nlist: int, sample_rows: int = 10000, seed: int
     Training is distributed (pyspark.ml); the centroid table is nlist x dim.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     base = corpus.select(F.col(corpus_id).alias("vec_id"), F.col(corpus_vec).alias("embedding"))
     n = base.count()
@@ -247,7 +247,6 @@ def build_ivf(corpus: DataFrame, nlist: int, sample_rows: int = 10000, seed: int
     spark = corpus.sparkSession
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "cell int, center array<double>")
-    _ = vector_to_array  # imported for symmetry; centers are already arrays
     return assigned, centroids
 
 

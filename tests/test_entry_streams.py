@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 import __spark_entry__ as E
 from conftest import SF
 

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from larkspur.functions.text import (normalise_query, text_fingerprint, token_sort_key,
                                      tokens, truncate_text)
 from larkspur.operators import postprocess, validate
