@@ -120,6 +120,31 @@ def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModel
     return out.select("request_id", "generated_response", "sentiment", "is_toxic")
 
 
+def hand_off(ranked: DataFrame, requests: DataFrame, docs: DataFrame,
+             plan: PipelinePlan) -> DataFrame:
+    """Retrieval -> generation hand-off in the plan's payload mode.
+
+    ``full`` passes the rows on; ``compressed`` packs each request's documents
+    (P18/P19) and the generation side unpacks them (an unreadable payload keeps
+    the previous documents, P19 quirk); ``id_only`` blanks titles and contents
+    and the generation side refetches them (J10).  Groups are k documents.
+    """
+    if plan.payload_mode == "full":
+        return ranked
+    arr = fetch.collect_docs(ranked, requests, order="rank")
+    sent = payload.apply_payload_mode(arr, plan.payload_mode)
+    if plan.payload_mode == "compressed":
+        got = payload.restore_payload(sent)
+    else:
+        got = fetch.fetch_if_blank(sent.drop("compressed_docs"), docs)
+        if plan.truncate_chars is not None and plan.runs("truncate"):
+            got = got.withColumn("docs", F.transform("docs", lambda d: d.withField(
+                "content", F.substring(d["content"], 1, plan.truncate_chars))))
+    rows = got.select("request_id", F.posexplode("docs").alias("_p", "d"))
+    return rows.select("request_id", (F.col("_p") + 1).alias("rank"),
+                       F.col("d.doc_id").alias("doc_id"), F.col("d.content").alias("content"))
+
+
 def answer_requests(requests: DataFrame, docs: DataFrame, models: AnswerModels,
                     plan: PipelinePlan | None = None,
                     qvectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +154,7 @@ def answer_requests(requests: DataFrame, docs: DataFrame, models: AnswerModels,
     accepted = v.where("ok").select("request_id", "query")
     rejects = v.where("NOT ok").select("request_id", "query", "reason")
     ranked = retrieve(accepted, docs, models, plan, qvectors)
+    ranked = hand_off(ranked, accepted, docs, plan)
     return generate_answers(accepted, ranked, models, plan), rejects
 
 

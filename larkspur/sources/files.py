@@ -90,6 +90,23 @@ def collect_batch_envelope(items: DataFrame, fields: list[str]) -> DataFrame:
                       .alias("items"))
 
 
+# --- S3 --------------------------------------------------------------------
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """S3: request records (request_id, query) from JSON lines, schema fixed;
+    ``validate.validate_requests`` then splits accepted from rejected."""
+    return spark.read.schema(REQUEST_ITEM).json(path)
+
+
+def request_stream(spark: SparkSession, path: str,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """S3 as a stream: new JSON files in ``path`` are new requests."""
+    r = spark.readStream.schema(REQUEST_ITEM)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)
+
+
 # --- S5 --------------------------------------------------------------------
 
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:

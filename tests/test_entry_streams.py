@@ -46,3 +46,18 @@ def test_stream_answer_equals_batch(spark):
     q = E.queries()
     cols = ["request_id", "generated_response", "sentiment", "is_toxic"]
     assert _rows(q["stream_answer"](spark, SF), cols) == _rows(q["answer_requests"](spark, SF), cols)
+
+
+def test_payload_modes_give_same_answers(spark):
+    from larkspur import catalog
+    from larkspur.plans.answer import answer_requests
+    from larkspur.plans.plan import PipelinePlan
+    from larkspur.sources import tables as T
+    docs, models = catalog._answer_models(spark, SF, PipelinePlan())
+    req = T.requests_from_benchmark(spark, SF)
+    cols = ["request_id", "generated_response", "sentiment", "is_toxic"]
+    res = {}
+    for mode in ("full", "compressed", "id_only"):
+        a, _ = answer_requests(req, docs, models, PipelinePlan(payload_mode=mode))
+        res[mode] = _rows(a, cols)
+    assert res["full"] == res["compressed"] == res["id_only"]

@@ -116,3 +116,18 @@ def test_generators(spark):
                                 "item_id")
     got = sorted((r["id"], r["query"]) for r in generators.generate_requests(arrivals, qs).collect())
     assert got == [(0, "x"), (1, "y"), (2, "x"), (3, "y"), (4, "x")]
+
+
+def test_request_readers(spark):
+    from larkspur.operators import validate
+    d = tempfile.mkdtemp(prefix="larkspur-test-")
+    with open(os.path.join(d, "r.json"), "w") as f:
+        f.write('{"request_id": "a", "query": "hi"}\n{"request_id": "b", "query": ""}\n'
+                '{"query": "no id"}\n')
+    got = {(r["request_id"], r["ok"]) for r in
+           validate.validate_requests(files.read_requests(spark, d)).collect()}
+    assert got == {("a", True), ("b", False), (None, False)}
+    s = files.request_stream(spark, d)
+    q = s.writeStream.format("memory").queryName("req_probe").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.sql("SELECT count(*) FROM req_probe").first()[0] == 3
