@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.quantiles import exclusive_quantile_ranks, rank_select
+from larkspur.session import cut_lineage
 
 SUMMARY_COLUMNS = [
     "total_requests", "successful", "failed", "success_rate", "throughput_req_per_min",
@@ -43,12 +44,14 @@ def latency_summary(log: DataFrame, keys: list[str] | tuple[str, ...] = ("run",)
     L = F.col("successful")
     j95, d95 = exclusive_quantile_ranks(L, 20, 19)
     j99, d99 = exclusive_quantile_ranks(L, 100, 99)
-    g = g.select(
+    # one row per group, used twice below: materialise it so the log is
+    # aggregated once
+    g = cut_lineage(g.select(
         "*",
         F.floor((L + 1) / 2).cast("long").alias("_m1"),
         (F.floor(L / 2) + 1).cast("long").alias("_m2"),
         j95.alias("_j95"), d95.alias("_d95"), j99.alias("_j99"), d99.alias("_d99"),
-    )
+    ))
     rank_cols = ["_m1", "_m2", "_j95", "_j99"]
     wanted = (g.where(L > 0)
               .select(*keys, F.explode(F.array_distinct(F.array(
