@@ -7,6 +7,7 @@ on both sides so engine-specific last-bit differences do not matter.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from larkspur.constants import TOP_K, TRUNCATE_CHARS
 from larkspur.functions.text import normalise_query, text_fingerprint, token_sort_key, truncate_text
 from larkspur.operators import fetch, knn, validate
+from larkspur.session import ship_package
 from larkspur.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +25,11 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)   # workers import larkspur from the shipped zip
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

@@ -34,6 +34,7 @@ def get_spark(master: str | None = None, app: str = "larkspur",
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -77,3 +78,31 @@ def spread(df):
     if len(df.inputFiles()) < par:
         return df.repartition(par)
     return df
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``larkspur`` importable in the Python workers (the ``--py-files``
+    mechanism): the package is zipped once per SparkContext and added with
+    ``addPyFile``, which Spark distributes to every executor."""
+    import zipfile
+
+    import larkspur
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(larkspur.__file__))
+    fd, path = tempfile.mkstemp(prefix="larkspur-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
