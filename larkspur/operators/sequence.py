@@ -470,3 +470,56 @@ def reuse_within_ttl_scan(df: DataFrame, keys: list[str], order: list[str], ts_m
     schema = ", ".join([f"{k} {types[k]}" for k in keys] +
                        [f"{id_col} {types[id_col]}", "hit boolean"])
     return s.mapInPandas(evaluate, schema)
+
+
+# ---------------------------------------------------------------------------
+# lag over a hot key (counter deltas)
+# ---------------------------------------------------------------------------
+
+def lag_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
+             out: str = "prev", partitions: int | None = None) -> DataFrame:
+    """Previous ``value`` of the same key in ``order`` (null for the first
+    row), without a window partitioned by key: the carry is the key's last
+    value in the previous partition."""
+    s = range_sorted(df, keys, order, partitions)
+    vtype = s.schema[value].dataType.simpleString()
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        last = {}
+        for pdf in batches:
+            for key, g in _runs(pdf, keys):
+                last = {key: g[value].iloc[-1]}   # only the partition's last key matters
+        rows = [(pid, k, None if pd.isna(v) else v) for k, v in last.items()]
+        yield pd.DataFrame(rows, columns=["pid", "key", "last"])
+
+    summ = s.mapInPandas(summarise, f"pid int, key string, last {vtype}")
+    rows = summ.orderBy("pid").collect()          # one row per partition
+    carry: dict[int, tuple[str, object]] = {}
+    prev_key, prev_val = None, None
+    for r in rows:
+        carry[r["pid"]] = (prev_key, prev_val)
+        prev_key, prev_val = r["key"], r["last"]
+    bc = s.sparkSession.sparkContext.broadcast(carry)
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        ck, cv = bc.value.get(pid, (None, None))
+        cur_key, cur_last = ck, cv
+        for pdf in batches:
+            outs = []
+            for key, g in _runs(pdf, keys):
+                p = g[value].shift(1)
+                p.iloc[0] = cur_last if key == cur_key else None
+                o = g.copy()
+                o[out] = p
+                outs.append(o)
+                cur_key, cur_last = key, g[value].iloc[-1]
+            if outs:
+                yield pd.concat(outs)
+
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields] +
+                       [f"{out} {vtype}"])
+    return s.mapInPandas(evaluate, schema)

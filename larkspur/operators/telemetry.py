@@ -8,7 +8,7 @@ set is combined map-side and never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.timeutil import epoch_micros
@@ -71,12 +71,16 @@ def counter_rate_from_increments(df: DataFrame, labels: list[str], ts: str, inc:
 
 def counter_deltas(samples: DataFrame, labels: list[str], ts: str, value: str,
                    order: list[str] | None = None) -> DataFrame:
-    """Positive deltas of a counter series; a drop is a reset (delta = new value)."""
-    w = Window.partitionBy(*labels).orderBy(*(order or [ts]))
-    prev = F.lag(value).over(w)
+    """Positive deltas of a counter series; a drop is a reset (delta = new value).
+
+    The previous reading comes from a range-partitioned lag (``sequence.
+    lag_scan``), so a label set with most of the samples is still split."""
+    from larkspur.operators.sequence import lag_scan
+    s = lag_scan(samples, labels, order or [ts], value, "_prev")
+    prev = F.col("_prev")
     d = F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) >= prev, F.col(value) - prev) \
         .otherwise(F.col(value))
-    return samples.withColumn("delta", d)
+    return s.withColumn("delta", d).drop("_prev")
 
 
 def counter_rate(samples: DataFrame, labels: list[str], ts: str, value: str,

@@ -131,3 +131,13 @@ def test_request_readers(spark):
     q = s.writeStream.format("memory").queryName("req_probe").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT count(*) FROM req_probe").first()[0] == 3
+
+
+def test_lag_scan_hot_key(spark):
+    from larkspur.operators.sequence import lag_scan
+    rows = [("hot", i, float(i * 3 % 17)) for i in range(1200)] + [("c", i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {(r["k"], r["t"]): r["prev"] for r in lag_scan(df, ["k"], ["t"], "v", partitions=12).collect()}
+    for k, t, v in rows:
+        exp = None if t == 0 else next(x for kk, tt, x in rows if kk == k and tt == t - 1)
+        assert got[(k, t)] == exp
