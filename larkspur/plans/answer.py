@@ -162,3 +162,27 @@ def docs_per_request(ranked: DataFrame, requests: DataFrame, plan: PipelinePlan)
     """A12 + P18: ordered doc arrays per request in the plan's payload mode."""
     arr = fetch.collect_docs(ranked, requests, order="rank")
     return payload.apply_payload_mode(arr, plan.payload_mode)
+
+
+def save_models(models: AnswerModels, path: str) -> None:
+    """Persist the corpus-side models once (the index build): document
+    vectors, idf table, toxicity weights and scalars, as parquet on shared
+    storage.  Answering then reads them instead of refitting."""
+    spark = models.doc_vectors.sparkSession
+    models.doc_vectors.write.mode("overwrite").parquet(f"{path}/doc_vectors")
+    models.idf.table.write.mode("overwrite").parquet(f"{path}/idf")
+    models.toxicity.weights.write.mode("overwrite").parquet(f"{path}/toxicity_weights")
+    spark.createDataFrame([(models.idf.n_docs, models.toxicity.prior)],
+                          "n_docs long, prior double").write.mode("overwrite") \
+        .parquet(f"{path}/scalars")
+    if models.lexicon is not None:
+        models.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+
+
+def load_models(spark, path: str, with_lexicon: bool = False) -> AnswerModels:
+    sc = spark.read.parquet(f"{path}/scalars").first()
+    return AnswerModels(
+        spark.read.parquet(f"{path}/doc_vectors"),
+        scorers.IdfModel(spark.read.parquet(f"{path}/idf"), int(sc["n_docs"])),
+        scorers.TokenLogOdds(spark.read.parquet(f"{path}/toxicity_weights"), float(sc["prior"])),
+        spark.read.parquet(f"{path}/lexicon") if with_lexicon else None)

@@ -61,3 +61,19 @@ def test_payload_modes_give_same_answers(spark):
         a, _ = answer_requests(req, docs, models, PipelinePlan(payload_mode=mode))
         res[mode] = _rows(a, cols)
     assert res["full"] == res["compressed"] == res["id_only"]
+
+
+def test_saved_models_answer_the_same(spark):
+    from larkspur import catalog
+    from larkspur.plans.answer import answer_requests, load_models, save_models
+    from larkspur.plans.plan import PipelinePlan
+    from larkspur.session import shared_dir
+    from larkspur.sources import tables as T
+    docs, models = catalog._answer_models(spark, SF, PipelinePlan())
+    path = shared_dir(spark, "models")
+    save_models(models, path)
+    req = T.requests_from_benchmark(spark, SF)
+    cols = ["request_id", "generated_response", "sentiment", "is_toxic"]
+    a, _ = answer_requests(req, docs, models)
+    b, _ = answer_requests(req, docs, load_models(spark, path))
+    assert _rows(a, cols) == _rows(b, cols)
