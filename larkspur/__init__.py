@@ -6,7 +6,7 @@ family of such functions) whose work runs in Spark executors.  Subpackages:
 * ``sources``    – table scans, file readers, generators and sinks
 * ``functions``  – Column-level helpers (text, vectors, scoring maps, quantiles)
 * ``operators``  – joins, rankings, folds, aggregations, scorers
-* ``plans``      – composed pipelines and the declarative stage plan
+* ``plans``      – composed plans (retrieval, answering, run analytics) and the stage plan
 * ``streaming``  – Structured Streaming twins of the batch operators
 """
 

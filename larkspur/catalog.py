@@ -558,8 +558,8 @@ def _answer_models(spark, sf_dir, plan):
 
 def _ranked(spark, sf_dir):
     from larkspur.plans.answer import retrieve
-    from larkspur.plans.plan import PipelinePlan
-    plan = PipelinePlan().validate()
+    from larkspur.plans.plan import AnswerPlan
+    plan = AnswerPlan().validate()
     docs, models = _answer_models(spark, sf_dir, plan)
     req = T.requests_from_benchmark(spark, sf_dir)
     return req, retrieve(req, docs, models, plan), plan, models
@@ -625,8 +625,8 @@ FROM ans a JOIN senti s ON s.request_id = a.request_id JOIN tox x ON x.request_i
 
 def answer_requests_query(spark, sf_dir):
     from larkspur.plans.answer import answer_requests
-    from larkspur.plans.plan import PipelinePlan
-    plan = PipelinePlan().validate()
+    from larkspur.plans.plan import AnswerPlan
+    plan = AnswerPlan().validate()
     docs, models = _answer_models(spark, sf_dir, plan)
     answers, _ = answer_requests(T.requests_from_benchmark(spark, sf_dir), docs, models, plan)
     return answers
@@ -1137,9 +1137,9 @@ def q_stream_batches(spark, sf_dir):
 
 def _stream_answer(spark, sf_dir):
     from larkspur.plans.answer import answer_requests
-    from larkspur.plans.plan import PipelinePlan
+    from larkspur.plans.plan import AnswerPlan
     from larkspur.streaming import streams
-    plan = PipelinePlan().validate()
+    plan = AnswerPlan().validate()
     docs, models = _answer_models(spark, sf_dir, plan)
     req = streams.table_stream(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"))

@@ -304,7 +304,7 @@ def toxicity_scores(df: DataFrame, key: str, text: str, model: TokenLogOdds,
 
 def train_toxicity_lr(labelled: DataFrame, text: str = "text", label: str = "toxic",
                       num_features: int = 4096, max_chars: int = SCORER_INPUT_CHARS):
-    """M5, ML variant: HashingTF + LogisticRegression (pyspark.ml pipeline)."""
+    """M5, ML variant: HashingTF + LogisticRegression (a pyspark.ml Pipeline)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspur.constants import BROADCAST_LIMIT_BYTES
 from larkspur.operators import fetch, knn, payload, postprocess, scorers, validate
-from larkspur.plans.plan import PipelinePlan
+from larkspur.plans.plan import AnswerPlan
 from larkspur.session import cut_lineage
 
 TIE_DECIMALS = 9
@@ -31,7 +31,7 @@ class AnswerModels:
     ivf: tuple[DataFrame, DataFrame] | None = None   # (assigned, centroids)
 
 
-def fit_models(docs: DataFrame, labelled: DataFrame, plan: PipelinePlan,
+def fit_models(docs: DataFrame, labelled: DataFrame, plan: AnswerPlan,
                lexicon: DataFrame | None = None) -> AnswerModels:
     """Corpus-side fitting: document vectors, idf over the truncated table,
     toxicity weights from labelled texts (doc_id, text, toxic)."""
@@ -44,7 +44,7 @@ def fit_models(docs: DataFrame, labelled: DataFrame, plan: PipelinePlan,
 
 
 def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
-             plan: PipelinePlan, qvectors: DataFrame | None = None) -> DataFrame:
+             plan: AnswerPlan, qvectors: DataFrame | None = None) -> DataFrame:
     """C1 -> candidate rows (request_id, pos, doc_id, distance, title, content,
     category[, score, rank]).
 
@@ -87,7 +87,7 @@ def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
 
 
 def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModels,
-                     plan: PipelinePlan) -> DataFrame:
+                     plan: AnswerPlan) -> DataFrame:
     """C2 -> (request_id, generated_response, sentiment, is_toxic).
 
     Top ``context_docs`` by rank form the context; the answer is extracted
@@ -121,7 +121,7 @@ def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModel
 
 
 def hand_off(ranked: DataFrame, requests: DataFrame, docs: DataFrame,
-             plan: PipelinePlan) -> DataFrame:
+             plan: AnswerPlan) -> DataFrame:
     """Retrieval -> generation hand-off in the plan's payload mode.
 
     ``full`` passes the rows on; ``compressed`` packs each request's documents
@@ -146,10 +146,10 @@ def hand_off(ranked: DataFrame, requests: DataFrame, docs: DataFrame,
 
 
 def answer_requests(requests: DataFrame, docs: DataFrame, models: AnswerModels,
-                    plan: PipelinePlan | None = None,
+                    plan: AnswerPlan | None = None,
                     qvectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, rejects).  One answer row per accepted request."""
-    plan = (plan or PipelinePlan()).validate()
+    plan = (plan or AnswerPlan()).validate()
     v = validate.validate_requests(requests)
     accepted = v.where("ok").select("request_id", "query")
     rejects = v.where("NOT ok").select("request_id", "query", "reason")
@@ -158,7 +158,7 @@ def answer_requests(requests: DataFrame, docs: DataFrame, models: AnswerModels,
     return generate_answers(accepted, ranked, models, plan), rejects
 
 
-def docs_per_request(ranked: DataFrame, requests: DataFrame, plan: PipelinePlan) -> DataFrame:
+def docs_per_request(ranked: DataFrame, requests: DataFrame, plan: AnswerPlan) -> DataFrame:
     """A12 + P18: ordered doc arrays per request in the plan's payload mode."""
     arr = fetch.collect_docs(ranked, requests, order="rank")
     return payload.apply_payload_mode(arr, plan.payload_mode)

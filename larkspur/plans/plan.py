@@ -19,7 +19,7 @@ PAYLOAD_MODES = ("full", "id_only", "compressed")
 
 
 @dataclass
-class PipelinePlan:
+class AnswerPlan:
     name: str = "answer"
     stages: tuple[str, ...] = STAGES
     k: int = TOP_K
@@ -36,7 +36,7 @@ class PipelinePlan:
     has_document_table: bool = True
     extra: dict = field(default_factory=dict)
 
-    def validate(self) -> "PipelinePlan":
+    def validate(self) -> "AnswerPlan":
         unknown = [s for s in self.stages if s not in STAGES]
         if unknown:
             raise ValueError(f"unknown stage(s): {unknown}")

@@ -51,14 +51,14 @@ def test_stream_answer_equals_batch(spark):
 def test_payload_modes_give_same_answers(spark):
     from larkspur import catalog
     from larkspur.plans.answer import answer_requests
-    from larkspur.plans.plan import PipelinePlan
+    from larkspur.plans.plan import AnswerPlan
     from larkspur.sources import tables as T
-    docs, models = catalog._answer_models(spark, SF, PipelinePlan())
+    docs, models = catalog._answer_models(spark, SF, AnswerPlan())
     req = T.requests_from_benchmark(spark, SF)
     cols = ["request_id", "generated_response", "sentiment", "is_toxic"]
     res = {}
     for mode in ("full", "compressed", "id_only"):
-        a, _ = answer_requests(req, docs, models, PipelinePlan(payload_mode=mode))
+        a, _ = answer_requests(req, docs, models, AnswerPlan(payload_mode=mode))
         res[mode] = _rows(a, cols)
     assert res["full"] == res["compressed"] == res["id_only"]
 
@@ -66,10 +66,10 @@ def test_payload_modes_give_same_answers(spark):
 def test_saved_models_answer_the_same(spark):
     from larkspur import catalog
     from larkspur.plans.answer import answer_requests, load_models, save_models
-    from larkspur.plans.plan import PipelinePlan
+    from larkspur.plans.plan import AnswerPlan
     from larkspur.session import shared_dir
     from larkspur.sources import tables as T
-    docs, models = catalog._answer_models(spark, SF, PipelinePlan())
+    docs, models = catalog._answer_models(spark, SF, AnswerPlan())
     path = shared_dir(spark, "models")
     save_models(models, path)
     req = T.requests_from_benchmark(spark, SF)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import payload, scorers
-from larkspur.plans.plan import PipelinePlan
+from larkspur.plans.plan import AnswerPlan
 
 
 def test_embedding_unit_norm_and_zero_vectors(spark):
@@ -106,13 +106,13 @@ def test_compression_stats(spark):
 
 
 def test_plan_validation():
-    PipelinePlan().validate()
+    AnswerPlan().validate()
     with pytest.raises(ValueError):
-        PipelinePlan(payload_mode="id_only", has_document_table=False).validate()
+        AnswerPlan(payload_mode="id_only", has_document_table=False).validate()
     with pytest.raises(ValueError):
-        PipelinePlan(stages=("validate", "teleport")).validate()
+        AnswerPlan(stages=("validate", "teleport")).validate()
     with pytest.raises(ValueError):
-        PipelinePlan(stages=("validate", "validate")).validate()
+        AnswerPlan(stages=("validate", "validate")).validate()
     with pytest.raises(ValueError):
-        PipelinePlan(rerank_passes=4).validate()
-    assert not PipelinePlan(rerank_passes=0).runs("rerank")
+        AnswerPlan(rerank_passes=4).validate()
+    assert not AnswerPlan(rerank_passes=0).runs("rerank")

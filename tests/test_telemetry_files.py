@@ -56,9 +56,9 @@ def test_flatten_metric_matrix(spark):
     d = tempfile.mkdtemp(prefix="larkspur-test-")
     path = os.path.join(d, "m.json")
     with open(path, "w") as f:
-        f.write(json.dumps({"metric": {"__name__": "pipeline_requests_total", "node": "0"},
+        f.write(json.dumps({"metric": {"__name__": "requests_total", "node": "0"},
                             "values": [[1700000000.5, "3"], [1700000005, "4"]]}) + "\n")
-        f.write(json.dumps({"metric": {"__name__": "pipeline_requests_total", "service": "gw"},
+        f.write(json.dumps({"metric": {"__name__": "requests_total", "service": "gw"},
                             "values": [[1700000000, "1"]]}) + "\n")
     m = files.read_metric_matrix(spark, path)
     rows = files.flatten_metric_matrix(m, "run1", "service").orderBy("_ts", "node").collect()
