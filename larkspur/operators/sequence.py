@@ -242,26 +242,26 @@ def assign_batches_scan(df: DataFrame, keys: list[str], order: list[str], ts_mic
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        first = cur = None      # (key, timestamps) of the first and the current run
+        first = cur = None      # (key, int64 chunks) of the first and the current run
         for pdf in batches:
             for key, g in _runs(pdf, keys):
-                t = g["_t"].to_numpy(np.int64).tolist()
+                t = g["_t"].to_numpy(np.int64)
                 if cur is not None and cur[0] == key:
-                    cur[1].extend(t)
+                    cur[1].append(t)
                     continue
                 if cur is not None and first is None:
                     first = cur
-                cur = (key, list(t))   # a middle run is dropped when the next begins
-        out = [r for r in (first, cur) if r is not None]
+                cur = (key, [t])   # a middle run is dropped when the next begins
+        out = [(k, np.concatenate(c)) for k, c in (r for r in (first, cur) if r is not None)]
         rows = []
-        for i, (key, ts) in enumerate(out):
-            arr = np.asarray(ts, dtype=np.int64)
+        for i, (key, arr) in enumerate(out):
+            ts = arr
             if i == 0:
                 tab = _w7_table(arr, b, dl)
             else:  # the last run of a partition always starts fresh
                 s0, c0, t00, _ = _w7_sim(arr, 0, b, dl)
                 tab = [(len(s0), c0, t00)]
-            rows.append((pid, i, key, len(ts), ts[:b], [x[0] for x in tab],
+            rows.append((pid, i, key, len(ts), ts[:b].tolist(), [x[0] for x in tab],
                          [x[1] for x in tab], [x[2] for x in tab]))
         yield pd.DataFrame(rows, columns=["pid", "i", "key", "n", "head", "nb", "cend", "tend"])
 
@@ -391,20 +391,19 @@ def reuse_within_ttl_scan(df: DataFrame, keys: list[str], order: list[str], ts_m
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        first = cur = None
+        first = cur = None      # (key, int64 chunks) of the first and the current run
         for pdf in batches:
             for key, g in _runs(pdf, keys):
-                t = g["_t"].to_numpy(np.int64).tolist()
+                t = g["_t"].to_numpy(np.int64)
                 if cur is not None and cur[0] == key:
-                    cur[1].extend(t)
+                    cur[1].append(t)
                     continue
                 if cur is not None and first is None:
                     first = cur
-                cur = (key, list(t))
-        out = [r for r in (first, cur) if r is not None]
+                cur = (key, [t])
+        out = [(k, np.concatenate(c)) for k, c in (r for r in (first, cur) if r is not None)]
         rows = []
-        for i, (key, ts) in enumerate(out):
-            t = np.asarray(ts, dtype=np.int64)
+        for i, (key, t) in enumerate(out):
             n = len(t)
             _, e = _r2_chain(t, ttl)
             m = int(np.searchsorted(t, t[0] + ttl, side="right")) if i == 0 else 1
