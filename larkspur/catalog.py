@@ -659,7 +659,8 @@ def q_map_sentiment(spark, sf_dir):
                    F.coalesce("text", F.lit("")).alias("text"))
     out = postprocess.default_answer(out.withColumn(
         "text", postprocess.mask_toxic("text", "is_toxic")))
-    return out.select("doc_id", "sentiment", "is_toxic", F.length("text").alias("text_len"))
+    return out.select("doc_id", "sentiment", "is_toxic",
+                      F.length("text").cast("long").alias("text_len"))
 
 
 # --------------------------------------------------------------------------
@@ -861,7 +862,8 @@ def q_lookup_or_compute(spark, sf_dir):
 WITH r AS (SELECT vec_id AS request_id,
                   [vec_id, vec_id + 1, vec_id, {_MISSING_ID}] AS ids FROM embeddings),
 x AS (SELECT request_id, unnest(ids) AS doc_id FROM r),
-f AS (SELECT x.request_id, count(d.doc_id) AS n, coalesce(sum(length(d.content)), 0) AS chars
+f AS (SELECT x.request_id, count(d.doc_id) AS n,
+             CAST(coalesce(sum(length(d.content)), 0) AS BIGINT) AS chars
       FROM x LEFT JOIN ({_DOCS_SQL}) d ON d.doc_id = x.doc_id GROUP BY x.request_id),
 m AS (SELECT * FROM (VALUES ('full'), ('id_only'), ('compressed')) v(mode))
 SELECT f.request_id, m.mode,
