@@ -290,14 +290,16 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int,
 def knn_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame,
             nprobe: int, k: int = 10, query_id: str = "query_id",
             query_vec: str = "embedding", block_rows: int = KNN_BLOCK_ROWS,
-            broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+            broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+            tie_decimals: int | None = None) -> DataFrame:
     """Search only the ``nprobe`` nearest cells.  nprobe = nlist is exact."""
     probes = probe_cells(queries, centroids, nprobe, query_id, query_vec)
     q, _ = _prep(queries, assigned, query_id, query_vec, "vec_id", "embedding")
     n_q, dim = query_side_size(q)
     groups = max(1, math.ceil(n_q * max(dim, 1) * 8 / broadcast_limit))
     cells = assigned.select("vec_id", F.col("embedding").alias("vec"), "cell")
-    return _final_topk(_blocked_candidates(probes, cells, k, block_rows, groups), k)
+    return _final_topk(_blocked_candidates(probes, cells, k, block_rows, groups, tie_decimals),
+                       k, tie_decimals)
 
 
 def index_stats(assigned: DataFrame, nlist: int, nprobe: int) -> DataFrame:

@@ -40,7 +40,10 @@ def fit_models(docs: DataFrame, labelled: DataFrame, plan: AnswerPlan,
                                               plan.truncate_chars).alias("content"))
     idf = scorers.idf_table(trunc, "doc_id", "content")
     tox = scorers.train_token_logodds(labelled, "text", "toxic", "doc_id")
-    return AnswerModels(vec, idf, tox, lexicon)
+    ivf = None
+    if plan.search == "ivf":
+        ivf = knn.build_ivf(vec.withColumnRenamed("doc_id", "vec_id"), plan.nlist)
+    return AnswerModels(vec, idf, tox, lexicon, ivf)
 
 
 def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
@@ -61,7 +64,7 @@ def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
     if plan.search == "ivf" and models.ivf is not None:
         assigned, centroids = models.ivf
         hits = knn.knn_ivf(qv.withColumnRenamed("request_id", "query_id"), assigned,
-                           centroids, plan.nprobe, plan.k)
+                           centroids, plan.nprobe, plan.k, tie_decimals=TIE_DECIMALS)
     else:
         hits = knn.knn_exact(qv.withColumnRenamed("request_id", "query_id"),
                              models.doc_vectors.withColumnRenamed("doc_id", "vec_id"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from larkspur.constants import (CONTEXT_CHARS, CONTEXT_DOCS, EMBED_DIM, NPROBE, TOP_K,
+from larkspur.constants import (CONTEXT_CHARS, CONTEXT_DOCS, EMBED_DIM, NLIST, NPROBE, TOP_K,
                                 TRUNCATE_CHARS)
 
 STAGES = ("validate", "embed", "search", "fetch", "truncate", "rerank", "generate",
@@ -25,6 +25,7 @@ class AnswerPlan:
     k: int = TOP_K
     search: str = "exact"            # "exact" | "ivf"
     nprobe: int = NPROBE
+    nlist: int = NLIST
     embed_dim: int = EMBED_DIM
     payload_mode: str = "full"
     truncate_chars: int = TRUNCATE_CHARS

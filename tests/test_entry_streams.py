@@ -77,3 +77,20 @@ def test_saved_models_answer_the_same(spark):
     a, _ = answer_requests(req, docs, models)
     b, _ = answer_requests(req, docs, load_models(spark, path))
     assert _rows(a, cols) == _rows(b, cols)
+
+
+def test_ivf_plan_with_full_probe_answers_like_exact(spark):
+    from larkspur import catalog
+    from larkspur.plans.answer import answer_requests, fit_models
+    from larkspur.plans.plan import AnswerPlan
+    from larkspur.sources import tables as T
+    docs, models = catalog._answer_models(spark, SF, AnswerPlan())
+    labelled = (T.table(spark, SF, "labels").select("doc_id", "toxic")
+                .join(T.table(spark, SF, "documents").select("doc_id", "text"), "doc_id"))
+    ivf_plan = AnswerPlan(search="ivf", nlist=4, nprobe=4)
+    ivf_models = fit_models(docs, labelled, ivf_plan)
+    req = T.requests_from_benchmark(spark, SF)
+    cols = ["request_id", "generated_response", "sentiment", "is_toxic"]
+    a, _ = answer_requests(req, docs, models)
+    b, _ = answer_requests(req, docs, ivf_models, ivf_plan)
+    assert _rows(a, cols) == _rows(b, cols)
