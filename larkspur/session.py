@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, app: str = "larkspur",
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LARKSPUR_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions is not None:
