@@ -141,3 +141,20 @@ def test_lag_scan_hot_key(spark):
     for k, t, v in rows:
         exp = None if t == 0 else next(x for kk, tt, x in rows if kk == k and tt == t - 1)
         assert got[(k, t)] == exp
+
+
+def test_rate_from_increments_equals_rate_of_running_sum(spark):
+    from pyspark.sql import Window
+    rows = [("a", s, i, float((i * 7) % 5 + 1)) for i, s in enumerate(range(0, 600, 13))] + \
+           [("b", s, 1000 + i, 2.0) for i, s in enumerate(range(5, 400, 29))]
+    df = (spark.createDataFrame(rows, "k string, sec long, id long, inc double")
+          .withColumn("ts", F.timestamp_seconds("sec")))
+    w = Window.partitionBy("k").orderBy("sec", "id").rowsBetween(Window.unboundedPreceding, 0)
+    readings = df.withColumn("v", F.sum("inc").over(w))
+    a = {(r["k"], r["window_start"]): round(r["rate"], 9) for r in
+         telemetry.counter_rate_from_increments(df, ["k"], "ts", "inc", ["sec", "id"],
+                                                "120 seconds", "60 seconds", 120).collect()}
+    b = {(r["k"], r["window_start"]): round(r["rate"], 9) for r in
+         telemetry.counter_rate(readings, ["k"], "ts", "v", "120 seconds", "60 seconds", 120,
+                                ["sec", "id"]).collect()}
+    assert a == b and len(a) > 5
