@@ -98,11 +98,14 @@ def counter_rate(samples: DataFrame, labels: list[str], ts: str, value: str,
 
 
 def stage_profile_summary(stages: DataFrame, key: str = "request_id",
-                          with_stages: bool = False, order: str | None = None) -> DataFrame:
+                          with_stages: bool = False, order: str | None = None,
+                          requests: DataFrame | None = None) -> DataFrame:
     """A5: per request total duration, max peak memory, total delta, count.
 
     ``with_stages`` adds the ordered per-stage array; only use it where the
     number of stages per request is bounded (it is a handful in a plan).
+    With ``requests`` every request gets a row: one without stages has zero
+    totals, zero count and an empty stage list.
     """
     aggs = [F.sum("duration_ms").alias("total_duration_ms"),
             F.max("peak_memory_mb").alias("peak_memory_mb"),
@@ -113,6 +116,12 @@ def stage_profile_summary(stages: DataFrame, key: str = "request_id",
         aggs.append(F.sort_array(F.collect_list(F.struct(o, "stage_name", "duration_ms")))
                     .alias("stages"))
     out = stages.groupBy(key).agg(*aggs)
+    if requests is not None:
+        out = requests.select(key).join(out, key, "left").fillna(
+            {"peak_memory_mb": 0.0, "stage_count": 0})
+        if with_stages:
+            out = out.withColumn("stages", F.coalesce(
+                "stages", F.array().cast(out.schema["stages"].dataType)))
     return out.fillna({"total_duration_ms": 0.0, "total_memory_delta_mb": 0.0})
 
 

@@ -50,6 +50,12 @@ def test_stage_profile_summary(spark):
     assert (r["total_duration_ms"], r["peak_memory_mb"], r["total_memory_delta_mb"],
             r["stage_count"]) == (15.0, 7.0, -1.0, 2)
     assert [s["stage_name"] for s in r["stages"]] == ["embed", "search"]
+    reqs = spark.createDataFrame([("r",), ("idle",)], "request_id string")
+    got = {x["request_id"]: x for x in telemetry.stage_profile_summary(
+        df, with_stages=True, order="seq", requests=reqs).collect()}
+    e = got["idle"]
+    assert (e["total_duration_ms"], e["peak_memory_mb"], e["total_memory_delta_mb"],
+            e["stage_count"], e["stages"]) == (0.0, 0.0, 0.0, 0, [])
 
 
 def test_flatten_metric_matrix(spark):
