@@ -3,8 +3,10 @@ paths are expected on shared storage (see ``session.shared_dir``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METRIC_COLUMNS = ["timestamp", "run_id", "node", "service", "stage", "metric", "value"]
 
@@ -23,10 +25,30 @@ def write_documents_once(df: DataFrame, path: str, buckets: int | None = None,
         w.parquet(path)
 
 
-def write_summary_csv(df: DataFrame, path: str, partition_by: str | None = None) -> bool:
-    """K2: header + rows; nothing is written when there is no row."""
+@F.pandas_udf(T.DoubleType())
+def _py_round2(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if pd.isna(x) else round(float(x), 2))
+
+
+def report_round(c) -> Column:
+    """Presentation rounding to 2 places with Python's rule (the exact binary
+    value, ties to even): round(2.675, 2) == 2.67, which SQL round/bround on
+    the decimal text do not give.  Used only in report sinks."""
+    return _py_round2(F.col(c) if isinstance(c, str) else c)
+
+
+def write_summary_csv(df: DataFrame, path: str, partition_by: str | None = None,
+                      round_report: bool = False) -> bool:
+    """K2: header + rows; nothing is written when there is no row.
+
+    ``round_report`` applies the 2-place presentation rounding to every
+    double column (the analytics themselves stay unrounded)."""
     if df.isEmpty():
         return False
+    if round_report:
+        df = df.select(*[report_round(f.name).alias(f.name)
+                         if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+                         for f in df.schema.fields])
     w = df.write.mode("overwrite").option("header", True)
     if partition_by:
         w = w.partitionBy(partition_by)

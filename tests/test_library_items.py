@@ -83,3 +83,15 @@ def test_ivf_partial_probe_recall(spark):
     assert 0.2 < recall <= 1.0
     # every query still finds itself (distance 0 lies in its own cell)
     assert all((i, i) in approx for i, _ in exact)
+
+
+def test_report_rounding_follows_python(spark):
+    vals = [2.675, 1.005, 0.125, 0.375, 10.0, -2.675, 1234.5678]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(sinks.report_round("v")).collect()]
+    assert got == [round(v, 2) for v in vals]
+    d = tempfile.mkdtemp(prefix="larkspur-test-")
+    out = os.path.join(d, "summary")
+    assert sinks.write_summary_csv(df, out, round_report=True)
+    back = sorted(float(r[0]) for r in spark.read.option("header", True).csv(out).collect())
+    assert back == sorted(round(v, 2) for v in vals)
