@@ -94,3 +94,24 @@ def test_ivf_plan_with_full_probe_answers_like_exact(spark):
     a, _ = answer_requests(req, docs, models)
     b, _ = answer_requests(req, docs, ivf_models, ivf_plan)
     assert _rows(a, cols) == _rows(b, cols)
+
+
+def test_queries_run_from_another_directory():
+    """Workers import larkspur from the shipped zip, not from the working dir."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false')"
+        ".getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.queries()['knn_exact'](s, %r).count())\n" % (repo, SF))
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="larkspur-"),
+                         capture_output=True, text=True, timeout=600)
+    rows = [int(x.split()[1]) for x in out.stdout.splitlines() if x.startswith("ROWS ")]
+    assert rows and rows[0] > 0, out.stderr[-2000:]
+    assert "ModuleNotFoundError" not in out.stderr
