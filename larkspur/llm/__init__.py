@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate",)
+MODULES = ("minhash", "decontaminate")
 
 
 def registry() -> tuple[dict, dict]:
