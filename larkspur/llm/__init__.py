@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("minhash", "decontaminate")
+MODULES = ("secret_scan", "minhash", "decontaminate")
 
 
 def registry() -> tuple[dict, dict]:
