@@ -98,3 +98,74 @@ def connected_components(edges: DataFrame) -> DataFrame:
         spark = edges.sparkSession
         return spark.createDataFrame([], "id long, component long")
     return found
+
+
+def map_units(df: DataFrame, unit: list[str], fn: Callable[[pa.Table], pa.Table | None],
+              schema: str) -> DataFrame:
+    """``fn`` on the rows of every unit (equal values in the ``unit`` columns).
+
+    Rows are dealt by unit and sorted, then the units are cut from the stream
+    of Arrow batches; a unit must have a bounded number of rows, and many small
+    ones cost no more than their rows."""
+    dealt = df.repartition(*unit).sortWithinPartitions(*unit)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in unit)))
+            at = 0
+            for k in range(n):
+                if keys[k] != last:
+                    if k > at:
+                        held.append(batch.slice(at, k - at))
+                    if held:
+                        yield from emit(held)
+                    held, at, last = [], k, keys[k]
+            held.append(batch.slice(at))
+        if held:
+            yield from emit(held)
+
+    def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = fn(pa.Table.from_batches(parts).combine_chunks())
+        if out is not None and out.num_rows:
+            yield from out.to_batches()
+    return dealt.mapInArrow(cut, schema)
+
+
+class IdFilter:
+    """A bitmap of hashed ids: ``column(id)`` may be in the set, or surely not.
+
+    Built by grouped bitmap aggregates, 16 bits per id up to ``MAX_BITS`` in
+    all (32 MB), which bounds the broadcast; a fuller bitmap only lets more
+    strangers through, so an exact join has to follow."""
+
+    MIN_BITS, MAX_BITS = 1 << 15, 1 << 28
+
+    def __init__(self, ids: DataFrame, col: str):
+        n = ids.count()
+        self.bits = self.MIN_BITS
+        while self.bits < min(16 * n, self.MAX_BITS):
+            self.bits *= 2
+        at = self.column(F.col(col))
+        rows = (ids.where(F.col(col).isNotNull())
+                .groupBy(F.bitmap_bucket_number(at).alias("bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect())
+        flags = bytearray(self.bits // 8)
+        for r in rows:
+            flags[(r.bucket - 1) * 4096:(r.bucket - 1) * 4096 + len(r.bits)] = r.bits
+        self.flags = ids.sparkSession.sparkContext.broadcast(bytes(flags))
+
+    def column(self, id_col: F.Column) -> F.Column:
+        """Place of an id in the bitmap, from 1."""
+        return F.pmod(F.xxhash64(id_col), F.lit(self.bits)) + 1
+
+    @staticmethod
+    def hits(flags: bytes, places: pa.Array):
+        import numpy as np
+        at = places.to_numpy(zero_copy_only=False).astype(np.int64) - 1
+        table = np.frombuffer(flags, np.uint8)
+        return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

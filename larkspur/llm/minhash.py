@@ -16,14 +16,15 @@ What keeps hot groups apart:
 * within a band bucket the representatives are compared with three leaders
   (smallest, largest, smallest hash), not with each other; leaders come from
   grouped minima, the pairs from a join that AQE can split;
-* after the components of those links are known, pairs of *different*
-  components in one bucket are compared as well, if their sizes and their
-  128-bit sketches allow the similarity.  Pairs inside a component cannot
-  change anything and are never made.  So no candidate link between different
-  components is lost and nothing is capped.
+* after the components of those links are known, rows of *different*
+  components in one bucket are compared as well: block by block, counting
+  common shingles through an inverted list inside the task.  A block gives
+  back at most a spanning forest, never pairs.  Rows of one component are not
+  compared again, as that could not change anything.  So no candidate link
+  between different components is lost and nothing is capped.
 
-Sets themselves are not stored: they are built again for the documents that
-have candidates.
+Sets are built (a second pass over the texts) only for documents that have
+candidates; a bitmap of their ids keeps the other texts out of the shuffle.
 
 Defined cases: null, empty or wordless texts have an empty set and link with
 nothing; a null doc_id links with nothing, has a null component and is kept;
@@ -39,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import connected_components, map_batches, materialise, open_table
+from larkspur.llm.common import (IdFilter, connected_components, map_batches, map_units,
+                                 materialise, open_table)
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 PERCENT = 85
-#: Agreeing sketch bits (of BANDS * ROWS) that a pair at the limit reaches but
-#: for about one in a million: mean 111, standard deviation 2.9.
-SKETCH_BITS = 96
+#: Rows of one block when the components of a bucket are compared.
+BLOCK = 512
 #: Bound of the word-hash cache of one worker.
 CACHE_WORDS = 500_000
 
@@ -123,20 +124,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate, as two 64-bit numbers."""
-    bits = np.zeros(128, np.uint8)
-    bits[:len(sig)] = sig & 1
-    return np.packbits(bits).view(np.uint64)
-
-
-PROFILE = "doc_id long, n_shingles long, fp binary, bands array<long>, s1 long, s2 long"
+PROFILE = "doc_id long, n_shingles long, fp binary, bands array<long>"
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, band keys, sketch) of every row."""
+    """(doc_id, n_shingles, fingerprint, band keys) of every row."""
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, fp, bands, sketches = [], [], [], []
+        size, fp, bands = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text)
             size.append(len(s))
@@ -144,33 +138,37 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sig = signature(s)
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(band_keys(sig).view(np.int64))
-                sketches.append(sketch(sig).view(np.int64))
             else:
                 fp.append(None)
                 bands.append(None)
-                sketches.append(np.zeros(2, np.int64))
-        two = np.array(sketches)
         return pa.record_batch(
             [batch.column(0), pa.array(size, pa.int64()), pa.array(fp, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(two[:, 0]), pa.array(two[:, 1])],
-            names=["doc_id", "n_shingles", "fp", "bands", "s1", "s2"])
+             pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "bands"])
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                    F.col(text_col).cast("string").alias("text")), fn, PROFILE)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The written pairs (a, b) whose full sets reach the similarity."""
-    wanted = (pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .join(wanted, "id", "left_semi"))
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the wanted ids; texts stay where they are read."""
+    chance = IdFilter(wanted, "id")
+    flags = chance.flags
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .where("id IS NOT NULL")
+    rows = rows.withColumn("place", chance.column(F.col("id")))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(IdFilter.hits(flags.value, batch.column(2))))
         sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                names=["id", "shingles"])
-    sets = materialise(map_batches(rows, fn, "id long, shingles array<long>"), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"))
+    return map_batches(rows, fn, "id long, shingles array<long>") \
+        .join(wanted.hint("merge"), "id", "left_semi")
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The written pairs (a, b) whose full sets reach the similarity."""
+    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (both.select("a", "b", common.alias("common"),
                         (F.size("sa") + F.size("sb") - common).alias("total"))
@@ -178,13 +176,71 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_
             .select("a", "b"))
 
 
-def _similar(x: str, y: str, percent: int) -> F.Column:
-    """Sizes and sketches of two rows allow the similarity."""
-    col = F.col
-    low, high = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    differ = (F.bit_count(col(f"{x}.s1").bitwiseXOR(col(f"{y}.s1")))
-              + F.bit_count(col(f"{x}.s2").bitwiseXOR(col(f"{y}.s2"))))
-    return (low * 100 >= high * percent) & (differ <= BANDS * ROWS - SKETCH_BITS)
+def _open_units(part: DataFrame) -> DataFrame:
+    """Units of work for buckets with several components.
+
+    The largest component of a bucket only has to be compared with the other
+    rows (the probes), and those with each other.  Targets (all rows) and
+    probes are dealt into blocks of about ``BLOCK`` rows; every pair of a
+    target block and a probe block is one unit (key, t, q)."""
+    sizes = part.groupBy("key", "component").count()
+    plan = (sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows"),
+                                     F.max(F.struct("count", "component")).alias("main"))
+            .where("parts > 1")
+            .select("key", F.col("main.component").alias("main"),
+                    F.ceil(F.col("rows") / BLOCK).alias("nt"),
+                    F.ceil((F.col("rows") - F.col("main.count")) / BLOCK).alias("nq")))
+    rows = part.join(materialise(plan, "plan"), "key")
+    spread = F.xxhash64(F.lit("block"), "id")
+
+    def dealt(own: str, other: str, n_own: str, n_other: str, probe: bool, frame: DataFrame) -> DataFrame:
+        return frame.select("key", F.pmod(spread, F.col(n_own)).alias(own),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)).alias(other),
+                            F.lit(probe).alias("probe"), "id", "component")
+    return dealt("t", "q", "nt", "nq", False, rows).unionByName(
+        dealt("q", "t", "nq", "nt", True, rows.where("component <> main")))
+
+
+def _settle(unit: pa.Table, percent: int) -> pa.Table | None:
+    """Links of one unit that join components not yet joined within it."""
+    probe = unit.column("probe").to_numpy(zero_copy_only=False)
+    ids = unit.column("id").to_numpy()
+    comp = unit.column("component").to_numpy()
+    lists = unit.column("shingles").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    ends = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()
+    size = np.diff(ends)
+    target = np.flatnonzero(~probe)
+    if not len(target) or not probe.any():
+        return None
+    flat = np.concatenate([values[ends[k]:ends[k + 1]] for k in target])
+    owner = np.repeat(np.arange(len(target)), size[target])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    up = {c: c for c in set(comp.tolist())}
+
+    def root(c):
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+    a, b = [], []
+    for k in np.flatnonzero(probe):
+        own = values[ends[k]:ends[k + 1]]
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(target))
+        near = np.flatnonzero(100 * common >= percent * (len(own) + size[target] - common))
+        for j in target[near]:
+            x, y = root(comp[k].item()), root(comp[j].item())
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                a.append(min(ids[k], ids[j]))
+                b.append(max(ids[k], ids[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -193,17 +249,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prof = materialise(profiles(docs, id_col, text_col), "profiles")
     reps = materialise(
         prof.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "s1", "s2", "bands")).alias("r"))
-        .select(F.col("r.doc_id").alias("id"), "fp", F.col("r.n_shingles").alias("n"),
-                "r.s1", "r.s2", "r.bands"), "representatives")
-    rows = reps.select("id", "n", "s1", "s2", F.explode("bands").alias("key"))
+        .agg(F.min(F.struct("doc_id", "bands")).alias("r"))
+        .select(F.col("r.doc_id").alias("id"), "fp", "r.bands"), "representatives")
+    rows = reps.select("id", F.explode("bands").alias("key"))
 
     buckets = materialise(
         rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"),
                                 F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("any"))
         .where("first <> last").select("key", "first", "last", F.col("any.id").alias("any")), "buckets")
     leaders = materialise(
-        rows.select("id", "key").join(buckets, "key")
+        rows.join(buckets.hint("merge"), "key")
         .select("id", F.explode(F.array("first", "last", "any")).alias("leader"))
         .where("id <> leader")
         .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
@@ -214,28 +269,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("lo <> hi").select("doc_id")
     twins = named.join(several, "doc_id", "left_semi").join(reps.select("fp", "id"), "fp") \
         .select(F.least("id", "doc_id").alias("a"), F.greatest("id", "doc_id").alias("b"))
-    links = materialise(_confirm(docs, leaders, percent, id_col, text_col).union(twins), "links")
+    # every row of a bucket has a leader or is one, so these are all candidates
+    wanted = materialise(leaders.select(F.col("a").alias("id")).union(leaders.select("b")).distinct(), "wanted")
+    sets = materialise(_sets(docs, wanted, id_col, text_col), "sets")
+    links = materialise(_confirm(sets, leaders, percent).union(twins), "links")
     comps = connected_components(links)
 
-    # what the leaders could not settle: pairs of different components
-    part = rows.join(buckets.select("key"), "key", "left_semi") \
-        .join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    part = materialise(part, "members")
-    mixed = materialise(part.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                        .where("lo <> hi").select("key"), "mixed")
-    part = materialise(part.join(mixed, "key", "left_semi"), "open")
-    x, y = part.alias("x"), part.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                   & _similar("x", "y", percent))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-            .distinct().join(leaders, ["a", "b"], "left_anti"))
-    more = materialise(_confirm(docs, materialise(rest, "rest"), percent, id_col, text_col), "more")
+    # what the leaders could not settle: rows of different components in one bucket
+    part = rows.join(buckets.select("key").hint("merge"), "key", "left_semi") \
+        .join(comps.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    units = _open_units(materialise(part, "members")).join(sets.hint("merge"), "id")
+    more = materialise(map_units(units, ["key", "t", "q"], lambda u: _settle(u, percent),
+                                 "a long, b long").distinct(), "more")
     if not more.isEmpty():
         comps = connected_components(links.union(more))
 
-    label = materialise(reps.join(comps, "id", "left")
+    label = materialise(reps.join(comps.hint("merge"), "id", "left")
                         .select("fp", F.coalesce("component", "id").alias("component")), "labels")
-    out = prof.join(label, "fp", "left").select(
+    out = prof.join(label.hint("merge"), "fp", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
