@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "secret_scan", "minhash", "decontaminate")
+MODULES = ("packing", "quality", "secret_scan", "minhash", "decontaminate")
 
 
 def registry() -> tuple[dict, dict]:
