@@ -10,9 +10,9 @@ the pieces are packed into as few sequences as possible:
    pricing problem, the most valuable configuration, is a knapsack solved by
    dynamic programming over the capacity.  Lengths that the configurations
    chosen so far cover too little grow dearer, the others cheaper.
-3. *Rounding*: the fractional plan is rounded down, then further knapsack
-   rounds place what is left among the lengths still there, and a last
-   best-fit pass places the remainder into the roomiest fitting gaps.
+3. *Rounding*: the fractional plan is rounded down.  What is left is placed by
+   further knapsack rounds among the lengths still there and a best-fit pass
+   into the narrowest gaps, or by that pass alone, whichever needs fewer.
 4. *Placement*: each piece gets its rank among the pieces of its length (rank
    in a hash block + counts of the blocks before), and the plan, a sorted list
    of rank ranges, turns rank into sequence and offset.
@@ -189,6 +189,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) ->
     fractional, price = _linear_program(lengths, left.astype(float), capacity)
     for config, share in sorted(fractional.items(), key=lambda p: (-p[1], p[0])):
         _take(plan, left, lengths, config, int(share))
+    # the rest is rounded in two ways; the one with fewer sequences stays
+    fitted, rest = dict(plan), left.copy()
     waste = 0
     for _ in range(ROUNDING_ROUNDS):
         items = np.flatnonzero(left)
@@ -197,7 +199,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) ->
         if not _rounding_round(plan, left, lengths, price, items, capacity, capacity - waste):
             waste = max(1, 2 * waste)
     _best_fit(plan, left, lengths, capacity)
-    return sorted(plan.items(), reverse=True)
+    _best_fit(fitted, rest, lengths, capacity)
+    return sorted(min(plan, fitted, key=lambda p: sum(p.values())).items(), reverse=True)
 
 
 def _take(plan, left, lengths, config, times) -> int:
