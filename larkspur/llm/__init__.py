@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "quality", "chat", "secret_scan", "minhash", "itq", "pii", "decontaminate")
+MODULES = ("packing", "warc", "quality", "chat", "secret_scan", "minhash", "itq", "pii", "decontaminate")
 
 
 def registry() -> tuple[dict, dict]:
