@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "warc", "quality", "chat", "secret_scan", "minhash", "itq", "pii", "decontaminate")
+MODULES = ("packing", "warc", "quality", "chat", "secret_scan", "minhash", "token_rollup", "itq", "pii",
+           "decontaminate")
 
 
 def registry() -> tuple[dict, dict]:

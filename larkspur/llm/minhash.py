@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import (IdFilter, connected_components, map_batches, map_units,
-                                 materialise, open_table)
+from larkspur.llm.common import (IdFilter, connected_components, free_name, map_batches,
+                                 map_units, materialise, open_table)
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -295,11 +295,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
-    Exact repeats of a whole (id, text) row collapse; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col, percent)
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id")).distinct()
-    stay = docs.join(drop, F.col(id_col).cast("long") == F.col("_drop_id"), "left_anti")
-    return stay.dropDuplicates([id_col, text_col])
+    Exact repeats of an (id, text) row collapse; all columns stay.
+
+    Rows whose id is neither dropped nor repeated pass without a shuffle; a
+    bitmap tells most of them apart and the others meet the exact lists."""
+    found = materialise(near_duplicates(docs, id_col, text_col, percent), "groups")
+    drop = found.where(~F.col("kept")).select("doc_id").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched = materialise(drop.union(again), "touched")
+    chance = IdFilter(touched, "doc_id")
+    flags, place, key = chance.flags, free_name(docs, "place"), F.col(id_col).cast("long")
+    rows = docs.withColumn(place, F.when(key.isNotNull(), chance.column(key)))
+
+    def side(hit: bool):
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.column(batch.schema.get_field_index(place))
+            hits = IdFilter.hits(flags.value, at.fill_null(1)) & at.is_valid().to_numpy(zero_copy_only=False)
+            return batch.filter(pa.array(hits == hit))
+        return map_batches(rows, fn, rows.schema).drop(place)
+    stay = side(True).join(drop.select(F.col("doc_id").alias("_drop_id")).hint("merge"),
+                           F.col(id_col).cast("long") == F.col("_drop_id"), "left_anti")
+    return side(False).unionByName(stay.dropDuplicates([id_col, text_col]))
 
 
 QUERY_NAME = "op6_minhash_dedup"

@@ -327,14 +327,14 @@ WITH p AS (
 ), s AS (
   SELECT *, unhex(sha1(payload)) AS raw FROM p
 ), b AS (
-  SELECT *, list_reduce(list_transform(generate_series(0, 159), i -> get_bit(CAST(raw AS BIT), CAST(i AS INTEGER))::VARCHAR), (x, y) -> x || y) AS bits
+  SELECT *, list_reduce(list_transform(generate_series(0, 159), lambda i: get_bit(CAST(raw AS BIT), CAST(i AS INTEGER))::VARCHAR), lambda x, y: x || y) AS bits
   FROM s
 )
 SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
-       list_reduce(list_transform(generate_series(0, 31), i ->
-         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_reduce(list_transform(generate_series(0, 4), k ->
-           CAST(substr(bits, CAST(5 * i + k + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER)), (x, y) -> x + y) AS BIGINT), 1)),
-         (x, y) -> x || y) AS payload_digest,
+       list_reduce(list_transform(generate_series(0, 31), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_reduce(list_transform(generate_series(0, 4), lambda k:
+           CAST(substr(bits, CAST(5 * i + k + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER)), lambda x, y: x + y) AS BIGINT), 1)),
+         lambda x, y: x || y) AS payload_digest,
        CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = leader THEN NULL ELSE leader END AS refers_to
 FROM b
