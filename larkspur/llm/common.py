@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from larkspur.session import shared_dir, ship_package
 
 
+SLICE_ROWS = 256
+
+
 def open_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables; also ships the package to the workers."""
     ship_package(spark)
@@ -31,11 +34,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
                 schema: T.StructType | str) -> DataFrame:
-    """``fn`` on every Arrow batch of ``df`` (no shuffle)."""
+    """``fn`` on slices of at most ``SLICE_ROWS`` rows of every Arrow batch of
+    ``df`` (no shuffle); slices bound what a worker holds as Python objects."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                yield fn(batch.slice(lo, SLICE_ROWS))
+        pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

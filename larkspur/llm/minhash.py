@@ -49,7 +49,7 @@ PERCENT = 85
 #: Rows of one block when the components of a bucket are compared.
 BLOCK = 512
 #: Bound of the word-hash cache of one worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _U64 = np.uint64
 

@@ -50,7 +50,7 @@ END_TOKEN = 1
 LP_ROUNDS, ROUNDING_ROUNDS = 40, 60
 LEARNING = 0.35
 #: Byte sequences that a worker remembers the ids of.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 
 
 def default_tokenizer() -> str:
