@@ -61,7 +61,9 @@ def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
               .select("request_id", F.coalesce("embedding", "_c").alias("embedding")))
     else:
         qv = computed
-    if plan.search == "ivf" and models.ivf is not None:
+    if plan.search == "ivf":
+        if models.ivf is None:
+            raise ValueError("the plan searches an IVF index, but the models hold none")
         assigned, centroids = models.ivf
         hits = knn.knn_ivf(qv.withColumnRenamed("request_id", "query_id"), assigned,
                            centroids, plan.nprobe, plan.k, tie_decimals=TIE_DECIMALS)
@@ -180,12 +182,17 @@ def save_models(models: AnswerModels, path: str) -> None:
         .parquet(f"{path}/scalars")
     if models.lexicon is not None:
         models.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+    if models.ivf is not None:
+        for name, part in zip(("ivf_assigned", "ivf_centroids"), models.ivf):
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_models(spark, path: str, with_lexicon: bool = False) -> AnswerModels:
+def load_models(spark, path: str, with_lexicon: bool = False, with_ivf: bool = False) -> AnswerModels:
     sc = spark.read.parquet(f"{path}/scalars").first()
     return AnswerModels(
         spark.read.parquet(f"{path}/doc_vectors"),
         scorers.IdfModel(spark.read.parquet(f"{path}/idf"), int(sc["n_docs"])),
         scorers.TokenLogOdds(spark.read.parquet(f"{path}/toxicity_weights"), float(sc["prior"])),
-        spark.read.parquet(f"{path}/lexicon") if with_lexicon else None)
+        spark.read.parquet(f"{path}/lexicon") if with_lexicon else None,
+        (spark.read.parquet(f"{path}/ivf_assigned"), spark.read.parquet(f"{path}/ivf_centroids"))
+        if with_ivf else None)

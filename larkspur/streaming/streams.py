@@ -41,19 +41,29 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str,
     return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
+def finish(query, timeout_s: int | None) -> None:
+    """Waits for the end of a bounded run; never lets a partial one pass."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream not finished after {timeout_s} s; its output is incomplete")
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def run_to_sink(df: DataFrame, name: str, output_mode: str = "append",
-                timeout_s: int = 600) -> str:
+                timeout_s: int | None = None) -> str:
     """Write a stream to a parquet file sink with a checkpoint, process
-    everything available now, and return the sink path."""
+    everything available now, and return the sink path.  A run that passes
+    ``timeout_s`` (none by default) is stopped and raises."""
     spark = df.sparkSession
     base = shared_dir(spark, "streams", name)
     q = (df.writeStream.format("parquet").outputMode(output_mode)
          .option("checkpointLocation", f"{base}/_checkpoint")
          .option("path", f"{base}/data")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    finish(q, timeout_s)
     return f"{base}/data"
 
 
@@ -221,7 +231,7 @@ def stream_adaptive_delay(events: DataFrame, keys: list[str], ts_micros: str, id
 # --- R1 ----------------------------------------------------------------------
 
 def stream_answer(requests: DataFrame, answer_batch, name: str = "answers",
-                  timeout_s: int = 900) -> str:
+                  timeout_s: int | None = None) -> str:
     """Run ``answer_batch(micro_batch_df) -> (answers, rejects)`` per
     micro-batch; answers and rejects are written under batch_id=N (overwrite
     of that directory makes a replay idempotent).  Returns the output base."""
@@ -236,7 +246,5 @@ def stream_answer(requests: DataFrame, answer_batch, name: str = "answers",
     q = (requests.writeStream.foreachBatch(each)
          .option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    finish(q, timeout_s)
     return base
