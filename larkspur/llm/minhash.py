@@ -7,7 +7,8 @@ Two permutations of 32-bit numbers make the whole signature: the first
 circular shift by k to give coordinate k.  ``BANDS`` x ``ROWS`` coordinates
 are banded; documents that share a band are candidates, and every link is
 confirmed on the full sets (intersection / union >= ``PERCENT`` / 100).  A pair
-at that similarity meets in some band with probability above 0.999999.
+at that similarity meets in some band with probability above 0.999999 (0.9999
+for ``percent`` = 80).
 
 What keeps hot groups apart:
 

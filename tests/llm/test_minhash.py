@@ -32,7 +32,7 @@ def roots(ids, links):
     return {i: find(i) for i in ids}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {d: shingles(t) for d, t in rows}
     index, links = {}, []
     for d, s in sets.items():
@@ -41,7 +41,7 @@ def brute(rows):
     near = {(a, b) for group in index.values() for a in group for b in group if a < b}
     for a, b in near:
         inter = len(sets[a] & sets[b])
-        if 100 * inter >= 85 * len(sets[a] | sets[b]):
+        if 100 * inter >= percent * len(sets[a] | sets[b]):
             links.append((a, b))
     comp = roots(sets, links)
     return sorted((d, len(s), comp[d], comp[d] == d) for d, s in sets.items())

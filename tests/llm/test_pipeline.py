@@ -30,7 +30,7 @@ def test_stages_against_brute_force(spark):
     assert step.columns == docs.columns
     assert {r.doc_id: r.text for r in step.collect()} == want and len(want) < len(rows)
 
-    kept = {d for d, _, _, keep in near(list(want.items())) if keep}
+    kept = {d for d, _, _, keep in near(list(want.items()), 80) if keep}
     want = {d: t for d, t in want.items() if d in kept}
     step = C.dedup_stage(spark, step, SF)
     assert step.columns == docs.columns
