@@ -21,18 +21,23 @@ or one request's k candidates); nothing is collected.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from larkspur.constants import EMBED_DIM, MAX_NEW_TOKENS, CONTEXT_CHARS, SCORER_INPUT_CHARS
 from larkspur.functions.text import sentences, tokens
-from larkspur.session import spread
+
+#: Rows whose vectors are summed in one matrix.
+EMBED_ROWS = 256
 
 # ---------------------------------------------------------------------------
 # M1: hashed embedding
@@ -54,63 +59,64 @@ def token_sign(w: Column, hashed: bool = False) -> Column:
     return F.when(F.pmod(digit, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
 
 
-def embed_sparse(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
-    """M1 -> (key, vec array<struct<bucket int, weight double>>) for non-zero vectors.
+def _signed_counts(words: pa.ListArray, dim: int) -> np.ndarray:
+    """(row, bucket) sums of the token signs of a slice of token lists; every
+    distinct token of the slice is digested once."""
+    flat = words.flatten().dictionary_encode()
+    raw = [hashlib.md5(w.encode()).digest() for w in flat.dictionary.to_pylist()]
+    bucket = np.array([int.from_bytes(r[:4], "big") % dim for r in raw], dtype=np.int64)
+    sign = np.array([1.0 - 2.0 * (r[4] >> 4 & 1) for r in raw], dtype=np.float64)
+    at = flat.indices.to_numpy()
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    place = np.repeat(np.arange(len(words)) * dim, lengths) + bucket[at]
+    return np.bincount(place, sign[at], len(words) * dim).reshape(len(words), dim)
 
-    Token occurrences are summed per (key, bucket) with map-side combine,
-    then one bounded group (at most ``dim`` entries) per key is normalised.
-    Texts without tokens, or whose signs cancel, get no row (zero vector,
-    kept out of the search).
-    """
-    t = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))).select(
-        "_k", F.explode(tokens("_t")).alias("w"))
-    h = t.select("_k", F.md5("w").alias("h"))   # one digest per token occurrence
-    g = (h.select("_k", token_bucket(F.col("h"), dim, True).alias("bucket"),
-                  token_sign(F.col("h"), True).alias("sgn"))
-         .groupBy("_k", "bucket").agg(F.sum("sgn").cast("double").alias("s"))
-         .where(F.col("s") != 0))
-    # The norm comes out of the same aggregate as the entry list, so the
-    # per-entry division below references a plain column.
-    v = g.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("bucket", "s"))).alias("_e"),
-                            F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("_n"))
-    return (v.where(F.col("_n") > 0)
-            .select(F.col("_k").alias(key),
-                    F.transform("_e", lambda e: F.struct(
-                        e["bucket"].alias("bucket"), (e["s"] / F.col("_n")).alias("weight")))
-                    .alias("vec")))
-
-
-def to_dense(vec: Column, dim: int) -> Column:
-    """Sparse (bucket, weight) array -> dense array<double> of length dim.
-
-    A numpy scatter per Arrow batch; as a SQL lambda the map lookup would be
-    re-evaluated for each of the dim elements.
-    """
-    return _densify(vec.getField("bucket"), vec.getField("weight"), F.lit(dim))
 
+def _embed(df: DataFrame, key: str, text: str, dim: int, field: str, kind: str, pack) -> DataFrame:
+    """(key, field) per row with a non-zero vector: the text is tokenised in the
+    JVM and an Arrow batch becomes a matrix, ``EMBED_ROWS`` rows at a time.  A
+    row's vector depends on that row alone, so nothing is shuffled."""
+    rows = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("_t"))
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _densify(buckets: pd.Series, weights: pd.Series, dim: pd.Series) -> pd.Series:
-    import numpy as np
-    out = []
-    for b, w, d in zip(buckets, weights, dim):
-        a = np.zeros(int(d), dtype=np.float64)
-        if b is not None and len(b):
-            a[np.asarray(b, dtype=np.int64)] = np.asarray(w, dtype=np.float64)
-        out.append(a)
-    return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(lo, EMBED_ROWS)
+                sums = _signed_counts(part.column(1), dim)
+                norm = np.sqrt((sums * sums).sum(axis=1))
+                some = norm > 0
+                unit = sums[some] / norm[some, None]
+                yield pa.record_batch([part.column(0).filter(pa.array(some)), pack(unit)], names=[key, field])
+    key_type = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {key_type}, {field} {kind}")
 
 
-def embed_dense(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
-    """M1 dense form -> (key, embedding array<double>), unit norm."""
-    return embed_sparse(df, key, text, dim).select(key, to_dense(F.col("vec"), dim)
-                                                   .alias("embedding"))
+def _pack_sparse(unit: np.ndarray) -> pa.Array:
+    row, bucket = np.nonzero(unit)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(unit)))))
+    entries = pa.StructArray.from_arrays([pa.array(bucket, pa.int32()), pa.array(unit[row, bucket])],
+                                         ["bucket", "weight"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+
+def _pack_dense(unit: np.ndarray) -> pa.Array:
+    n, dim = unit.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(unit.ravel()))
 
 
-def l2_normalise(v: Column) -> Column:
-    """P10: x / ||x||; the zero vector stays zero."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+def embed_sparse(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
+    """M1 -> (key, vec array<struct<bucket int, weight double>>), one row per
+    input row with a non-zero vector, entries by bucket.
+
+    Texts that are null or without tokens, or whose signs cancel, get no row
+    (zero vector, kept out of the search).
+    """
+    return _embed(df, key, text, dim, "vec", "array<struct<bucket:int,weight:double>>", _pack_sparse)
+
+
+def embed_dense(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
+    """M1 dense form -> (key, embedding array<double>), unit norm."""
+    return _embed(df, key, text, dim, "embedding", "array<double>", _pack_dense)
 
 
 # ---------------------------------------------------------------------------
@@ -134,14 +140,13 @@ class IdfModel:
         return math.log(1.0 + (self.n_docs + 0.5) / 0.5)
 
 
-def idf_table(docs: DataFrame, key: str = "doc_id", text: str = "content",
-              max_chars: int | None = None) -> IdfModel:
-    """Document frequencies over the (truncated) document table.
+def idf_table(docs: DataFrame, key: str = "doc_id", text: str = "content") -> IdfModel:
+    """Document frequencies over the whole texts of the document table.
 
     idf(w) = ln(1 + (N - df + 0.5) / (df + 0.5)); a token never seen has df 0.
     """
     n = docs.count()
-    df_ = distinct_tokens(spread(docs.select(key, text)), [key], text, max_chars).groupBy("w").agg(
+    df_ = distinct_tokens(docs.select(key, text), [key], text).groupBy("w").agg(
         F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return IdfModel(df_.select("w", idf.alias("idf")), n)
@@ -155,7 +160,10 @@ def sigmoid(x: Column) -> Column:
 def query_token_weights(queries: DataFrame, idf: IdfModel, key: str = "request_id",
                         text: str = "query") -> DataFrame:
     qt = distinct_tokens(queries, [key], text)
-    return (qt.join(idf.table, "w", "left")
+    # the semi-join moves below the vocabulary's aggregate: only the tokens
+    # asked for are counted and shuffled
+    asked = idf.table.join(qt.select("w").distinct(), "w", "left_semi")
+    return (qt.join(asked, "w", "left")
             .select(key, "w", F.coalesce("idf", F.lit(idf.unseen())).alias("idf")))
 
 
@@ -273,8 +281,8 @@ class TokenLogOdds:
 
 
 def train_token_logodds(labelled: DataFrame, text: str = "text", label: str = "toxic",
-                        key: str = "doc_id", max_chars: int = SCORER_INPUT_CHARS) -> TokenLogOdds:
-    """Fit per-token log-odds on labelled texts (distributed counting).
+                        key: str = "doc_id") -> TokenLogOdds:
+    """Fit per-token log-odds on whole labelled texts (distributed counting).
 
     weight(w) = ln((c1+1)/(n1+2)) - ln((c0+1)/(n0+2)), prior = ln((n1+1)/(n0+1)),
     where c1/c0 count positive/negative texts containing w.
@@ -282,8 +290,7 @@ def train_token_logodds(labelled: DataFrame, text: str = "text", label: str = "t
     row = labelled.agg(F.count_if(F.col(label) == 1).alias("n1"),
                        F.count_if(F.col(label) == 0).alias("n0")).first()
     n1, n0 = int(row["n1"] or 0), int(row["n0"] or 0)
-    dt = spread(labelled.select(key, label, text)).select(key, label, F.explode(F.array_distinct(tokens(
-        F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars)))).alias("w"))
+    dt = distinct_tokens(labelled, [key, label], text)
     c = dt.groupBy("w").agg(F.count_if(F.col(label) == 1).alias("c1"),
                             F.count_if(F.col(label) == 0).alias("c0"))
     weight = (F.log((F.col("c1") + 1.0) / F.lit(n1 + 2.0))
@@ -296,21 +303,21 @@ def toxicity_scores(df: DataFrame, key: str, text: str, model: TokenLogOdds,
                     max_chars: int = SCORER_INPUT_CHARS) -> DataFrame:
     """M5 -> (key, toxicity) = P(toxic) for every row of df."""
     t = distinct_tokens(df, [key], text, max_chars)
-    s = t.join(model.weights, "w").groupBy(key).agg(F.sum("weight").alias("_s"))
+    asked = model.weights.join(t.select("w").distinct(), "w", "left_semi")
+    s = t.join(asked, "w").groupBy(key).agg(F.sum("weight").alias("_s"))
     return (df.select(key).join(s, key, "left")
             .select(key, sigmoid(F.lit(model.prior) + F.coalesce("_s", F.lit(0.0)))
                     .alias("toxicity")))
 
 
 def train_toxicity_lr(labelled: DataFrame, text: str = "text", label: str = "toxic",
-                      num_features: int = 4096, max_chars: int = SCORER_INPUT_CHARS):
+                      num_features: int = 4096):
     """M5, ML variant: HashingTF + LogisticRegression (a pyspark.ml Pipeline)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
-    data = labelled.select(tokens(F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars))
-                           .alias("tokens"), F.col(label).cast("double").alias("label"))
+    data = labelled.select(tokens(text).alias("tokens"), F.col(label).cast("double").alias("label"))
     pipe = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="features",
                                       numFeatures=num_features),
                             LogisticRegression(maxIter=50, regParam=0.01)])

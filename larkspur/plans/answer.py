@@ -33,12 +33,10 @@ class AnswerModels:
 
 def fit_models(docs: DataFrame, labelled: DataFrame, plan: AnswerPlan,
                lexicon: DataFrame | None = None) -> AnswerModels:
-    """Corpus-side fitting: document vectors, idf over the truncated table,
-    toxicity weights from labelled texts (doc_id, text, toxic)."""
+    """Corpus-side fitting over whole texts: document vectors, idf, toxicity
+    weights from labelled texts (doc_id, text, toxic)."""
     vec = scorers.embed_dense(docs, "doc_id", "content", plan.embed_dim)
-    trunc = docs.select("doc_id", F.substring(F.coalesce("content", F.lit("")), 1,
-                                              plan.truncate_chars).alias("content"))
-    idf = scorers.idf_table(trunc, "doc_id", "content")
+    idf = scorers.idf_table(docs, "doc_id", "content")
     tox = scorers.train_token_logodds(labelled, "text", "toxic", "doc_id")
     ivf = None
     if plan.search == "ivf":

@@ -10,15 +10,17 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "larkspur",
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None,
+              driver_memory: str | None = None) -> SparkSession:
     """Return (or create) a session with the settings the operators assume.
 
-    On a cluster the master, memory and partition counts come from the
-    submitter; the defaults here are for local runs and tests.
+    Master, driver memory and partition counts come from the submitter unless
+    an argument (or LARKSPUR_MASTER, LARKSPUR_DRIVER_MEMORY) asks for others.
     """
-    master = master or os.environ.get("LARKSPUR_MASTER", "local[8]")
+    master = master or os.environ.get("LARKSPUR_MASTER")
+    driver_memory = driver_memory or os.environ.get("LARKSPUR_DRIVER_MEMORY")
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -30,8 +32,11 @@ def get_spark(master: str | None = None, app: str = "larkspur",
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LARKSPUR_DRIVER_MEMORY", "16g"))
     )
+    if master is not None:
+        builder = builder.master(master)
+    if driver_memory is not None:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -71,20 +76,7 @@ def cut_lineage(df, spark: SparkSession | None = None):
     return df.checkpoint(eager=True)
 
 
-def spread(df):
-    """Round-robin a frame read from fewer files than the cluster has cores
-    (e.g. one file of a few row groups) before per-row heavy work such as
-    tokenising; frames over many files are already wide and pass through.
-
-    Decided from the input file list only: nothing is executed here."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < par:
-        return df.repartition(par)
-    return df
-
-
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -96,7 +88,7 @@ def ship_package(spark: SparkSession) -> None:
     import larkspur
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(larkspur.__file__))

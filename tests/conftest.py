@@ -11,5 +11,5 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from larkspur.session import get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=8)
+    s = get_spark(master="local[4]", shuffle_partitions=8, driver_memory="8g")
     yield s
