@@ -63,10 +63,10 @@ SELECT conv_id, turn, norm,
        sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS sha
 FROM (SELECT conv_id, turn, text,
              trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm
-      FROM conversations WHERE role = 'user')
+      FROM conversations)
 """)
 def q_normalise_query(spark, sf_dir):
-    c = T.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = T.table(spark, sf_dir, "conversations")
     n = c.select("conv_id", "turn", "text", normalise_query("text").alias("norm"))
     return n.select("conv_id", "turn", "norm", token_sort_key("norm").alias("fuzzy_key"),
                     text_fingerprint("text").alias("sha"))
@@ -249,7 +249,7 @@ FROM ({_LOG_SQL}) GROUP BY run
 _RSS_SQL = f"""
 SELECT 'run_' || CAST(run AS VARCHAR) AS full_run_id,
        sum(CAST(floor(latency_ms * 1048576) AS BIGINT)) / 1048576.0 AS total_rss_mb
-FROM ({_LOG_SQL}) WHERE event_type = 'purchase' GROUP BY run
+FROM ({_LOG_SQL}) GROUP BY run
 """
 
 _CONSOLIDATED_SQL = f"""
@@ -263,8 +263,7 @@ LEFT JOIN ({_RSS_SQL}) r ON r.full_run_id = m.full_run_id
 
 
 def _manifest(spark, sf_dir):
-    log = T.request_log_from_events(spark, sf_dir, N_RUNS).join(
-        T.table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    log = T.table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(N_RUNS)).alias("run"), "props")
     k = F.get_json_object("props", "$.k").cast("int")
     return log.groupBy("run").agg(
         F.count(F.lit(1)).alias("_n"), F.max(k).alias("_k")).select(
@@ -277,7 +276,7 @@ def _manifest(spark, sf_dir):
 
 def _rss(spark, sf_dir):
     from larkspur.operators import runs
-    log = T.request_log_from_events(spark, sf_dir, N_RUNS).where(F.col("event_type") == "purchase")
+    log = T.request_log_from_events(spark, sf_dir, N_RUNS)
     stats = log.select(F.concat(F.lit("run_"), F.col("run").cast("string")).alias("full_run_id"),
                        F.floor(F.col("latency_ms") * 1048576).cast("long").alias("rss"))
     return runs.total_rss_mb(stats)
@@ -475,7 +474,7 @@ tdocs AS (SELECT doc_id, substring(title, 1, {TRUNCATE_CHARS}) AS title,
                  substring(content, 1, {TRUNCATE_CHARS}) AS content, category FROM docs),
 ndocs AS (SELECT count(*) AS n FROM tdocs),
 dfreq AS (SELECT w, count(*) AS df
-          FROM (SELECT doc_id, unnest(list_distinct({_tok_sql("content")})) AS w FROM tdocs)
+          FROM (SELECT doc_id, unnest(list_distinct({_tok_sql("content")})) AS w FROM docs)
           GROUP BY w),
 qw AS (SELECT t.request_id, t.w,
               ln(1 + ((SELECT n FROM ndocs) - coalesce(f.df, 0) + 0.5) / (coalesce(f.df, 0) + 0.5))
@@ -530,7 +529,7 @@ lab AS (SELECT l.doc_id, l.toxic, d.text FROM labels l JOIN documents d ON d.doc
 ncls AS (SELECT count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0
          FROM lab),
 ltok AS (SELECT doc_id, toxic,
-                unnest(list_distinct({_tok_sql(f"substring(text, 1, {SCORER_INPUT_CHARS})")})) AS w
+                unnest(list_distinct({_tok_sql("text")})) AS w
          FROM lab),
 tw AS (SELECT w, ln((count(*) FILTER (WHERE toxic = 1) + 1.0) / ((SELECT n1 FROM ncls) + 2.0))
                  - ln((count(*) FILTER (WHERE toxic = 0) + 1.0) / ((SELECT n0 FROM ncls) + 2.0))
@@ -900,7 +899,7 @@ def q_payload_modes(spark, sf_dir):
 
 def _ivf(spark, sf_dir, nlist):
     e = T.scan_vectors(spark, sf_dir)
-    assigned, centroids = knn.build_ivf(e, nlist, sample_rows=10000, seed=42)
+    assigned, centroids = knn.build_ivf(e, nlist, seed=42)
     return e, assigned, centroids
 
 
@@ -1057,13 +1056,13 @@ def q_scan_event_log(spark, sf_dir):
 @register("scan_process_stats", f"""
 SELECT 'run_' || CAST(user_id % {N_RUNS} AS VARCHAR) AS full_run_id,
        round(sum(CAST(floor(value * 1048576) AS BIGINT)) / 1048576.0, 6) AS total_rss_mb
-FROM events WHERE event_type = 'purchase' GROUP BY 1
+FROM events GROUP BY 1
 """)
 def q_scan_process_stats(spark, sf_dir):
     from larkspur.operators import runs
     from larkspur.session import shared_dir
     from larkspur.sources import files
-    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    e = T.table(spark, sf_dir, "events")
     snap = e.select(
         F.concat(F.lit("run_"), F.pmod("user_id", F.lit(N_RUNS)).cast("string"))
         .alias("full_run_id"),

@@ -1,12 +1,14 @@
 """A2: exact order statistics per group without putting a group in one task.
 
 ``rank_select`` returns the values at requested 1-based ranks inside each
-group.  The rows are range-partitioned on (group keys, value), so a group
-holding a third of all rows is spread over many partitions; per-partition
-counts (one row per partition and group) give every partition's rank offset,
-and only the requested positions are joined back.  The sorted, indexed frame
-is checkpointed to the shared checkpoint folder so both passes read the same
-partitioning and the lineage is cut (it survives executor loss).
+group.  Rows are counted by (group, value) first, with map-side combine, so a
+value that many rows share is one row; the counted values are range-partitioned
+on (group keys, value), so a group holding a third of all rows is spread over
+many partitions.  Per-partition totals (one row per partition and group) give
+every partition's rank offset, and running counts are taken only in the
+partitions that hold a requested rank.  The counted values are checkpointed to
+the shared checkpoint folder so both passes read the same partitioning and the
+lineage is cut (it survives executor loss).
 
 The exclusive-method quantile (the default method of Python's
 ``statistics.quantiles``) and the median are expressed as ranks plus a
@@ -46,21 +48,22 @@ def rank_select(df: DataFrame, keys: list[str], value: str, wanted: DataFrame,
     shared_dir(spark, unique=False)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
          .repartitionByRange(p, *keys, "_v")
-         .sortWithinPartitions(*keys, "_v")
          .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
          .checkpoint(eager=True))
-    per_part = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"),
-                                             F.min("_mid").alias("_first"))
+    part = ["_pid", *keys]
+    per_part = s.groupBy(*part).agg(F.sum("_c").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     targets = (offsets.join(wanted, keys)
                .where((F.col("r") > F.col("_off")) & (F.col("r") <= F.col("_off") + F.col("_n")))
-               .select(*keys, "r", (F.col("_first") + F.col("r") - F.col("_off") - 1)
-                       .alias("_mid")))
-    n_targets = targets.count()
-    if n_targets * 64 <= BROADCAST_LIMIT_BYTES:
+               .select(*part, "r", (F.col("r") - F.col("_off")).alias("_at")))
+    if targets.count() * 64 <= BROADCAST_LIMIT_BYTES:
         targets = F.broadcast(targets)
-    picked = s.select("_mid", "_v").join(targets, "_mid")
-    return picked.select(*keys, "r", F.col("_v").alias("v"))
+    upto = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = (s.join(targets.select(*part).distinct(), part, "left_semi")
+               .withColumn("_to", F.sum("_c").over(upto)))
+    return (running.join(targets, part)
+            .where((F.col("_at") > F.col("_to") - F.col("_c")) & (F.col("_at") <= F.col("_to")))
+            .select(*keys, "r", F.col("_v").alias("v")))

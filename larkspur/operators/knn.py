@@ -4,8 +4,9 @@ Two physical strategies, chosen from a measured size of the query side:
 
 * broadcast: the query matrix (counted and sized first, at most
   ``BROADCAST_LIMIT_BYTES``) is shipped once to every executor and the
-  corpus is streamed through ``mapInPandas`` in Arrow batches - the corpus
-  is never shuffled.  Each task keeps a running top-k per query.
+  corpus is streamed through ``mapInArrow`` - the corpus is never shuffled
+  and its values are read from the Arrow buffers as one matrix per batch.
+  Each task keeps a running top-k per query.
 * blocked: beyond the bound, queries are split into ``G`` groups and the
   corpus (or every IVF cell) into blocks of at most ``KNN_BLOCK_ROWS`` rows;
   one ``cogroup`` per (cell, block, group) computes a local top-k.  No task
@@ -16,7 +17,9 @@ Either way the global top-k is a ``row_number() <= k`` window per query,
 which Spark plans as a partial ``WindowGroupLimit`` before the shuffle.
 Ordering is total: (distance, id).  Distances are float64 from float32
 inputs; selection uses the GEMM form and the returned distances are
-recomputed as direct sums of squared differences.
+recomputed as direct sums of squared differences.  A vector of another
+dimension raises; one with null or non-finite components has no distance to
+anything and is no neighbour (``validate_vectors`` tells which and why).
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.constants import BROADCAST_LIMIT_BYTES, KNN_BLOCK_ROWS
 
 _TILE_BYTES = 64 * 1024 * 1024
-SCAN_TASKS_PER_CORE = 4
 
 
 def _stack(series) -> np.ndarray:
@@ -40,6 +44,13 @@ def _stack(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
 
+def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """The rows of a list column without null lists, as float64."""
+    if pc.any(pc.not_equal(pc.list_value_length(vectors), dim)).as_py():
+        raise ValueError(f"vectors of other than {dim} components")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 class _TopK:
     """Running exact top-k per query over blocks of candidates."""
 
@@ -56,6 +67,11 @@ class _TopK:
     def add(self, ids: np.ndarray, x: np.ndarray):
         if x.shape[0] == 0 or self.q.shape[0] == 0:
             return
+        sound = np.isfinite(x).all(axis=1)
+        if not sound.all():
+            ids, x = ids[sound], x[sound]
+            if not len(ids):
+                return
         xn = (x * x).sum(1)
         step = max(1, _TILE_BYTES // (8 * max(1, x.shape[0])))
         for s in range(0, self.q.shape[0], step):
@@ -67,10 +83,10 @@ class _TopK:
             cd = np.concatenate([self.best_d[qs], d], axis=1)
             ci = np.concatenate([self.best_i[qs], np.broadcast_to(ids, d.shape)], axis=1)
             self._select(qs, cd, ci)
-        keep = set(np.unique(self.best_i).tolist())
-        for i, row in zip(ids.tolist(), x):
-            if i in keep:
-                self.best_row[i] = row
+        held = np.unique(self.best_i)
+        keep = set(held.tolist())
+        won = np.isin(ids, held)
+        self.best_row.update(zip(ids[won].tolist(), x[won]))
         if len(self.best_row) > 4 * len(keep) + 1024:
             self.best_row = {i: v for i, v in self.best_row.items() if i in keep}
 
@@ -169,21 +185,20 @@ def _broadcast_candidates(q: DataFrame, c: DataFrame, k: int,
     tbl = q.toArrow()  # bounded: the caller checked n_q * dim * 8 <= limit
     qids = np.asarray(tbl.column("query_id").to_pylist())
     qmat = _stack(tbl.column("qvec").to_pylist())
+    id_type = tbl.schema.field("query_id").type
     bc = spark.sparkContext.broadcast((qids, qmat))
 
     def scan(batches):
         ids, mat = bc.value
         top = _TopK(mat, k, decimals)
-        for pdf in batches:
-            if len(pdf):
-                top.add(pdf["vec_id"].to_numpy(np.int64), _stack(pdf["vec"]))
-        yield top.result(ids)
-
-    # every scan task emits n_q * k candidates whatever its size, so the number
-    # of scan tasks is capped (a narrow coalesce, no shuffle of the corpus)
-    # (coalesce never adds partitions, so this is a no-op for a narrow corpus)
-    c = c.coalesce(SCAN_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
-    return c.mapInPandas(scan, _cand_schema(q))
+        for batch in batches:
+            if batch.num_rows and len(mat):
+                top.add(batch.column(0).to_numpy(), _matrix(batch.column(1), mat.shape[1]))
+        best = top.result(ids)
+        yield pa.record_batch([pa.array(best["query_id"].tolist(), id_type), pa.array(best["vec_id"], pa.int64()),
+                               pa.array(best["distance"], pa.float64())],
+                              names=["query_id", "vec_id", "distance"])
+    return c.mapInArrow(scan, _cand_schema(q))
 
 
 def _blocked_candidates(probes: DataFrame, cells: DataFrame, k: int,
@@ -224,10 +239,11 @@ def _blocked_candidates(probes: DataFrame, cells: DataFrame, k: int,
 # IVF: cell assignment (K4) and cell-pruned search
 # ---------------------------------------------------------------------------
 
-def build_ivf(corpus: DataFrame, nlist: int, sample_rows: int = 10000, seed: int = 42,
+def build_ivf(corpus: DataFrame, nlist: int, sample_rows: int | None = None, seed: int = 42,
               corpus_id: str = "vec_id", corpus_vec: str = "embedding",
               max_iter: int = 20):
-    """K4: train k-means on a sample, assign every vector to its nearest cell.
+    """K4: train k-means on all vectors (or on about ``sample_rows`` of them, if
+    asked), assign every vector to its nearest cell.
 
     Returns (assigned corpus (vec_id, embedding, cell), centroids (cell, center)).
     Training is distributed (pyspark.ml); the centroid table is nlist x dim.
@@ -236,9 +252,9 @@ def build_ivf(corpus: DataFrame, nlist: int, sample_rows: int = 10000, seed: int
     from pyspark.ml.functions import array_to_vector
 
     base = corpus.select(F.col(corpus_id).alias("vec_id"), F.col(corpus_vec).alias("embedding"))
-    n = base.count()
-    frac = min(1.0, sample_rows / max(n, 1))
-    train = base.sample(False, frac, seed) if frac < 1.0 else base
+    train = base
+    if sample_rows is not None and (n := base.count()) > sample_rows:
+        train = base.sample(False, sample_rows / n, seed)
     train = train.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, initMode="k-means||",
                    featuresCol="features", predictionCol="cell").fit(train)
@@ -251,18 +267,35 @@ def build_ivf(corpus: DataFrame, nlist: int, sample_rows: int = 10000, seed: int
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int,
-                query_id: str = "query_id", query_vec: str = "embedding") -> DataFrame:
+                query_id: str = "query_id", query_vec: str = "embedding",
+                broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Per query, the ``nprobe`` closest cells -> (query_id, qvec, cell).
 
-    The centroid table (nlist x dim, bounded by the index parameters) is the
-    broadcast side; queries are streamed.
+    The centroids (nlist x dim) are broadcast in parts of at most
+    ``broadcast_limit`` bytes while queries are streamed; with several parts
+    the closest cells of each are ranked together per query.
     """
+    size = centroids.agg(F.count(F.lit(1)), F.max(F.size("center"))).first()
+    parts = max(1, math.ceil((size[0] or 0) * (size[1] or 0) * 8 / broadcast_limit))
+    found = [_probe_part(queries, centroids.where(F.pmod("cell", F.lit(parts)) == p), nprobe,
+                         query_id, query_vec) for p in range(parts)]
+    if parts == 1:
+        return found[0].drop("_d")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    closest = Window.partitionBy("query_id").orderBy("_d", "cell")
+    return (every.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") <= nprobe)
+            .select("query_id", "qvec", "cell"))
+
+
+def _probe_part(queries: DataFrame, centroids: DataFrame, nprobe: int,
+                query_id: str, query_vec: str) -> DataFrame:
+    """(query_id, qvec, cell, _d): the closest cells among some centroids."""
     spark = queries.sparkSession
     ct = centroids.orderBy("cell").toArrow()
     cells = np.asarray(ct.column("cell").to_pylist(), dtype=np.int64)
     cmat = _stack(ct.column("center").to_pylist())
-    if cmat.size * 8 > BROADCAST_LIMIT_BYTES:
-        raise ValueError("centroid table exceeds the broadcast bound")
     bc = spark.sparkContext.broadcast((cells, cmat))
     npr = min(nprobe, len(cells))
 
@@ -270,7 +303,7 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int,
         cid, cm = bc.value
         cn = (cm * cm).sum(1)
         for pdf in batches:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or npr == 0:
                 continue
             qm = _stack(pdf["qvec"])
             d = (qm * qm).sum(1)[:, None] + cn[None, :] - 2.0 * qm @ cm.T
@@ -278,13 +311,14 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int,
             rep = np.repeat(np.arange(len(pdf)), npr)
             yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[rep],
                                 "qvec": pdf["qvec"].to_numpy()[rep],
-                                "cell": cid[o.ravel()].astype("int32")})
+                                "cell": cid[o.ravel()].astype("int32"),
+                                "_d": np.take_along_axis(d, o, 1).ravel()})
 
     q = queries.select(F.col(query_id).alias("query_id"),
                        F.col(query_vec).alias("qvec")).where(F.col("qvec").isNotNull())
     qt = q.schema["query_id"].dataType.simpleString()
     vt = q.schema["qvec"].dataType.simpleString()
-    return q.mapInPandas(probe, f"query_id {qt}, qvec {vt}, cell int")
+    return q.mapInPandas(probe, f"query_id {qt}, qvec {vt}, cell int, _d double")
 
 
 def knn_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame,
@@ -292,12 +326,16 @@ def knn_ivf(queries: DataFrame, assigned: DataFrame, centroids: DataFrame,
             query_vec: str = "embedding", block_rows: int = KNN_BLOCK_ROWS,
             broadcast_limit: int = BROADCAST_LIMIT_BYTES,
             tie_decimals: int | None = None) -> DataFrame:
-    """Search only the ``nprobe`` nearest cells.  nprobe = nlist is exact."""
-    probes = probe_cells(queries, centroids, nprobe, query_id, query_vec)
+    """Search only the ``nprobe`` nearest cells.  nprobe = nlist is exact.
+
+    A semi-join with the cells probed keeps the others from being shuffled
+    (and from being read, when the vectors are stored by cell)."""
+    probes = probe_cells(queries, centroids, nprobe, query_id, query_vec, broadcast_limit)
     q, _ = _prep(queries, assigned, query_id, query_vec, "vec_id", "embedding")
     n_q, dim = query_side_size(q)
     groups = max(1, math.ceil(n_q * max(dim, 1) * 8 / broadcast_limit))
-    cells = assigned.select("vec_id", F.col("embedding").alias("vec"), "cell")
+    cells = assigned.select("vec_id", F.col("embedding").alias("vec"), "cell") \
+        .join(probes.select("cell").distinct(), "cell", "left_semi")
     return _final_topk(_blocked_candidates(probes, cells, k, block_rows, groups, tie_decimals),
                        k, tie_decimals)
 

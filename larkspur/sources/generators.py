@@ -47,10 +47,18 @@ def vectors_from_ids(ids: DataFrame, dim: int, seed: int = 42,
 
 
 def number_list(items: DataFrame, order: str, out: str = "qpos") -> DataFrame:
-    """0-based positions for a small list (a global window: one task, so only
-    for lists whose size is bounded, such as a workload's query list)."""
+    """0-based positions in the order of a column: ranks within the ranges of
+    a range partitioning plus the counts of the ranges before."""
     from pyspark.sql import Window
-    return items.withColumn(out, F.row_number().over(Window.orderBy(order)) - 1)
+
+    from larkspur.session import cut_lineage
+    ranges = cut_lineage(items.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("_range").count().select(
+        "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return (ranges.withColumn("_rank", rank).join(starts, "_range")
+            .withColumn(out, F.col("_start") + F.col("_rank") - 1).drop("_range", "_rank", "_start"))
 
 
 def generate_requests(arrivals: DataFrame, queries: DataFrame, id_col: str = "id",

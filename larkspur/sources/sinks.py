@@ -65,8 +65,9 @@ def write_metrics_csv(df: DataFrame, path: str) -> None:
 
 def write_vectors_ivf(assigned: DataFrame, centroids: DataFrame, path: str) -> None:
     """K4: vectors partitioned by cell (a probe reads only its cells'
-    directories) plus the centroid table."""
-    assigned.repartition("cell").write.mode("overwrite").partitionBy("cell") \
+    directories) plus the centroid table.  Rows are brought together by cell,
+    and a cell beyond the advised partition size is split over several tasks."""
+    assigned.hint("rebalance", F.col("cell")).write.mode("overwrite").partitionBy("cell") \
         .parquet(f"{path}/vectors")
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
 

@@ -88,3 +88,23 @@ def test_ivf_full_probe_equals_exact(spark):
     assert part <= 80 * 4
     st = knn.index_stats(assigned, 5, 2).first()
     assert st["n_vectors"] == 80 and st["probed_pct"] == 40.0
+
+
+def test_probes_of_centroids_in_parts(spark):
+    rng = np.random.default_rng(9)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 4)))],
+                                   "vec_id long, embedding array<double>")
+    q = corpus.withColumnRenamed("vec_id", "query_id")
+    _, cents = knn.build_ivf(corpus, nlist=12, seed=3)
+    whole, parts = ({(r.query_id, r.cell) for r in knn.probe_cells(q, cents, 4, broadcast_limit=b).collect()}
+                    for b in (1 << 20, 100))
+    assert whole == parts and len(whole) == 90 * 4
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [0.0, 1.0]), (2, [float("nan"), 0.0]), (3, [1.0, 1.0]), (4, None)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([("a", [0.0, 0.0])], "query_id string, embedding array<double>")
+    assert [r.vec_id for r in knn.knn_exact(q, corpus, k=5).orderBy("rank").collect()] == [1, 3]
+    with pytest.raises(Exception, match="other than 2 components"):
+        knn.knn_exact(q, corpus.union(spark.createDataFrame([(5, [1.0])], corpus.schema)), k=5).collect()

@@ -85,3 +85,14 @@ def test_client_summary(spark):
                                 "request_id string, success boolean, finished_ts double")
     r = runs.client_summary(sent, res).first()
     assert (r["sent"], r["successful"], r["failed"], r["pending"], r["elapsed_s"]) == (3, 1, 1, 1, 6.0)
+
+
+def test_shared_value_is_one_row_per_partition(spark):
+    """Nine rows in ten share a value: it is counted, not moved row by row."""
+    n = 20_000
+    df = spark.range(n).selectExpr("'run' AS run", "CASE WHEN id % 10 < 9 THEN 30000.0 ELSE id * 1.0 END AS v")
+    values = sorted(r.v for r in df.collect())
+    ranks = [1, 500, 1500, 10_000, n]
+    wanted = spark.createDataFrame([("run", r) for r in ranks], "run string, r long")
+    got = {r.r: r.v for r in rank_select(df, ["run"], "v", wanted, partitions=8).collect()}
+    assert got == {r: values[r - 1] for r in ranks}
