@@ -144,8 +144,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                  min_cosine: float = MIN_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     spark = vectors.sparkSession
+    # single-precision components travel as they are; all arithmetic is in double
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"),
-                                      F.col(vec_col).cast("array<double>").alias("embedding")), "vectors")
+                                      F.col(vec_col).cast(kind).alias("embedding")), "vectors")
     good = rows.where(F.col("vec_id").isNotNull() & usable("embedding"))
     groups = materialise(good.groupBy("embedding").agg(F.min("vec_id").alias("id"),
                                                        F.count(F.lit(1)).alias("copies")), "groups")
