@@ -107,13 +107,12 @@ def _unit(rows: pa.Table, min_cosine: float) -> pa.Table | None:
     if not len(left) or len(right) < (2 if same else 1):
         return None
     x = _matrix(rows.column("embedding"))
-    keys = np.stack([np.array(k) for k in rows.column("keys").to_pylist()])
+    keys = np.array(rows.column("keys").to_pylist(), np.int32).reshape(len(x), -1)
     ids, many = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
-    table = rows.column("tab")[0].as_py()
     near = x[left] @ x[right].T >= min_cosine
     i, j = np.nonzero(np.triu(near, 1) if same else near)
     if len(i):
-        first = ~(keys[left[i], :table] == keys[right[j], :table]).any(axis=1)
+        first = ~(keys[left[i]] == keys[right[j]]).any(axis=1)
         i, j = left[i[first]], right[j[first]]
     if not len(i):
         return None
@@ -182,9 +181,10 @@ def _links(groups: DataFrame, n: int, dim: int, min_cosine: float) -> DataFrame:
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = codes.value.substrings(_matrix(batch.column(1)))
         return pa.record_batch([batch.column(0), batch.column(2),
-                                pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "copies", "keys"])
+                                pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))],
+                               names=["id", "copies", "keys"])
     coded = materialise(map_batches(groups.select("id", "embedding", "copies"), code,
-                                    "id long, copies long, keys array<long>"), "codes")
+                                    "id long, copies long, keys array<int>"), "codes")
     cells = coded.select("id", F.posexplode("keys").alias("tab", "cell"))
     sizes = materialise(cells.groupBy("tab", "cell").count().where("count > 1")
                         .select("tab", "cell", F.ceil(F.col("count") / BLOCK).alias("blocks")), "cells")
@@ -194,8 +194,10 @@ def _links(groups: DataFrame, n: int, dim: int, min_cosine: float) -> DataFrame:
     units = placed.select("id", "tab", "cell", F.least("own", "other").alias("a"),
                           F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("left"))
     full = groups.select("id", "embedding").join(coded, "id")
-    return map_units(units.join(materialise(full, "coded").hint("merge"), "id"),
-                     ["tab", "cell", "a", "b"], lambda u: _unit(u, min_cosine),
+    # a unit only asks for the substrings of the tables before its own
+    met = units.join(materialise(full, "coded").hint("merge"), "id") \
+        .withColumn("keys", F.slice("keys", F.lit(1), F.col("tab")))
+    return map_units(met, ["tab", "cell", "a", "b"], lambda u: _unit(u, min_cosine),
                      "id long, links long, other long")
 
 
