@@ -289,6 +289,13 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int,
             .select("query_id", "qvec", "cell"))
 
 
+def assign_cells(corpus: DataFrame, centroids: DataFrame, corpus_id: str = "vec_id",
+                 corpus_vec: str = "embedding") -> DataFrame:
+    """K4 with given centres: (vec_id, embedding, cell) by the nearest one."""
+    return probe_cells(corpus, centroids, 1, corpus_id, corpus_vec) \
+        .select(F.col("query_id").alias("vec_id"), F.col("qvec").alias("embedding"), "cell")
+
+
 def _probe_part(queries: DataFrame, centroids: DataFrame, nprobe: int,
                 query_id: str, query_vec: str) -> DataFrame:
     """(query_id, qvec, cell, _d): the closest cells among some centroids."""

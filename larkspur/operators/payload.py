@@ -39,6 +39,11 @@ def _zlib_decompress(b: pd.Series) -> pd.Series:
     return b.map(one)
 
 
+def document_json() -> Column:
+    """A document row as JSON text; a null category has no field."""
+    return F.to_json(F.struct(*DOC_STRUCT.fieldNames()))
+
+
 def pack_docs(docs: Column) -> Column:
     """Docs array -> base64(zlib(json)).  ``to_json`` omits null fields,
     so a null category is simply absent (P2)."""

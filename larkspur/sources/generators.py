@@ -36,12 +36,15 @@ def vectors_from_ids(ids: DataFrame, dim: int, seed: int = 42,
     i = F.col(id_col).cast("long")
     comps = F.sequence(F.lit(0), F.lit(dim - 1))
 
-    def unit(j, salt):
-        h = F.xxhash64(F.lit(seed), F.lit(salt), i, j)
-        return (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / F.lit(float(1 << 53))
-
-    gauss = F.transform(comps, lambda j: (F.sqrt(-2.0 * F.log(unit(j, 1))) *
-                                          F.cos(F.lit(2.0 * 3.141592653589793) * unit(j, 2)))
+    def unit(digest, at):
+        """52 bits of the digest as a number strictly between 0 and 1."""
+        h = F.conv(F.substring(digest, at, 13), 16, 10).cast("double")
+        return (h + 0.5) / F.lit(float(1 << 52))
+
+    digests = F.transform(comps, lambda j: F.md5(F.concat_ws(
+        ":", F.lit(str(seed)), i.cast("string"), j.cast("string")).cast("binary")))
+    gauss = F.transform(digests, lambda d: (F.sqrt(-2.0 * F.log(unit(d, 1))) *
+                                            F.cos(F.lit(2.0 * 3.141592653589793) * unit(d, 14)))
                         .cast("float"))
     return ids.select(i.alias("vec_id"), gauss.alias("embedding"))
 

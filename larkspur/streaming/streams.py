@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.constants import ADAPTIVE_HISTORY, ADAPTIVE_KEEP
+from larkspur.operators.telemetry import bucket_label
 from larkspur.session import shared_dir
 
 
@@ -91,6 +92,25 @@ def stream_metric_windows(events: DataFrame, labels: list[str], ts: str, value:
                     "samples", "value_sum", "value_max"))
 
 
+def stream_metric_histograms(events: DataFrame, labels: list[str], ts: str, value: str,
+                             bounds: list[float], id_col: str, window: str, window_seconds: float,
+                             watermark: str) -> DataFrame:
+    """A6 counts and the W8 rate of the increments ``value`` per window.
+
+    One aggregate per window and label set, combined before the shuffle; a
+    window is emitted once the watermark has passed its end."""
+    first = F.min_by(F.col(value), F.struct(ts, id_col))
+    counts = [F.struct(F.lit(bucket_label(b)).alias("le"), F.col(f"_b{i}").alias("c"))
+              for i, b in enumerate(bounds)] + [F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("c"))]
+    g = (events.withWatermark(ts, watermark).groupBy(*labels, F.window(ts, window).alias("w"))
+         .agg(*[F.count_if(F.col(value) <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(bounds)],
+              F.count(F.lit(1)).alias("count"), F.sum(value).alias("_s"), first.alias("_f")))
+    return g.select(*labels, F.unix_seconds("w.start").alias("window_start"), F.explode(F.array(*counts)).alias("e"),
+                    "count", ((F.col("_s") - F.col("_f")) / F.lit(float(window_seconds))).alias("rate")) \
+        .select(*labels, "window_start", F.col("e.le").alias("le"), F.col("e.c").alias("cumulative_count"),
+                "count", "rate")
+
+
 # --- R2 ----------------------------------------------------------------------
 
 def stream_reuse_within_ttl(events: DataFrame, keys: list[str], ts: str, ts_micros: str,
