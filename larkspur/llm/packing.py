@@ -166,16 +166,22 @@ def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np
     return value, last
 
 
-def _configurations(lengths, last, first, capacity):
-    """Best configuration containing each item of ``first``: rows of items, -1 padded."""
-    room = capacity - lengths[first]
-    steps = [first.copy()]
-    while (room > 0).any():
-        item = np.where(room > 0, last[np.maximum(room, 0)], -1)
-        room = np.where(item >= 0, room - lengths[np.maximum(item, 0)], room - (room > 0))
-        if (item >= 0).any():
+def _configurations(lengths, last, first, capacity) -> tuple[np.ndarray, np.ndarray]:
+    """Best configuration containing each item of ``first``: all items in a row,
+    and how many belong to each configuration."""
+    filled = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+    items, sizes = [], []
+    for lo in range(0, len(first), 1024):
+        steps = [first[lo:lo + 1024]]
+        room = filled[capacity - lengths[steps[0]]]
+        while room.any():
+            item = np.where(room > 0, last[room], -1)
+            room = filled[np.where(item >= 0, room - lengths[item], 0)]
             steps.append(item)
-    return np.stack(steps, axis=1)
+        rows = np.stack(steps, axis=1)
+        items.append(rows[rows >= 0])
+        sizes.append((rows >= 0).sum(axis=1))
+    return np.concatenate(items), np.concatenate(sizes)
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -230,21 +236,20 @@ def _linear_program(lengths, demand, capacity):
         # the best configuration of each length; those of nearly the best value carry this round
         worth = price + value[capacity - lengths]
         good = everything[worth >= 0.995 * value[capacity]]
-        rows = _configurations(lengths, last, good, capacity)
+        items, sizes = _configurations(lengths, last, good, capacity)
+        ends = np.cumsum(sizes)
         short = np.maximum(demand[good] * t / LP_ROUNDS - covered[good], 0)
         use = np.zeros(len(lengths))
-        valid = rows >= 0
-        np.add.at(use, rows[valid], np.repeat(short, valid.sum(axis=1)))
+        np.add.at(use, items, np.repeat(short, sizes))
         over = use > 0
         # no length may be used beyond what all rounds so far should have covered
         limit = np.ones(len(lengths))
         limit[over] = np.minimum(1, np.maximum(demand[over] * t / LP_ROUNDS - covered[over], 0) / use[over])
-        scale = np.where(valid, limit[np.maximum(rows, 0)], 1).min(axis=1)
-        amount = short * scale
-        np.add.at(covered, rows[valid], np.repeat(amount, valid.sum(axis=1)))
-        for row, x in zip(rows, amount):
+        amount = short * np.minimum.reduceat(limit[items], ends - sizes)
+        np.add.at(covered, items, np.repeat(amount, sizes))
+        for end, n, x in zip(ends, sizes, amount):
             if x > 0:
-                config = tuple(sorted(int(k) for k in row if k >= 0))
+                config = tuple(np.sort(items[end - n:end]).tolist())
                 plan[config] = plan.get(config, 0.0) + float(x)
         lag = 1 - covered / (demand * t / LP_ROUNDS)
         weight = np.exp(LEARNING * np.clip(lag, -1, 1)) * weight
@@ -259,13 +264,14 @@ def _rounding_round(plan, left, lengths, price, items, capacity, least) -> int:
     now = lengths[items]
     fill = now / capacity + 1e-6 * price[items]
     _, last = _knapsack(now, fill, capacity)
-    rows = _configurations(now, last, np.arange(len(items)), capacity)
-    size = np.where(rows >= 0, now[np.maximum(rows, 0)], 0).sum(axis=1)
+    members, sizes = _configurations(now, last, np.arange(len(items)), capacity)
+    ends = np.cumsum(sizes)
+    size = np.add.reduceat(now[members], ends - sizes)
     placed = 0
     for r in np.argsort(-now, kind="stable"):
         if size[r] < least:
             continue
-        config = [int(items[k]) for k in rows[r] if k >= 0]
+        config = items[members[ends[r] - sizes[r]:ends[r]]].tolist()
         # a share only, so that other lengths meet their own best partners too
         want = max(1, int(left[config[0]] + 1) // 2)
         placed += _take(plan, left, lengths, config, want)
