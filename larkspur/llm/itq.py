@@ -7,8 +7,13 @@ Several such rotations (from different starts) give long codes.  The code is
 cut into ``tables`` substrings, one Hamming table each; two vectors meet if a
 substring is equal.  Substrings grow with log2 of the number of rows, so table
 cells keep a bounded mean size, and the number of tables follows from the
-recall wanted at the similarity limit.  Vectors that meet are ranked again by
-the exact cosine in double precision.
+recall wanted at the similarity limit: from the angles that pairs at the limit
+have around the mean, which are wider than the raw angle when the vectors share
+a direction, and the recall of the learned codes on such pairs is measured and
+topped up.  Where the wider angles ask for many more tables, the substrings are
+shortened to the width that copies a row least; with a very strong common
+direction that is width 0, one cell whose pairs are all compared.  Vectors that
+meet are ranked again by the exact cosine in double precision.
 
 Vectors at equal direction bits may form a cell of any size.  Equal vectors
 are grouped before anything else; a large cell is cut into blocks, and every
@@ -41,6 +46,10 @@ ITERATIONS = 30
 #: Probability wanted that a pair exactly at the limit meets in some table.
 RECALL = 0.97
 BLOCK = 1024
+#: Sample pairs at the limit on which the layout is measured.
+PAIRS = 2048
+#: Tables beyond those of the raw angle from which the width is chosen anew.
+MORE_TABLES = 1.5
 
 
 class Codes:
@@ -48,17 +57,26 @@ class Codes:
 
     def __init__(self, sample: np.ndarray, rows: int, min_cosine: float = MIN_COSINE, seed: int = 7):
         dim = sample.shape[1]
-        flip = math.acos(min_cosine) / math.pi
+        raw = math.acos(min_cosine)
         self.width = int(min(26, max(8, math.ceil(math.log2(max(2, rows))) - 4)))
-        meet = (1 - flip) ** self.width
-        self.tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
         self.mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
-        turns, bits = [], 0
         rng = np.random.default_rng(seed)
-        while bits < self.width * self.tables:
-            turns.append(learn_rotation(sample - self.mean, rng))
-            bits += dim
-        self.turn = np.hstack(turns)[:, :self.width * self.tables]
+        left, right = limit_pairs(sample, self.mean, min_cosine, np.random.default_rng(seed + 1))
+        angles = _angles(left - self.mean, right - self.mean, raw)
+        self.tables = tables_wanted(angles, self.width)
+        if self.tables > MORE_TABLES * tables_wanted(np.array([raw]), self.width):
+            self.width = min(range(self.width, -1, -1), key=lambda w: copies(angles, w, rows))
+            self.tables = tables_wanted(angles, self.width)
+        turns = [np.empty((dim, 0))]
+        while True:
+            while sum(t.shape[1] for t in turns) < self.width * self.tables:
+                turns.append(learn_rotation(sample - self.mean, rng))
+            self.turn = np.hstack(turns)[:, :self.width * self.tables]
+            if not len(left) or (self.substrings(left) == self.substrings(right)).any(axis=1).mean() >= RECALL:
+                break
+            self.tables += max(1, self.tables // 8)
+            if self.tables * (1 + rows / 2 ** self.width / BLOCK) > 1 + rows / BLOCK:
+                self.width, self.tables = 0, 1            # comparing all pairs copies less
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """(row, table) substring values."""
@@ -67,6 +85,55 @@ class Codes:
         return bits @ (1 << np.arange(self.width, dtype=np.int64))
 
 
+def limit_pairs(sample: np.ndarray, mean: np.ndarray, min_cosine: float,
+                rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Sample vectors and partners at ``min_cosine``: each is turned around the
+    mean towards another sample vector, so that a partner shares the common
+    direction, at most by a right angle."""
+    if len(sample) < 2:
+        return sample[:0], sample[:0]
+    left = sample[rng.permutation(len(sample))[:PAIRS]]
+    z = left - mean
+    size = np.linalg.norm(z, axis=1, keepdims=True)
+    away = sample[rng.integers(0, len(sample), len(left))] - mean
+    away = away - z * ((away * z).sum(axis=1, keepdims=True) / np.maximum(size ** 2, 1e-300))
+    away *= size / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+
+    def turned(by: np.ndarray) -> np.ndarray:
+        y = mean + np.cos(by) * z + np.sin(by) * away
+        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    low, high = np.zeros((len(left), 1)), np.full((len(left), 1), math.pi / 2)
+    for _ in range(40):
+        middle = (low + high) / 2
+        near = (left * turned(middle)).sum(axis=1, keepdims=True) >= min_cosine
+        low, high = np.where(near, middle, low), np.where(near, high, middle)
+    return left, turned(low)
+
+
+def _angles(x: np.ndarray, y: np.ndarray, otherwise: float) -> np.ndarray:
+    """Angle of every pair; ``otherwise`` where a vector has no direction, or without pairs."""
+    sizes = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+    cosine = np.clip((x * y).sum(axis=1) / np.maximum(sizes, 1e-300), -1, 1)
+    return np.where(sizes > 1e-12, np.arccos(cosine), otherwise) if len(x) else np.array([otherwise])
+
+
+def tables_wanted(angles: np.ndarray, width: int) -> int:
+    """Tables in which pairs at these angles meet with probability ``RECALL`` on average."""
+    meet = np.minimum((1 - angles / math.pi) ** width, 1 - 1e-12)
+    low, high = 0, 1
+    while np.mean((1 - meet) ** high) > 1 - RECALL and high < 1 << 40:
+        low, high = high, high * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if np.mean((1 - meet) ** middle) > 1 - RECALL else (low, middle)
+    return high
+
+
+def copies(angles: np.ndarray, width: int, rows: int) -> float:
+    """Copies made of a row: one for every block of its cell, in every table."""
+    return tables_wanted(angles, width) * (1 + rows / 2 ** width / BLOCK)
+
+
 def learn_rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Projection and rotation whose signs lie closest to the projections."""
     dim = x.shape[1]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from larkspur.llm import itq as I
 
@@ -65,3 +66,29 @@ def test_edge_rows(spark):
                    (5, 0, 5, True), (6, 3, 6, True), (7, 3, 6, False), (8, 3, 6, False), (9, 0, 9, True),
                    (10, 0, 10, True), (11, 0, 11, True), (12, 3, 6, False)]
     assert I.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share, exact", [(0.5, False), (0.7, False), (0.9, True)])
+def test_recall_with_a_common_direction(spark, monkeypatch, share, exact):
+    """Pairs at cosine 0.90-0.93 of vectors whose mean holds ``share`` of the squared norm."""
+    monkeypatch.setattr(I, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    n, dim = 2400, 64
+    z = rng.standard_normal((n, dim - 1))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    turn = rng.standard_normal((n // 4, dim - 1))
+    own = z[:n // 4]
+    turn -= own * (turn * own).sum(axis=1, keepdims=True)
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    c = 1 - (1 - rng.uniform(0.90, 0.93, (n // 4, 1))) / (1 - share)
+    z = np.vstack([z, c * own + np.sqrt(1 - c ** 2) * turn])
+    x = np.hstack([np.full((len(z), 1), share ** 0.5), (1 - share) ** 0.5 * z])
+    codes = I.Codes(x[rng.permutation(len(x))], len(x))
+    assert (codes.width == 0) == exact
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [r.n_links for r in I.near_vectors(df).orderBy("vec_id").collect()]
+    want = near.sum(axis=1)
+    assert all(g <= w for g, w in zip(got, want))
+    assert sum(got) >= 0.95 * want.sum() > 0
