@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import map_batches, open_table, replace_column
+from larkspur.llm.common import free_name, map_batches, open_table, replace_column
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -261,7 +262,11 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def clean_text(text: str, auto: ItemAutomaton, max_coverage: float = MAX_COVERAGE) -> str | None:
     """``text`` without its marked spans (white space around a removed span
     shrinks to one blank); None if more than ``max_coverage`` of it is marked."""
-    flag, _, _ = auto.scan(split_words(text))
+    return cut_spans(text, auto.scan(split_words(text))[0], max_coverage)
+
+
+def cut_spans(text: str, flag: np.ndarray, max_coverage: float = MAX_COVERAGE) -> str | None:
+    """``clean_text`` with the marked words given."""
     if not flag.any():
         return text
     if flag.mean() > max_coverage:
@@ -281,19 +286,35 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", wind
     """``docs`` (all columns) with contaminated spans cut out of the text;
     documents marked over more than ``max_coverage`` of their words go.
 
-    Several blocks run one after the other; cutting for one block can only
-    shorten what the next one sees."""
+    Several blocks mark one after the other, each on the whole text, and carry
+    the merged marks on the row; the limit and the cut come once, with the last."""
     schema = docs.schema
-    for block in item_blocks(items, block_words=block_words):
+    spans = free_name(docs, "hits")
+    marked = T.StructType([*schema, T.StructField(spans, T.ArrayType(T.IntegerType()))])
+    blocks = item_blocks(items, block_words=block_words)
+    for k, block in enumerate(blocks):
         shared = _broadcast(block)
 
-        def fn(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def fn(batch: pa.RecordBatch, shared=shared, first=k == 0,
+               last=k == len(blocks) - 1) -> pa.RecordBatch:
             auto = _automaton(shared, window)
-            old = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            new = [t if t is None else clean_text(t, auto, max_coverage) for t in old]
-            keep = pa.array([t is None or x is not None for t, x in zip(old, new)])
-            return replace_column(batch, text_col, pa.array(new, pa.string())).filter(keep)
-        docs = map_batches(docs, fn, schema)
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            before = [()] * len(texts) if first else batch.column(batch.num_columns - 1).to_pylist()
+            own = batch if first else batch.select(schema.names)
+            flags = []
+            for text, old in zip(texts, before):
+                flag = auto.scan(split_words(text))[0].copy()
+                for lo, hi in zip(old[::2], old[1::2]):
+                    flag[lo:hi] = True
+                flags.append(flag)
+            if not last:
+                return pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array([_edges(f) for f in flags], pa.list_(pa.int32()))],
+                    names=[*schema.names, spans])
+            new = [t if t is None else cut_spans(t, f, max_coverage) for t, f in zip(texts, flags)]
+            keep = pa.array([t is None or x is not None for t, x in zip(texts, new)])
+            return replace_column(own, text_col, pa.array(new, pa.string())).filter(keep)
+        docs = map_batches(docs, fn, schema if k == len(blocks) - 1 else marked)
     return docs
 
 

@@ -83,6 +83,23 @@ def test_edge_rows_and_blocks(spark, block_words):
     assert cut == {(1, None), (2, ""), (3, "..!"), (None, "a b"), (7, "start end x ")}
 
 
+def test_cut_does_not_depend_on_the_blocks(spark):
+    """Overlapping windows and coverage split over blocks, and text joined over a cut."""
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(words[k:k + 10])) for k in range(0, 40, 4)]
+    items.append((90, " ".join(words[50:55] + words[40:45])))
+    docs = [(1, "a b " + " ".join(words[:14]) + " c d " + "x " * 30),
+            (2, " ".join(words[:10]) + " x" * 13 + " " + " ".join(words[16:26]) + " y" * 4),
+            (3, " ".join(words[50:55]) + " " + " ".join(words[:10]) + " " + " ".join(words[40:45]) + " z" * 20),
+            (4, None), (5, "")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(*d, "h") for d in docs], "doc_id long, text string, hits string")
+    assert len(D.item_blocks(items, block_words=8)) > 5
+    one, many = (sorted(map(tuple, D.remove_spans(docs, items, block_words=n).collect())) for n in (10_000, 8))
+    assert one == many
+    assert [(r[0], len(D.split_words(r[1]))) for r in one] == [(1, 34), (3, 30), (4, 0), (5, 0)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
