@@ -40,10 +40,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
-# Credential contexts for the guess cost: "<name> = value", "<name> is value",
+# Credential contexts for the guess cost: "<name> = value" (also <name>_key, <name>_access_key, <name>_id), "<name> is value",
 # "scheme://user:value@host" and "Bearer value".
 _CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[\x20_-]?key|credentials?|login|pin)"""
+    r"""(?:[_-](?:access|secret|private|api|auth|key|id|token|value|hash|[0-9]{1,3})){0,4}"""
     r"""["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+(?:is|was)\x20*:?\x20*)["'`]?([^\s"'`,;<>()\[\]{}]{6,})"""
     r"""|[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{6,})@"""
     r"""|(?<![A-Za-z0-9])bearer\x20+([A-Za-z0-9._~+/=-]{6,})""", re.A | re.I)

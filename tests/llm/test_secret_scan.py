@@ -69,6 +69,13 @@ def test_cost_separates(weak, strong):
     assert [k for _, k, _, _ in S.find_spans(f"the password is {strong}, ok")] == [3]
 
 
+@pytest.mark.parametrize("name", ["secret_key", "SECRET-KEY", "token_id", "password_2", "aws_secret_access_key"])
+def test_context_names_take_suffixes(name):
+    text = f"{name} = x9$Lq2!vTzz8 end"
+    assert S.mask(text) == f"{name} = {S.MASK} end"
+    assert S.mask(f"{name}=wJalrXUtnFEMI/K7MDENG end") == f"{name}={S.MASK} end"
+
+
 def test_edge_rows_and_redaction(spark):
     long = "word " * 100_000 + "token = 0123456789abcdef0123"
     rows = [(1, None), (2, ""), (3, "api_key: 'ABCDEFGHIJKL12'"), (3, "api_key: 'ABCDEFGHIJKL12'"),
