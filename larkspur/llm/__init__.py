@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("packing", "warc", "quality", "chat", "secret_scan", "minhash", "token_rollup", "itq", "pii",
-           "decontaminate", "mixing")
+           "decontaminate", "mixing", "collocations", "lexical")
 
 
 def registry() -> tuple[dict, dict]:
