@@ -45,34 +45,49 @@ def get_spark(master: str | None = None, app: str = "larkspur",
     return spark
 
 
-def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
-    """A folder under the cluster's shared checkpoint location.
+#: Folder of a local session for which none was configured, by application.
+_OWN: dict[str, str] = {}
 
-    The location is read from ``spark.checkpoint.dir`` (set by whoever runs the
-    cluster).  Only when it is unset - local tests - a private temporary folder
-    is created and registered as the checkpoint dir.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+def shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``, set by whoever runs
+    the cluster.  Only when it is unset - local tests - a private temporary
+    folder takes its place for the life of the application."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    path = base.rstrip("/")
-    for p in parts:
-        path = f"{path}/{p}"
-    if unique:
-        path = f"{path}/{uuid.uuid4().hex}"
-    return path
+        base = _OWN.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="larkspur-")
+        _OWN[sc.applicationId] = base
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
+    """A folder under the shared one.  Unique folders belong to the application
+    (``release`` deletes them); others are kept for later applications."""
+    base = shared_base(spark)
+    if not unique:
+        return "/".join([base, *parts])
+    return "/".join([base, _scratch(spark), *parts, uuid.uuid4().hex])
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"larkspur-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the application's intermediate tables.  Frames that read them
+    cannot be used afterwards: call it when all results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/{_scratch(spark)}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df, spark: SparkSession | None = None):
     """Reliable checkpoint (never local): survives executor loss."""
-    spark = spark or df.sparkSession
-    shared_dir(spark, unique=False)
+    shared_base(spark or df.sparkSession)
     return df.checkpoint(eager=True)
 
 
