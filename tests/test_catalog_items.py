@@ -16,7 +16,7 @@ from larkspur.streaming import streams
 NAMES = ["scan_request_records", "reject_vectors", "non_empty_batches", "l2_normalise_elements", "vector_classes",
          "documents_written_once", "document_structs", "postprocess_if_missing", "default_scores", "pair_responses",
          "append_runs", "distinct_ids", "capture_metrics", "stage_profiles", "histogram_families",
-         "counter_rate_readings", "run_analytics_tables", "generate_vectors", "knn_ivf", "index_stats"]
+         "counter_rate_readings", "run_analytics_tables", "generate_vectors", "given_cell_stats", "knn_ivf_recall", "knn_ivf_full"]
 
 
 @pytest.fixture(scope="module")
