@@ -1148,6 +1148,40 @@ def q_stream_reuse(spark, sf_dir):
     return spark.read.parquet(streams.run_to_sink(out, "reuse"))
 
 
+@register("stream_reuse_in_order", _REUSE_SQL + """
+SELECT user_id, event_type, event_id, hit FROM r
+WHERE t <= ((SELECT max(epoch_us(ts)) // 1000 FROM events) - 3600000) * 1000
+""")
+def q_stream_reuse_in_order(spark, sf_dir):
+    """R2 for rows in any order: those that the final watermark has passed."""
+    from larkspur.functions.timeutil import as_instant, epoch_micros
+    from larkspur.streaming import ordered, streams
+    ev = streams.table_stream(spark, sf_dir, "events", max_files_per_trigger=64).withColumn(
+        "t", as_instant("ts")).withColumn("t_us", epoch_micros("ts"))
+    out = ordered.stream_reuse_in_order(ev, ["user_id", "event_type"], "t", "t_us", "event_id", _TTL_US, "1 hour",
+                                        slot_micros=24 * _HOUR_US)
+    return spark.read.parquet(streams.run_to_sink(out, "reuse_in_order"))
+
+
+@register("stream_compute_once", """
+SELECT event_id, event_type || ' ' || floor(value / 10)::BIGINT AS key, md5(event_type || ' ' || floor(value / 10)::BIGINT) AS answer
+FROM events
+""")
+def q_stream_compute_once(spark, sf_dir):
+    """One answer per key of the stream, joined back to every request."""
+    from larkspur.functions.timeutil import as_instant
+    from larkspur.streaming import ordered, streams
+
+    def keyed(events):
+        return events.select("event_id", as_instant("ts").alias("t"),
+                             F.concat_ws(" ", "event_type", F.floor(F.col("value") / 10).cast("string")).alias("key"))
+    path = ordered.stream_compute_once(
+        keyed(streams.table_stream(spark, sf_dir, "events", max_files_per_trigger=64)), "key", "t", "1 hour",
+        lambda rows: rows.select("key", F.md5(F.col("key").cast("binary")).alias("answer")), ["answer"])
+    answers = spark.read.parquet(path).select("key", "answer")
+    return keyed(T.table(spark, sf_dir, "events")).join(answers, "key", "left").select("event_id", "key", "answer")
+
+
 @register("stream_adaptive_delay", _DEPTH_SQL + f"""
 SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth,
        round(greatest({_dbl(_ADAPT_MIN)}, least(ewma, {_dbl(_ADAPT_MAX)})), 6) AS delay FROM d
@@ -1193,11 +1227,15 @@ def q_stream_batches(spark, sf_dir):
 
 
 def _stream_answer(spark, sf_dir):
-    from larkspur.plans.answer import answer_requests
+    from larkspur.plans.answer import answer_requests, load_models, save_models
     from larkspur.plans.plan import AnswerPlan
     from larkspur.streaming import streams
     plan = AnswerPlan().validate()
     docs, models = _answer_models(spark, sf_dir, plan)
+    # saved once: a micro-batch reads the models and never fits them again
+    path = shared_dir(spark, "models")
+    save_models(models, path)
+    models = load_models(spark, path)
     req = streams.table_stream(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"))
     base = streams.stream_answer(req, lambda b: answer_requests(b, docs, models, plan))
