@@ -450,6 +450,23 @@ def _embed_sql(prefix: str, src: str, key: str, text: str, dim: int) -> str:
 {prefix}_n AS (SELECT id, sum(weight * weight) AS nn FROM {prefix}_v GROUP BY id)"""
 
 
+def _bin_sql(raw: str) -> str:
+    from larkspur.operators.label_models import BIN_WIDTH, BINS
+    return f"CAST(greatest(0, least({BINS - 1}, floor(({raw}) / {BIN_WIDTH}e0) + {BINS // 2})) AS INTEGER)"
+
+
+def _pooled_sql(short: str, label: str) -> str:
+    """Isotonic shares per bin by the min-max formula."""
+    return f"""bins_{short} AS (SELECT b{short} AS b, count(*) AS n, sum({label}) AS pos FROM held
+         WHERE {label} IN (0, 1) GROUP BY 1),
+spans_{short} AS (SELECT x.b AS a, y.b AS c, sum(m.pos) / sum(m.n) AS v
+            FROM bins_{short} x JOIN bins_{short} y ON x.b <= y.b
+            JOIN bins_{short} m ON m.b BETWEEN x.b AND y.b GROUP BY 1, 2),
+pooled_{short} AS (SELECT b, max(low) AS g FROM (
+  SELECT i.b, s.a, min(s.v) AS low FROM bins_{short} i JOIN spans_{short} s ON s.a <= i.b AND s.c >= i.b
+  GROUP BY 1, 2) GROUP BY b)"""
+
+
 def _answer_sql_ctes() -> str:
     from larkspur.constants import (CONTEXT_CHARS, CONTEXT_DOCS, EMBED_DIM, MAX_NEW_TOKENS,
                                     SCORER_INPUT_CHARS)
@@ -515,44 +532,75 @@ ans AS (SELECT a.request_id,
                coalesce(array_to_string(string_split(b.best, ' ')[1:{MAX_NEW_TOKENS}], ' '), '')
                  AS answer
         FROM acc a LEFT JOIN best b ON b.request_id = a.request_id),
-atok AS (SELECT request_id,
-                unnest({_tok_sql(f"substring(answer, 1, {SCORER_INPUT_CHARS})")}) AS w FROM ans),
-pol AS (SELECT request_id,
-               count(*) FILTER (WHERE substr(md5(w), 1, 1) IN ('0', '1')) AS pos_n,
-               count(*) FILTER (WHERE substr(md5(w), 1, 1) IN ('e', 'f')) AS neg_n
-        FROM atok GROUP BY request_id),
-senti AS (SELECT a.request_id,
-                 CAST(coalesce(p.pos_n, 0) - coalesce(p.neg_n, 0) AS DOUBLE)
-                   / greatest(1, coalesce(p.pos_n, 0) + coalesce(p.neg_n, 0)) AS p
-          FROM ans a LEFT JOIN pol p ON p.request_id = a.request_id),
-lab AS (SELECT l.doc_id, l.toxic, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
-ncls AS (SELECT count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0
-         FROM lab),
-ltok AS (SELECT doc_id, toxic,
-                unnest(list_distinct({_tok_sql("text")})) AS w
-         FROM lab),
-tw AS (SELECT w, ln((count(*) FILTER (WHERE toxic = 1) + 1.0) / ((SELECT n1 FROM ncls) + 2.0))
-                 - ln((count(*) FILTER (WHERE toxic = 0) + 1.0) / ((SELECT n0 FROM ncls) + 2.0))
-                 AS weight
+lab AS (SELECT l.doc_id, l.quality, l.toxic, d.text,
+               substr(md5(CAST(l.doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') AS held
+        FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+ncls AS (SELECT count(*) FILTER (WHERE quality = 1) AS q1, count(*) FILTER (WHERE quality = 0) AS q0,
+                count(*) FILTER (WHERE toxic = 1) AS t1, count(*) FILTER (WHERE toxic = 0) AS t0
+         FROM lab WHERE NOT held),
+prior AS (SELECT ln((q1 + 1.0) / (q0 + 1.0)) AS q, ln((t1 + 1.0) / (t0 + 1.0)) AS t FROM ncls),
+ltok AS (SELECT quality, toxic, unnest(list_distinct({_tok_sql("text")})) AS w FROM lab WHERE NOT held),
+tw AS (SELECT w, ln((count(*) FILTER (WHERE quality = 1) + 1.0) / ((SELECT q1 FROM ncls) + 2.0))
+                 - ln((count(*) FILTER (WHERE quality = 0) + 1.0) / ((SELECT q0 FROM ncls) + 2.0)) AS wq,
+              ln((count(*) FILTER (WHERE toxic = 1) + 1.0) / ((SELECT t1 FROM ncls) + 2.0))
+                 - ln((count(*) FILTER (WHERE toxic = 0) + 1.0) / ((SELECT t0 FROM ncls) + 2.0)) AS wt
        FROM ltok GROUP BY w),
+htok AS (SELECT doc_id, unnest(list_distinct({_tok_sql(f"substring(text, 1, {SCORER_INPUT_CHARS})")})) AS w
+         FROM lab WHERE held),
+hsum AS (SELECT doc_id, sum(wq) AS q, sum(wt) AS t FROM htok JOIN tw USING (w) GROUP BY doc_id),
+held AS (SELECT l.quality, l.toxic, {_bin_sql("(SELECT q FROM prior) + coalesce(h.q, 0.0)")} AS bq,
+                {_bin_sql("(SELECT t FROM prior) + coalesce(h.t, 0.0)")} AS bt
+         FROM lab l LEFT JOIN hsum h ON h.doc_id = l.doc_id WHERE l.held),
+{_pooled_sql("q", "quality")},
+{_pooled_sql("t", "toxic")},
 ttok AS (SELECT request_id,
                 unnest(list_distinct({_tok_sql(f"substring(answer, 1, {SCORER_INPUT_CHARS})")}))
                   AS w FROM ans),
-tsum AS (SELECT t.request_id, sum(tw.weight) AS s FROM ttok t JOIN tw ON tw.w = t.w
+tsum AS (SELECT t.request_id, sum(wq) AS q, sum(wt) AS t FROM ttok t JOIN tw ON tw.w = t.w
          GROUP BY t.request_id),
-tox AS (SELECT a.request_id,
-               1.0 / (1.0 + exp(-(ln(((SELECT n1 FROM ncls) + 1.0) / ((SELECT n0 FROM ncls) + 1.0))
-                                  + coalesce(t.s, 0.0)))) AS toxicity
-        FROM ans a LEFT JOIN tsum t ON t.request_id = a.request_id)
+raw AS (SELECT a.request_id, (SELECT q FROM prior) + coalesce(t.q, 0.0) AS q,
+               (SELECT t FROM prior) + coalesce(t.t, 0.0) AS t
+        FROM ans a LEFT JOIN tsum t ON t.request_id = a.request_id),
+senti AS (SELECT r.request_id, 2 * coalesce(arg_max(c.g, c.b) FILTER (WHERE c.b <= {_bin_sql("r.q")}),
+                                            arg_min(c.g, c.b), 1.0 / (1.0 + exp(-any_value(r.q)))) - 1 AS p
+          FROM raw r LEFT JOIN pooled_q c ON TRUE GROUP BY r.request_id, r.q),
+tox AS (SELECT r.request_id, coalesce(arg_max(c.g, c.b) FILTER (WHERE c.b <= {_bin_sql("r.t")}),
+                                      arg_min(c.g, c.b), 1.0 / (1.0 + exp(-any_value(r.t)))) AS toxicity
+        FROM raw r LEFT JOIN pooled_t c ON TRUE GROUP BY r.request_id, r.t)
 """
 
 
 def _answer_models(spark, sf_dir, plan):
     from larkspur.plans.answer import fit_models
     docs = T.scan_documents(spark, sf_dir)
-    labelled = (T.table(spark, sf_dir, "labels").select("doc_id", "toxic")
-                .join(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
-    return docs, fit_models(docs, labelled, plan)
+    return docs, fit_models(docs, _labelled(spark, sf_dir), plan)
+
+
+def _labelled(spark, sf_dir):
+    return (T.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+            .join(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+@register("label_probabilities", _answer_sql_ctes() + """
+SELECT b, label, n, pos, round(g, 6) AS share FROM (
+  SELECT b, 'quality' AS label, n, CAST(pos AS BIGINT) AS pos, g FROM bins_q JOIN pooled_q USING (b)
+  UNION ALL SELECT b, 'toxic', n, CAST(pos AS BIGINT), g FROM bins_t JOIN pooled_t USING (b))
+""")
+def q_label_probabilities(spark, sf_dir):
+    """M4, M5: the calibration of both labels, by score bin of the held-out texts."""
+    from larkspur.operators import label_models as L
+    rows = _labelled(spark, sf_dir)
+    models = L.fit_labels(rows, ("quality", "toxic"))
+    held = rows.where(L.held_out("doc_id"))
+    raw = L.raw_scores(held, "doc_id", "text", models).join(held.select("doc_id", "quality", "toxic"), "doc_id")
+    out = None
+    for c, m in models.labels.items():
+        part = raw.where(F.col(c).isin(0, 1)).groupBy(L.score_bin(f"raw_{c}").alias("b")) \
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(c).cast("long").alias("pos"))
+        share = F.element_at(F.array(*[F.lit(float(s)) for s in m.shares or [0.0] * L.BINS]), F.col("b") + 1)
+        part = part.select("b", F.lit(c).alias("label"), "n", "pos", r6(share).alias("share"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _ranked(spark, sf_dir):
@@ -1339,6 +1387,19 @@ def q_score_batches(spark, sf_dir):
     return scorers.score_batches(d, "text_stats")
 
 
+@register("score_linear")
+def q_score_linear(spark, sf_dir):
+    """M6: a model file shipped to the workers scores every document (no SQL:
+    a trained model; tested against plain numpy and held-out labels)."""
+    from larkspur.operators import label_models, linear_text, scorers
+    seen = _labelled(spark, sf_dir).where(~label_models.held_out("doc_id"))
+    path = linear_text.save_model(linear_text.train_elastic_net(seen))
+    name = f"linear_{spark.sparkContext.applicationId}_{path.rsplit('-', 1)[1]}"
+    linear_text.register_linear_scorer(spark, name, path)
+    return scorers.score_batches(T.table(spark, sf_dir, "documents").select("doc_id", "text"), name) \
+        .withColumn("p", r6("p"))
+
+
 @register("fetch_if_blank", ORACLES["fetch_documents"])
 def q_fetch_if_blank(spark, sf_dir):
     """id_only payload (titles/contents blanked) refilled by J10 = a full fetch."""

@@ -9,7 +9,8 @@ external model plugs in as an Arrow-batched ``mapInPandas`` function.
 * M2 ``overlap_scores`` - IDF-weighted share of query tokens found in the
   document, mapped through a bounded logit and a sigmoid.
 * M3 ``extractive_answer`` - best-overlap sentence of the top context docs.
-* M4 ``sentiment_label`` - lexicon polarity bucketed to 1..5 stars.
+* M4 ``sentiment_label`` - polarity by a given lexicon bucketed to 1..5 stars (the
+  learned form is in ``label_models``).
 * M5 ``train_token_logodds`` / ``toxicity_scores`` - per-token log-odds fitted
   on the labelled documents (a Bernoulli naive Bayes restricted to present
   tokens); score = P(toxic).
@@ -232,13 +233,6 @@ def extractive_answer(context: DataFrame, qtokens: DataFrame, key: str = "reques
 # M4: sentiment
 # ---------------------------------------------------------------------------
 
-def rule_polarity(w: Column) -> Column:
-    """Default lexicon by rule: first md5 hex digit 0/1 -> +1, e/f -> -1."""
-    h = F.substring(F.md5(w), 1, 1)
-    return (F.when(h.isin("0", "1"), F.lit(1)).when(h.isin("e", "f"), F.lit(-1))
-            .otherwise(F.lit(0)))
-
-
 def stars_from_polarity(p: Column) -> Column:
     return (F.when(p <= -0.6, 1).when(p <= -0.2, 2).when(p < 0.2, 3)
             .when(p < 0.6, 4).otherwise(5))
@@ -249,20 +243,17 @@ def star_label(stars: Column) -> Column:
         F.concat(stars.cast("string"), F.lit(" stars")))
 
 
-def sentiment_label(df: DataFrame, key: str, text: str, lexicon: DataFrame | None = None,
+def sentiment_label(df: DataFrame, key: str, text: str, lexicon: DataFrame,
                     max_chars: int = SCORER_INPUT_CHARS) -> DataFrame:
     """M4 -> (key, label) with label "1 star".."5 stars".
 
     polarity p = (pos - neg) / max(1, pos + neg) over lexicon hits (token
-    occurrences) in the first ``max_chars`` characters.  ``lexicon`` is an
-    optional (w, polarity) table; it is joined, not collected.
+    occurrences) in the first ``max_chars`` characters.  ``lexicon`` is a
+    (w, polarity) table; it is joined, not collected.
     """
     t = df.select(key, F.explode(tokens(F.substring(F.coalesce(F.col(text), F.lit("")), 1,
                                                     max_chars))).alias("w"))
-    if lexicon is None:
-        t = t.withColumn("pol", rule_polarity(F.col("w")))
-    else:
-        t = t.join(lexicon.select("w", F.col("polarity").alias("pol")), "w", "left")
+    t = t.join(lexicon.select("w", F.col("polarity").alias("pol")), "w", "left")
     g = t.groupBy(key).agg(F.count_if(F.col("pol") > 0).alias("_pos"),
                            F.count_if(F.col("pol") < 0).alias("_neg"))
     all_keys = df.select(key).join(g, key, "left").fillna(0, ["_pos", "_neg"])

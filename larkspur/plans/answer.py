@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.constants import BROADCAST_LIMIT_BYTES
-from larkspur.operators import fetch, knn, payload, postprocess, scorers, validate
+from larkspur.operators import fetch, knn, label_models, payload, postprocess, scorers, validate
 from larkspur.plans.plan import AnswerPlan
 from larkspur.session import cut_lineage
 
@@ -26,22 +26,22 @@ TIE_DECIMALS = 9
 class AnswerModels:
     doc_vectors: DataFrame            # (doc_id, embedding array<double>)
     idf: scorers.IdfModel
-    toxicity: scorers.TokenLogOdds
+    labels: label_models.LabelModels  # sentiment (quality) and toxicity, calibrated
     lexicon: DataFrame | None = None
     ivf: tuple[DataFrame, DataFrame] | None = None   # (assigned, centroids)
 
 
 def fit_models(docs: DataFrame, labelled: DataFrame, plan: AnswerPlan,
                lexicon: DataFrame | None = None) -> AnswerModels:
-    """Corpus-side fitting over whole texts: document vectors, idf, toxicity
-    weights from labelled texts (doc_id, text, toxic)."""
+    """Corpus-side fitting over whole texts: document vectors, idf, sentiment
+    and toxicity weights from labelled texts (doc_id, text, quality, toxic)."""
     vec = scorers.embed_dense(docs, "doc_id", "content", plan.embed_dim)
     idf = scorers.idf_table(docs, "doc_id", "content")
-    tox = scorers.train_token_logodds(labelled, "text", "toxic", "doc_id")
+    labels = label_models.fit_labels(labelled, ("quality", "toxic"), "text", "doc_id")
     ivf = None
     if plan.search == "ivf":
         ivf = knn.build_ivf(vec.withColumnRenamed("doc_id", "vec_id"), plan.nlist)
-    return AnswerModels(vec, idf, tox, lexicon, ivf)
+    return AnswerModels(vec, idf, labels, lexicon, ivf)
 
 
 def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
@@ -103,16 +103,24 @@ def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModel
     ans = scorers.extractive_answer(ctx, qtok, ctx_chars=plan.context_chars)
     out = cut_lineage(requests.select("request_id").join(ans, "request_id", "left")
                       .fillna("", ["generated_response"]))
+    scored = out
+    if (plan.runs("sentiment") and models.lexicon is None) or plan.runs("toxicity"):
+        scored = out.join(label_models.label_scores(out, "request_id", "generated_response", models.labels),
+                          "request_id", "left")
     if plan.runs("sentiment"):
-        lab = scorers.sentiment_label(out, "request_id", "generated_response", models.lexicon)
-        out = out.join(lab, "request_id", "left").withColumn(
-            "sentiment", postprocess.map_sentiment("label")).drop("label")
+        if models.lexicon is None:
+            # five equal steps of the probability of the better label
+            star = scorers.star_label(scorers.stars_from_polarity(2 * F.col("quality") - 1))
+            scored = scored.withColumn("label", star)
+        else:
+            scored = scored.join(scorers.sentiment_label(out, "request_id", "generated_response", models.lexicon),
+                                 "request_id", "left")
+        scored = scored.withColumn("sentiment", postprocess.map_sentiment("label"))
     else:
-        out = out.withColumn("sentiment", F.lit(None).cast("string"))
+        scored = scored.withColumn("sentiment", F.lit(None).cast("string"))
+    out = scored
     if plan.runs("toxicity"):
-        tox = scorers.toxicity_scores(out, "request_id", "generated_response", models.toxicity)
-        out = out.join(tox, "request_id", "left").withColumn(
-            "is_toxic", postprocess.flag_toxic("toxicity")).drop("toxicity")
+        out = out.withColumn("is_toxic", postprocess.flag_toxic("toxic"))
         if plan.runs("mask"):
             out = out.withColumn("generated_response", postprocess.mask_toxic(
                 "generated_response", "is_toxic"))
@@ -174,9 +182,11 @@ def save_models(models: AnswerModels, path: str) -> None:
     spark = models.doc_vectors.sparkSession
     models.doc_vectors.write.mode("overwrite").parquet(f"{path}/doc_vectors")
     models.idf.table.write.mode("overwrite").parquet(f"{path}/idf")
-    models.toxicity.weights.write.mode("overwrite").parquet(f"{path}/toxicity_weights")
-    spark.createDataFrame([(models.idf.n_docs, models.toxicity.prior)],
-                          "n_docs long, prior double").write.mode("overwrite") \
+    models.labels.weights.write.mode("overwrite").parquet(f"{path}/label_weights")
+    spark.createDataFrame([(c, m.prior, m.shares) for c, m in models.labels.labels.items()],
+                          "label string, prior double, shares array<double>").write.mode("overwrite") \
+        .parquet(f"{path}/labels")
+    spark.createDataFrame([(models.idf.n_docs,)], "n_docs long").write.mode("overwrite") \
         .parquet(f"{path}/scalars")
     if models.lexicon is not None:
         models.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
@@ -190,7 +200,8 @@ def load_models(spark, path: str, with_lexicon: bool = False, with_ivf: bool = F
     return AnswerModels(
         spark.read.parquet(f"{path}/doc_vectors"),
         scorers.IdfModel(spark.read.parquet(f"{path}/idf"), int(sc["n_docs"])),
-        scorers.TokenLogOdds(spark.read.parquet(f"{path}/toxicity_weights"), float(sc["prior"])),
+        label_models.LabelModels(spark.read.parquet(f"{path}/label_weights"), {
+            r.label: label_models.Label(r.prior, r.shares) for r in spark.read.parquet(f"{path}/labels").collect()}),
         spark.read.parquet(f"{path}/lexicon") if with_lexicon else None,
         (spark.read.parquet(f"{path}/ivf_assigned"), spark.read.parquet(f"{path}/ivf_centroids"))
         if with_ivf else None)

@@ -86,8 +86,7 @@ def test_ivf_plan_with_full_probe_answers_like_exact(spark):
     from larkspur.plans.plan import AnswerPlan
     from larkspur.sources import tables as T
     docs, models = catalog._answer_models(spark, SF, AnswerPlan())
-    labelled = (T.table(spark, SF, "labels").select("doc_id", "toxic")
-                .join(T.table(spark, SF, "documents").select("doc_id", "text"), "doc_id"))
+    labelled = catalog._labelled(spark, SF)
     ivf_plan = AnswerPlan(search="ivf", nlist=4, nprobe=4)
     ivf_models = fit_models(docs, labelled, ivf_plan)
     req = T.requests_from_benchmark(spark, SF)
