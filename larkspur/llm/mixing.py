@@ -45,6 +45,8 @@ CAP = 2
 #: A source's words at the optimum may differ from its target by this part of it.
 TOLERANCE = 1e-9
 MAX_STEPS = 80
+#: Sources that one task of the small per-source tables holds.
+SOURCES_PER_TASK = 50_000
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -75,10 +77,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     times its source's size, and the excess goes to the others by weight.
     Only the two sums behind the common level come to the driver."""
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("key", _source_key())
-    placed = number_list(materialise(sums, "sources"), "key", "place")
+    sums = materialise(sums, "sources")
+    placed = number_list(sums, "key", "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
-    spec = materialise(placed.select("key", "source", "source_size", weight.alias("weight"),
+    tasks = 1 + sums.count() // SOURCES_PER_TASK
+    spec = materialise(placed.coalesce(tasks).select("key", "source", "source_size", weight.alias("weight"),
                                      (F.col("source_size") * F.lit(float(cap))).alias("most")), "weights")
     total = spec.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
@@ -112,14 +116,16 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float = CAP, tolerance
     mean = cells.groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     inside = targets.where((F.col("target") > 0) & (F.col("target") < F.col("source_size") * F.lit(float(cap))))
     nothing = F.lit(None).cast("double")
-    state = materialise(inside.select("key", "target").join(mean, "key").select(
+    # one row per source: few files, whatever the number of shuffle partitions
+    tasks = 1 + targets.count() // SOURCES_PER_TASK
+    state = materialise(inside.select("key", "target").join(mean, "key").coalesce(tasks).select(
         "key", "target", "mean", F.lit(0.0).alias("lam"), nothing.alias("lo"), nothing.alias("hi"),
         F.lit(1.0).alias("off")), "dual")
     for _ in range(max_steps):
         given = F.col("n") * F.col("size") * _rate("lam", cap)
         slope = F.when(_rate("lam", cap) < F.lit(float(cap)), given * F.col("size") / F.col("mean")).otherwise(0.0)
         sums = cells.join(state, "key").groupBy("key").agg(F.sum(given).alias("words"), F.sum(slope).alias("slope"))
-        now = state.join(sums, "key")
+        now = state.join(sums, "key").coalesce(tasks)
         short = F.col("words") < F.col("target")
         now = now.withColumns({"lo": F.when(short, F.col("lam")).otherwise(F.col("lo")),
                                "hi": F.when(short, F.col("hi")).otherwise(F.col("lam")),
