@@ -748,11 +748,11 @@ d AS (SELECT *, list_reduce(list(target) OVER (PARTITION BY user_id ORDER BY ts,
 SELECT user_id, event_id, round(avg_depth, 6) AS avg_depth FROM d
 """)
 def q_rolling_mean_depth(spark, sf_dir):
-    """W4 through the range-partitioned scan (a hot user is split across tasks)."""
-    from larkspur.operators import sequence
-    e = _events_keyed(spark, sf_dir)
-    r = sequence.adaptive_delay_scan(e, ["user_id"], ["ts", "event_id"], "k",
-                                     _ADAPT_B, _ADAPT_MIN, _ADAPT_MAX, "event_id")
+    """W4 over blocks with a halo of nine rows (a hot user is many blocks)."""
+    from larkspur.constants import ADAPTIVE_HISTORY
+    from larkspur.operators import halo
+    r = halo.trailing_mean(_events_keyed(spark, sf_dir), ["user_id"], ["ts", "event_id"], "k",
+                           ADAPTIVE_HISTORY, "avg_depth")
     return r.select("user_id", "event_id", r6("avg_depth").alias("avg_depth"))
 
 

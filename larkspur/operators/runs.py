@@ -1,8 +1,8 @@
 """Request-log and run analytics.
 
 All runs are summarised in one job (no per-run loop).  Plain statistics are
-partial/final hash aggregates; the percentiles use ``rank_select`` so a run
-holding most of the log is still split across tasks.
+partial/final hash aggregates; the percentiles use ``ranks_near``, which counts
+a run's values with map-side combine and moves only those near the wanted ranks.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.quantiles import exclusive_quantile_ranks, rank_select
-from larkspur.session import cut_lineage
+from larkspur.functions.quantiles import exclusive_quantile_ranks, ranks_near
 
 SUMMARY_COLUMNS = [
     "total_requests", "successful", "failed", "success_rate", "throughput_req_per_min",
@@ -44,20 +43,17 @@ def latency_summary(log: DataFrame, keys: list[str] | tuple[str, ...] = ("run",)
     L = F.col("successful")
     j95, d95 = exclusive_quantile_ranks(L, 20, 19)
     j99, d99 = exclusive_quantile_ranks(L, 100, 99)
-    # one row per group, used twice below: materialise it so the log is
-    # aggregated once
-    g = cut_lineage(g.select(
+    g = g.select(
         "*",
         F.floor((L + 1) / 2).cast("long").alias("_m1"),
         (F.floor(L / 2) + 1).cast("long").alias("_m2"),
         j95.alias("_j95"), d95.alias("_d95"), j99.alias("_j99"), d99.alias("_d99"),
-    ))
+    )
     rank_cols = ["_m1", "_m2", "_j95", "_j99"]
-    wanted = (g.where(L > 0)
-              .select(*keys, F.explode(F.array_distinct(F.array(
-                  *[F.least(F.col(c), L) for c in rank_cols],
-                  *[F.least(F.col(c) + 1, L) for c in ("_j95", "_j99")]))).alias("r")))
-    vals = rank_select(log.where(ok), keys, latency, wanted)
+    wanted = g.where(L > 0).select(*keys, F.array_distinct(F.array(
+        *[F.least(F.col(c), L) for c in rank_cols],
+        *[F.least(F.col(c) + 1, L) for c in ("_j95", "_j99")])).alias("ranks"))
+    vals = ranks_near(log.where(ok), keys, latency, wanted, (0.5, 0.95, 0.99))
     vmap = vals.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "v")))
                                    .alias("_x"))
 

@@ -96,3 +96,29 @@ def test_shared_value_is_one_row_per_partition(spark):
     wanted = spark.createDataFrame([("run", r) for r in ranks], "run string, r long")
     got = {r.r: r.v for r in rank_select(df, ["run"], "v", wanted, partitions=8).collect()}
     assert got == {r: values[r - 1] for r in ranks}
+
+
+def test_ranks_near_shares_of_large_and_small_groups(spark):
+    """A hot group beyond SMALL_GROUP (bounds from the sketch), ties, and small groups."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from larkspur.functions import quantiles as Q
+    rng = np.random.default_rng(4)
+    hot = np.round(rng.lognormal(3, 2, 160_000), 2)
+    hot[:30_000] = 7.25                                  # one value is a fifth of the group
+    groups = {"hot": hot, "flat": np.full(70_000, 3.0), "few": rng.random(9), "one": np.array([5.0])}
+    df = None
+    for name, values in groups.items():
+        part = spark.createDataFrame(__import__("pandas").DataFrame({"v": values})).withColumn("run", F.lit(name))
+        df = part if df is None else df.unionByName(part)
+    ranks = {name: sorted({min(len(x), max(1, int(p * (len(x) + 1)) + d)) for p in (0.5, 0.95, 0.99) for d in (0, 1)})
+             for name, x in groups.items()}
+    wanted = spark.createDataFrame(list(ranks.items()), "run string, ranks array<long>")
+    out = Q.ranks_near(df, ["run"], "v", wanted, (0.5, 0.95, 0.99))
+    got = {(r.run, r.r): r.v for r in out.collect()}
+    assert got == {(name, r): float(np.sort(x)[r - 1]) for name, x in groups.items() for r in ranks[name]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and "RDDScan" not in plan      # no range shuffle, no checkpoint
+    far = spark.createDataFrame([("hot", [40_000])], "run string, ranks array<long>")
+    with pytest.raises(Exception, match="outside the bounds"):
+        Q.ranks_near(df, ["run"], "v", far, (0.5, 0.95, 0.99)).collect()
