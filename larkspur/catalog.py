@@ -118,11 +118,16 @@ SELECT x.request_id, CAST(x.pos AS INTEGER) AS pos, x.doc_id, d.title
 FROM x JOIN ({_DOCS_SQL}) d ON d.doc_id = x.doc_id
 """)
 def q_fetch_documents(spark, sf_dir):
-    e = T.table(spark, sf_dir, "embeddings")
-    req = e.select(F.col("vec_id").alias("request_id"),
-                   F.array("vec_id", F.col("vec_id") + 1, "vec_id",
-                           F.lit(_MISSING_ID).cast("long")).alias("doc_ids"))
-    got = fetch.fetch_documents(req, T.scan_documents(spark, sf_dir))
+    return _fetched(fetch.fetch_documents(_id_requests(spark, sf_dir), T.scan_documents(spark, sf_dir)))
+
+
+def _id_requests(spark, sf_dir):
+    return T.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("request_id"),
+        F.array("vec_id", F.col("vec_id") + 1, "vec_id", F.lit(_MISSING_ID).cast("long")).alias("doc_ids"))
+
+
+def _fetched(got):
     return (got.select("request_id", F.posexplode("docs").alias("pos", "d"))
             .select("request_id", "pos", F.col("d.doc_id").alias("doc_id"),
                     F.col("d.title").alias("title")))
@@ -682,6 +687,35 @@ def answer_requests_query(spark, sf_dir):
 register("answer_requests", _answer_sql_ctes() + _ANSWER_FINAL)(answer_requests_query)
 
 
+@register("answer_requests_gateway", _answer_sql_ctes() + f""",
+handed AS (SELECT a.request_id, CASE WHEN x.toxicity > 0.2 THEN '[Content Filtered due to toxicity]'
+                                     ELSE a.answer END AS answer, x.toxicity
+           FROM ans a JOIN tox x ON x.request_id = a.request_id),
+gtok AS (SELECT request_id, unnest(list_distinct({_tok_sql("substring(answer, 1, 512)")})) AS w FROM handed),
+gsum AS (SELECT t.request_id, sum(wq) AS q FROM gtok t JOIN tw ON tw.w = t.w GROUP BY t.request_id),
+graw AS (SELECT h.request_id, h.answer, h.toxicity, (SELECT q FROM prior) + coalesce(g.q, 0.0) AS q
+         FROM handed h LEFT JOIN gsum g ON g.request_id = h.request_id),
+gsent AS (SELECT r.request_id, r.answer, r.toxicity,
+                 2 * coalesce(arg_max(c.g, c.b) FILTER (WHERE c.b <= {_bin_sql("r.q")}), arg_min(c.g, c.b),
+                              1.0 / (1.0 + exp(-any_value(r.q)))) - 1 AS p
+          FROM graw r LEFT JOIN pooled_q c ON TRUE GROUP BY r.request_id, r.answer, r.toxicity, r.q)
+SELECT request_id, answer AS generated_response,
+       CASE WHEN p <= -0.6 THEN 'very negative' WHEN p <= -0.2 THEN 'negative'
+            WHEN p < 0.2 THEN 'neutral' WHEN p < 0.6 THEN 'positive' ELSE 'very positive' END AS sentiment,
+       CASE WHEN toxicity > 0.2 THEN 'true' ELSE 'false' END AS is_toxic
+FROM gsent
+""")
+def q_answer_requests_gateway(spark, sf_dir):
+    """Toxicity is judged (here from 0.2 on) and masked at the
+    generation side, sentiment at the gateway, which sees the masked answers;
+    two rerank passes, the first keeping seven documents."""
+    from larkspur.plans.answer import answer_requests
+    from larkspur.plans.plan import AnswerPlan
+    plan = AnswerPlan(sentiment_at="gateway", rerank_passes=2, rerank_top_n=(7, 5), toxic_threshold=0.2).validate()
+    docs, models = _answer_models(spark, sf_dir, plan)
+    return answer_requests(T.requests_from_benchmark(spark, sf_dir), docs, models, plan)[0]
+
+
 @register("map_sentiment", """
 SELECT d.doc_id,
        CASE 1 + 2 * l.quality + l.toxic WHEN 1 THEN 'very negative' WHEN 2 THEN 'negative'

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur import constants as C
 from larkspur.catalog import _CONSOLIDATED_SQL, _DOCS_SQL, _MISSING_ID, _SUMMARY_SQL, N_RUNS
-from larkspur.catalog import _consolidated, _manifest, _rss, r6, register
+from larkspur.catalog import ORACLES, _consolidated, _fetched, _id_requests, _manifest, _rss, r6, register
 from larkspur.functions.timeutil import as_instant, epoch_micros
 from larkspur.operators import fetch, payload, postprocess, runs, telemetry, validate
 from larkspur.session import shared_dir
@@ -117,6 +117,24 @@ def q_documents_written_once(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("fetch_bucketed", ORACLES["fetch_documents"])
+def q_fetch_bucketed(spark, sf_dir):
+    """J1 against a document table bucketed by id."""
+    path = shared_dir(spark, "documents_bucketed")
+    docs = sinks.write_documents_bucketed(T.scan_documents(spark, sf_dir), path, "docs_" + path.rsplit("/", 1)[1])
+    return _fetched(fetch.fetch_bucketed(_id_requests(spark, sf_dir), docs))
+
+
+@register("docs_in_large_id_set", """
+SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT page_id * 3 FROM pages)
+""")
+def q_docs_in_large_id_set(spark, sf_dir):
+    """J3 behind a Bloom filter: every third document, by the ids of pages."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    ids = T.table(spark, sf_dir, "pages").select((F.col("page_id") * 3).alias("doc_id"))
+    return fetch.docs_in_large_id_set(d, ids)
+
+
 @register("document_structs", f"""
 SELECT doc_id, title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE category END AS category,
        'doc_id,title,content' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ',category' END AS fields

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.bloom import BloomFilter
 from larkspur.functions.text import truncate_text
 
 DOC_FIELDS = ("doc_id", "title", "content", "category")
@@ -81,6 +82,22 @@ def docs_in_id_set(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> D
     return docs.join(ids.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
 
 
+def docs_in_large_id_set(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """J3 for id tables too large to broadcast: a Bloom filter keeps nearly all
+    other documents at the scan, the exact semi join sees the rest."""
+    wanted = ids.select(F.col(id_col).alias("doc_id"))
+    chance = BloomFilter(wanted, "doc_id")
+    return docs_in_id_set(docs.where(chance.might_contain(F.col("doc_id"))), wanted)
+
+
+def fetch_bucketed(requests: DataFrame, docs: DataFrame, ids_col: str = "doc_ids",
+                   truncate: int | None = None) -> DataFrame:
+    """J1 against a document table bucketed by doc_id (``sinks``): only the id
+    rows are shuffled, to the table's buckets; the table is read in place."""
+    rows = explode_ids(requests, ids_col)
+    return collect_docs(fetch_rows(rows, docs.hint("merge"), truncate), requests)
+
+
 def distinct_ids(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """De-duplicated id table (insert-or-ignore semantics)."""
     return ids.select(id_col).distinct()

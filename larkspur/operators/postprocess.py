@@ -39,11 +39,11 @@ def map_sentiment(label) -> Column:
     return F.coalesce(F.element_at(m, _c(label)), F.lit(SENTIMENT_DEFAULT))
 
 
-def flag_toxic(score) -> Column:
+def flag_toxic(score, threshold: float = TOXIC_THRESHOLD) -> Column:
     """P14: "true" when score > threshold (strictly), else "false"; null stays null."""
     s = _c(score)
     return F.when(s.isNull(), F.lit(None).cast("string")) \
-        .when(s > F.lit(TOXIC_THRESHOLD), F.lit("true")).otherwise(F.lit("false"))
+        .when(s > F.lit(float(threshold)), F.lit("true")).otherwise(F.lit("false"))
 
 
 def mask_toxic(text, is_toxic) -> Column:

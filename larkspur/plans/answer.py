@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspur.constants import BROADCAST_LIMIT_BYTES
 from larkspur.operators import fetch, knn, label_models, payload, postprocess, scorers, validate
-from larkspur.plans.plan import AnswerPlan
+from larkspur.plans.plan import SIDES, AnswerPlan
 from larkspur.session import cut_lineage
 
 TIE_DECIMALS = 9
@@ -82,8 +82,9 @@ def retrieve(requests: DataFrame, docs: DataFrame, models: AnswerModels,
     rows = cut_lineage(rows)
     if plan.runs("rerank"):
         qw = scorers.query_token_weights(requests, models.idf)
-        rows = scorers.overlap_scores(rows, qw)
-        rows = scorers.rerank_topn(rows, plan.rerank_top_n, tie_decimals=TIE_DECIMALS)
+        for keep in plan.kept_per_pass():
+            rows = scorers.rerank_topn(scorers.overlap_scores(rows.drop("score", "rank"), qw), keep,
+                                       tie_decimals=TIE_DECIMALS)
     else:
         rows = rows.withColumn("score", F.lit(1.0)).withColumn("rank", F.col("pos"))
     return rows
@@ -94,8 +95,8 @@ def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModel
     """C2 -> (request_id, generated_response, sentiment, is_toxic).
 
     Top ``context_docs`` by rank form the context; the answer is extracted
-    (M3); sentiment reads the unmasked answer (M4, P13); toxicity (M5, P14)
-    masks it (P15); defaults fill the rest (P17).
+    (M3); each side judges what the plan gives it, generation first (see
+    ``judge``); defaults fill the rest (P17).
     """
     ctx = ranked.where(F.col("rank") <= plan.context_docs).select(
         "request_id", "rank", "content")
@@ -103,34 +104,46 @@ def generate_answers(requests: DataFrame, ranked: DataFrame, models: AnswerModel
     ans = scorers.extractive_answer(ctx, qtok, ctx_chars=plan.context_chars)
     out = cut_lineage(requests.select("request_id").join(ans, "request_id", "left")
                       .fillna("", ["generated_response"]))
-    scored = out
-    if (plan.runs("sentiment") and models.lexicon is None) or plan.runs("toxicity"):
-        scored = out.join(label_models.label_scores(out, "request_id", "generated_response", models.labels),
-                          "request_id", "left")
-    if plan.runs("sentiment"):
-        if models.lexicon is None:
-            # five equal steps of the probability of the better label
-            star = scorers.star_label(scorers.stars_from_polarity(2 * F.col("quality") - 1))
-            scored = scored.withColumn("label", star)
-        else:
-            scored = scored.join(scorers.sentiment_label(out, "request_id", "generated_response", models.lexicon),
-                                 "request_id", "left")
-        scored = scored.withColumn("sentiment", postprocess.map_sentiment("label"))
-    else:
-        scored = scored.withColumn("sentiment", F.lit(None).cast("string"))
-    out = scored
-    if plan.runs("toxicity"):
-        out = out.withColumn("is_toxic", postprocess.flag_toxic("toxic"))
-        if plan.runs("mask"):
-            out = out.withColumn("generated_response", postprocess.mask_toxic(
-                "generated_response", "is_toxic"))
-    else:
-        out = out.withColumn("is_toxic", F.lit(None).cast("string"))
+    out = out.withColumns({"sentiment": F.lit(None).cast("string"), "is_toxic": F.lit(None).cast("string")})
+    for side in SIDES:
+        judged = plan.judged_at(side)
+        if judged:
+            out = judge(out, judged, models, plan)
     if plan.runs("defaults"):
         out = postprocess.default_answer(out)
     return out.select("request_id", "generated_response", "sentiment", "is_toxic")
 
 
+def judge(answers: DataFrame, what: list[str], models: AnswerModels, plan: AnswerPlan) -> DataFrame:
+    """Sentiment (M4, P13) and toxicity (M5, P14) of the answers that have
+    none yet, both from the text as it is handed over; then toxic answers are
+    masked (P15)."""
+    def compute(todo: DataFrame) -> DataFrame:
+        out = todo
+        if models.lexicon is None or "toxicity" in what:
+            out = todo.join(label_models.label_scores(todo, "request_id", "generated_response", models.labels),
+                            "request_id", "left")
+        if "sentiment" in what:
+            if models.lexicon is None:
+                # five equal steps of the probability of the better label
+                out = out.withColumn("label", scorers.star_label(
+                    scorers.stars_from_polarity(2 * F.col("quality") - 1)))
+            else:
+                out = out.join(scorers.sentiment_label(todo, "request_id", "generated_response", models.lexicon),
+                               "request_id", "left")
+            out = out.withColumn("_sentiment", postprocess.map_sentiment("label"))
+        if "toxicity" in what:
+            out = out.withColumn("_is_toxic", postprocess.flag_toxic("toxic", plan.toxic_threshold))
+        return out.select("request_id", *[c for c in ("_sentiment", "_is_toxic") if c in out.columns])
+    columns = [{"sentiment": "sentiment", "toxicity": "is_toxic"}[s] for s in what]
+    todo = answers.where(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False)))
+    out = answers.join(compute(todo.select("request_id", "generated_response")), "request_id", "left")
+    out = out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+    if "toxicity" in what and plan.runs("mask"):
+        out = out.withColumn("generated_response", postprocess.mask_toxic("generated_response", "is_toxic"))
+    return out
+
+
 def hand_off(ranked: DataFrame, requests: DataFrame, docs: DataFrame,
              plan: AnswerPlan) -> DataFrame:
     """Retrieval -> generation hand-off in the plan's payload mode.

@@ -25,6 +25,23 @@ def write_documents_once(df: DataFrame, path: str, buckets: int | None = None,
         w.parquet(path)
 
 
+#: Bytes of documents one bucket is meant to hold.
+BUCKET_BYTES = 128 * 1024 * 1024
+
+
+def write_documents_bucketed(df: DataFrame, path: str, table: str, buckets: int | None = None) -> DataFrame:
+    """K1: a document table bucketed and sorted by doc_id, registered as
+    ``table`` (once; a second write changes nothing).  As many buckets as hold
+    about ``BUCKET_BYTES`` of text each, 8 at least."""
+    if buckets is None:
+        size = df.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        buckets = max(8, -(-int(size) // BUCKET_BYTES))
+    # rows come together by bucket first, so every bucket is one file
+    spread = df.repartition(buckets, "doc_id")
+    write_documents_once(spread, path, buckets, table)
+    return df.sparkSession.table(table)
+
+
 @F.pandas_udf(T.DoubleType())
 def _py_round2(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if pd.isna(x) else round(float(x), 2))
