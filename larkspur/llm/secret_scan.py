@@ -5,8 +5,11 @@ The guess cost of a value is the smallest total over all its segmentations
 (dynamic programming over end positions) into words, dates, repeats, keyboard
 walks or sequences, and brute-force spans; every segment costs the decimal
 logarithm of the guesses an attacker needs for it.  ``hunter2`` splits into a
-word and a digit and stays cheap; ``x9$Lq2!vT`` can only be brute-forced.
-The table costs O(length x longest segment) and no value is cut short.
+word and a digit and stays cheap; ``x9$Lq2!vT`` can only be brute-forced, and so
+can letters that are no words.  Words are priced by their rank in a public
+tokenizer's vocabulary.  No value is cut short; places that already cost
+``MIN_COST`` are not carried further, so a value of a megabyte takes as long as
+finding its repeats and walks.
 
 Spans are code-point offsets, end exclusive.  The patterns run over whole
 texts inside one Arrow-batched map: no shuffle, nothing gathered.
@@ -17,11 +20,14 @@ spans; other columns are carried along by ``redact`` and not read otherwise.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import heapq
 import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,19 +67,39 @@ COMMON_WORDS = (
     "horse house black white green blue red one two three and for with this that not key value "
     "company service account private public production staging client"
 ).split()
-_RANK = {w: k for k, w in enumerate(COMMON_WORDS, 1)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
-#: Any run of letters is at worst this many guesses per started 12 letters.
-_LEXICON_COST, _LEXICON_LETTERS = 5.0, 12
+
+
+def default_lexicon() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@lru_cache(maxsize=2)
+def word_ranks(path: str) -> tuple[dict[str, int], int]:
+    """Ranks of words, and their greatest length: the frequent password words,
+    then the whole words (three ASCII letters or more after a blank) of a public
+    tokenizer's vocabulary in its order, which follows frequency."""
+    ranks = {w: k for k, w in enumerate(COMMON_WORDS, 1)}
+    with open(path, "rb") as f:
+        for token, rank in map(bytes.split, f):
+            word = base64.b64decode(token)
+            if word[:1] == b" " and len(word) > 3 and word[1:].isalpha() and word.isascii():
+                ranks.setdefault(word[1:].decode().lower(), len(COMMON_WORDS) + int(rank))
+    return ranks, max(map(len, ranks))
+
 
 _LEET = str.maketrans("@4310$5!7", "aaelossit")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_PLACE = {c: (r, k + r / 2) for r, row in enumerate(_ROWS) for k, c in enumerate(row)}
+#: Row of every ASCII key (-1: none) and its column in half keys; letters and digits.
+_KEY_ROW, _KEY_COLUMN = np.full(128, -1), np.zeros(128, int)
+for _r, _row in enumerate(_ROWS):
+    for _k, _c in enumerate(_row):
+        _KEY_ROW[ord(_c)], _KEY_COLUMN[ord(_c)] = _r, 2 * _k + _r
+_ALNUM = np.array([chr(_k).isalnum() for _k in range(128)])
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d"
                    r"|(?:0[1-9]|1[0-2])([-/._]?)(?:0[1-9]|[12]\d|3[01])\3(?:19|20)\d\d)")
 _YEAR = re.compile(r"(?:19|20)\d\d")
-_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SEGMENT = 0.3                     # every further segment makes the order uncertain
 
 
@@ -86,75 +112,112 @@ def _char_cost(c: str) -> float:
     return math.log10(33) if c.isascii() else 3.0
 
 
-def _walks(low: str):
-    """(start, end, cost) of maximal keyboard walks and alphabet sequences of 3+."""
-    for near, first in ((_adjacent, math.log10(47)), (_consecutive, 1.4)):
-        at = 0
-        while at < len(low) - 2:
-            end, turns, step = at + 1, 0, None
-            while end < len(low) and (new := near(low[end - 1], low[end])) is not None:
-                turns += step is not None and new != step
-                step, end = new, end + 1
-            if end - at >= 3:
-                yield at, end, first + math.log10(end - at) + turns * 0.7
-            at = max(end - 1, at + 1)
-
-
-def _adjacent(a: str, b: str):
-    """Direction of a step to a neighbouring key, or None."""
-    if a not in _PLACE or b not in _PLACE:
-        return None
-    (r, k), (s, m) = _PLACE[a], _PLACE[b]
-    return (s - r, m - k) if a != b and abs(s - r) <= 1 and abs(m - k) <= 1 else None
-
-
-def _consecutive(a: str, b: str):
-    step = ord(b) - ord(a)
-    return step if abs(step) == 1 and a.isalnum() and b.isalnum() and a.isascii() and b.isascii() else None
-
-
-def _segments(value: str):
-    """(start, end, cost) of every cheap segment of a value."""
-    low = value.lower()
-    if len(low) != len(value):                      # lower case may be longer outside ASCII
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    plain = low.translate(_LEET)
-    n = len(value)
-    for at in range(n):
-        for end in range(at + 3, min(n, at + _LONGEST_WORD) + 1):
-            rank = _RANK.get(plain[at:end])
+class _Steps:
+    """Steps between neighbouring characters: which are one kind of move, and
+    up to where a walk from any place goes on."""
+
+    def __init__(self, moves: np.ndarray):
+        """``moves``: a code of the step after each character, 0 for none."""
+        self.breaks = np.flatnonzero(moves == 0)
+        self.turns = np.append(0, np.cumsum((moves[1:] != moves[:-1]) & (moves[1:] != 0) & (moves[:-1] != 0)))
+        self.n = len(moves)
+
+    def walk(self, at: int) -> tuple[int, int]:
+        """(end of the characters, turns) of the longest walk from ``at``."""
+        k = np.searchsorted(self.breaks, at)
+        last = int(self.breaks[k]) if k < len(self.breaks) else self.n     # first place without a step
+        if last <= at:
+            return at + 1, 0
+        return last + 1, int(self.turns[last - 1] - self.turns[at])
+
+
+class _Value:
+    """The cheap segments of a value, found from any start without walking the
+    rest of the value again."""
+
+    def __init__(self, value: str, lexicon: str | None):
+        low = value.lower()
+        if len(low) != len(value):                  # lower case may be longer outside ASCII
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        self.value, self.low, self.plain = value, low, low.translate(_LEET)
+        self.ranks, self.longest = word_ranks(lexicon or default_lexicon())
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.differ = [np.flatnonzero(codes[u:] != codes[:-u]) if len(codes) > u else np.empty(0, int)
+                       for u in range(1, 5)]
+        ascii_ = np.minimum(codes, 127)
+        step = codes[1:] - codes[:-1]
+        known = _ALNUM[ascii_] & (codes < 127)
+        alphabet = np.where((np.abs(step) == 1) & known[1:] & known[:-1], step, 0)
+        row, col = _KEY_ROW[ascii_], _KEY_COLUMN[ascii_]
+        down, right = row[1:] - row[:-1], col[1:] - col[:-1]       # columns in half keys
+        near = (np.abs(down) <= 1) & (np.abs(right) <= 2) & (step != 0) & (row[1:] >= 0) & (row[:-1] >= 0)
+        self.walks = ((_Steps(np.where(near, 10 * (down + 2) + right + 3, 0)), math.log10(47)),
+                      (_Steps(alphabet), 1.4))
+
+    def starting(self, at: int):
+        """(end, cost) of the segments that start at ``at``."""
+        value, low, plain, n = self.value, self.low, self.plain, len(self.value)
+        for end in range(at + 3, min(n, at + self.longest) + 1):
+            rank = self.ranks.get(plain[at:end])
             if rank:
-                changed = value[at:end] != plain[at:end]
-                yield at, end, math.log10(rank + 1) + 0.5 * changed
+                yield end, math.log10(rank + 1) + 0.5 * (value[at:end] != plain[at:end])
         for pattern, cost in ((_DATE, 4.7), (_YEAR, 2.2)):
             m = pattern.match(value, at)
             if m:
-                yield at, m.end(), cost
+                yield m.end(), cost
         for unit in range(1, 5):                    # a unit of 1-4 characters, repeated
-            end = at + unit
-            while end + unit <= n and low.startswith(low[at:at + unit], end):
-                end += unit
-            if end - at >= max(3, 2 * unit):
-                yield at, end, sum(map(_char_cost, value[at:at + unit])) + math.log10((end - at) / unit)
-    yield from _walks(low)
-    for m in _LETTERS.finditer(value):
-        if m.end() - m.start() >= 3:
-            yield m.start(), m.end(), _LEXICON_COST * -(-(m.end() - m.start()) // _LEXICON_LETTERS)
-
-
-def guess_cost(value: str) -> float:
-    """log10 of the guesses the cheapest segmentation of ``value`` needs."""
-    ends: dict[int, list] = {}
-    for at, end, cost in _segments(value):
-        ends.setdefault(end, []).append((at, cost))
-    # best[k]: cheapest cover of value[:k]; brute[k]: the same, ending in a brute-force span
-    best, brute = [0.0], [math.inf]
-    for k in range(1, len(value) + 1):
-        extend = min(brute[k - 1], best[k - 1] + (_SEGMENT if k > 1 else 0)) + _char_cost(value[k - 1])
-        brute.append(extend)
-        best.append(min([extend, *(best[at] + cost + (_SEGMENT if at else 0)
-                                   for at, cost in ends.get(k, ()))]))
-    return best[-1]
+            if at + 2 * unit <= n:
+                differ = self.differ[unit - 1]
+                k = np.searchsorted(differ, at)
+                equal = (int(differ[k]) if k < len(differ) else n - unit) - at
+                length = unit * (1 + equal // unit)
+                if length >= max(3, 2 * unit):
+                    yield at + length, sum(map(_char_cost, value[at:at + unit])) + math.log10(length / unit)
+        for steps, first in self.walks:
+            if at + 3 <= n:
+                end, turns = steps.walk(at)
+                if end - at >= 3:
+                    yield end, first + math.log10(end - at) + turns * 0.7
+
+
+def _segments(value: str, lexicon: str | None = None):
+    """(start, end, cost) of every cheap segment of a value."""
+    found = _Value(value, lexicon)
+    for at in range(len(value)):
+        for end, cost in found.starting(at):
+            yield at, end, cost
+
+
+def guess_cost(value: str, enough: float = math.inf, lexicon: str | None = None) -> float:
+    """log10 of the guesses the cheapest segmentation of ``value`` needs, or
+    ``enough`` if that is not less.
+
+    The table is filled forwards, and only for places that some segmentation
+    reaches for less than ``enough``: a long value costs its repeats and walks,
+    found once, and a few places, not a pass over all its characters."""
+    n = len(value)
+    found = _Value(value, lexicon)
+    # whole[k]: cheapest cover of value[:k]; brute[k]: the same, ending in a brute-force span
+    whole, brute, places = {0: 0.0}, {}, [0]
+    seen = -1
+    while places:
+        at = heapq.heappop(places)
+        if at == seen:
+            continue
+        seen = at
+        best = min(whole.pop(at, math.inf), open_ := brute.pop(at, math.inf))
+        if at == n:
+            return best
+        joint = best + (_SEGMENT if at else 0)
+        cost = min(open_, joint) + _char_cost(value[at])
+        if cost < enough:
+            brute[at + 1] = cost
+            heapq.heappush(places, at + 1)
+        for end, cost in found.starting(at):
+            if joint + cost < min(enough, whole.get(end, math.inf)):
+                whole[end] = joint + cost
+                heapq.heappush(places, end)
+    return enough
 
 
 def find_spans(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int, int, int, int]]:
@@ -176,7 +239,7 @@ def find_spans(text: str | None, min_cost: float = MIN_COST) -> list[tuple[int,
             while end > at and text[end - 1] in ".!?:":
                 end -= 1
             if end - at >= 6 and not any(s < end and at < e for s, e in base) \
-                    and guess_cost(text[at:end]) >= min_cost:
+                    and guess_cost(text[at:end], min_cost) >= min_cost:
                 found.append((at, 3, end, at))
     return sorted(found)
 

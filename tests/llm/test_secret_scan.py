@@ -90,3 +90,29 @@ def test_edge_rows_and_redaction(spark):
     assert texts == {1: None, 2: "", 3: "api_key: '[SECRET]'", None: "db postgres://me:[SECRET]@host/x",
                      5: "word " * 100_000 + "token = [SECRET]", 6: "plain text"}
     assert S.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("value", ["qzxvkjwmtrbl", "Qzxvkjwmtrbl", "vkqxjzwp"])
+def test_letters_that_are_no_words_are_secrets(value):
+    assert S.guess_cost(value) >= S.MIN_COST
+    assert S.mask(f"pwd={value} end") == f"pwd={S.MASK} end"
+
+
+def test_long_values_take_no_time():
+    import random
+    import time
+    rnd = random.Random(1)
+    n = 1_000_000
+    for value, secret in (("$" * n, False), ("xy" * (n // 2), None), ("qwertyuiop" * (n // 10), None),
+                          ("the" * (n // 3), None), ("".join(rnd.choices("aQ1$w!", k=n)), True),
+                          ("correcthorse" * (n // 12), None)):
+        began = time.perf_counter()
+        spans = S.find_spans("pwd=" + value)
+        assert time.perf_counter() - began < 1
+        assert secret is None or bool(spans) == secret
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abqw12$", max_size=24), st.floats(1, 12))
+def test_threshold_cuts_nothing_below_it(value, enough):
+    assert S.guess_cost(value, enough) == pytest.approx(min(enough, S.guess_cost(value)))
