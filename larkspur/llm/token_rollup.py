@@ -113,8 +113,8 @@ class RollupStore:
         self._mark("commits", batch_id)
         return True
 
-    def _current(self) -> tuple[list[str], set[str]]:
-        """Paths that make up the totals, and the ids within the snapshot."""
+    def _current(self, committed: set[str]) -> list[str]:
+        """Paths that make up the totals of the given batches."""
         snapshots = sorted(self._marks("snapshots"), key=int)
         folded: set[str] = set()
         paths = []
@@ -122,11 +122,12 @@ class RollupStore:
             last = snapshots[-1]
             folded = {r.id for r in self.spark.read.parquet(f"{self.path}/folded/{last}").collect()}
             paths = [f"{self.path}/totals/{last}"]
-        return paths + [f"{self.path}/batches/{b}" for b in sorted(self.committed() - folded)], folded
+        return paths + [f"{self.path}/batches/{b}" for b in sorted(committed - folded)]
 
-    def totals(self) -> DataFrame:
-        """source, lang, version, docs, tokens over all committed batches."""
-        paths, _ = self._current()
+    def totals(self, committed: set[str] | None = None) -> DataFrame:
+        """source, lang, version, docs, tokens over all committed batches (or
+        those among the given ones and in the last snapshot)."""
+        paths = self._current(self.committed() if committed is None else committed)
         if not paths:
             return self.spark.createDataFrame([], DELTA)
         return _sum(self.spark.read.schema(DELTA).parquet(*paths)).where("docs <> 0 OR tokens <> 0")
@@ -134,11 +135,11 @@ class RollupStore:
     def compact(self) -> None:
         """Folds the committed batches into a new snapshot; a snapshot counts
         from its marker on, so an interrupted run is simply repeated."""
-        ids = sorted(self.committed())
+        ids = sorted(self.committed())              # listed once: later commits stay out of both
         if not ids:
             return
         number = str(max([0, *map(int, self._marks("snapshots"))]) + 1)
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/totals/{number}")
+        self.totals(set(ids)).write.mode("overwrite").parquet(f"{self.path}/totals/{number}")
         self.spark.createDataFrame([(i,) for i in ids], "id string") \
             .write.mode("overwrite").parquet(f"{self.path}/folded/{number}")
         self._mark("snapshots", number)
@@ -164,7 +165,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     counts = materialise(token_counts(docs, {v: default_vocabulary(v) for v in (OLD, NEW)}), "counts")
     gone = materialise(exact_repeats(counts), "repeats")
-    stay = counts.join(gone.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    # a doc_id may hold several texts: only the repeated one goes
+    stay = counts.join(gone.select("doc_id", "digest").distinct().hint("merge"), ["doc_id", "digest"], "left_anti")
     store = RollupStore(spark, shared_dir(spark, "llm", "rollup"))
     store.commit("load", signed(counts, 1, OLD, OLD))
     for _ in range(2):

@@ -54,3 +54,37 @@ def test_commits_are_idempotent(spark, tmp_path):
     assert store.commit("empty", R.signed(both.limit(0), 1, R.OLD, R.OLD))
     with pytest.raises(ValueError):
         store.commit("../x", R.signed(both, 1, R.OLD, R.OLD))
+
+
+def write_documents(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, digest string") \
+        .write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_repeated_ids_and_empty_table_through_the_query(spark, tmp_path):
+    a, b = "alpha beta gamma", "delta epsilon"
+    rows = [(3, "s", "en", a, "x"), (5, "s", "en", a, "x"), (5, "s", "en", b, "x"), (None, "s", "en", b, None),
+            (7, "s", "en", None, None), (8, "s", "en", None, None)]
+    got = {tuple(r)[:3]: (r.docs, r.tokens) for r in R.query(spark, write_documents(spark, tmp_path / "a", rows)).collect()}
+    # (5, A) repeats (3, A); (5, B) is another text of its id; a row without id repeats nothing
+    assert got == {("s", "en", R.NEW): (5, count(a, R.NEW) + 2 * count(b, R.NEW))}
+    assert R.query(spark, write_documents(spark, tmp_path / "b", [])).count() == 0
+
+
+def test_batches_committed_during_compaction_count_once(spark, tmp_path):
+    store = R.RollupStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "en", "v", 1, 10)], R.DELTA)
+    store.commit("b1", rows)
+    listed = store.committed
+
+    def late():                                            # another writer commits after the listing
+        ids = listed()
+        store.committed = listed
+        store.commit("b2", rows)
+        return ids
+    store.committed = late
+    store.compact()
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(2, 20)]
+    store.compact()
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(2, 20)]
