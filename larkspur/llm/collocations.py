@@ -45,7 +45,7 @@ MAX_WORDS = 5
 TOP = 2000
 COVERED_PERCENT = 100
 #: Words held by a worker's id cache; entries of a vocabulary or filter before it is emitted.
-CACHE_WORDS, FILTER_ENTRIES = 200_000, 1 << 19
+CACHE_WORDS, VOCABULARY_ENTRIES, FILTER_ENTRIES = 200_000, 1 << 18, 1 << 19
 #: Occurrences that one quotient block stands for.
 BLOCK_GRAMS = 1 << 19
 #: Texts handled at a time.
@@ -105,7 +105,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for batch in _slices(batches):
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     held.setdefault(lang, Counter()).update(split_words(text))
-                if sum(map(len, held.values())) >= FILTER_ENTRIES:
+                if sum(map(len, held.values())) >= VOCABULARY_ENTRIES:
                     yield from emit(held, seed)
                     held.clear()
             yield from emit(held, seed)
