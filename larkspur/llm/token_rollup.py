@@ -166,7 +166,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = materialise(token_counts(docs, {v: default_vocabulary(v) for v in (OLD, NEW)}), "counts")
     gone = materialise(exact_repeats(counts), "repeats")
     # a doc_id may hold several texts: only the repeated one goes
-    stay = counts.join(gone.select("doc_id", "digest").distinct().hint("merge"), ["doc_id", "digest"], "left_anti")
+    stay = counts.join(gone.select("doc_id", "digest").hint("merge"), ["doc_id", "digest"], "left_anti")
     store = RollupStore(spark, shared_dir(spark, "llm", "rollup"))
     store.commit("load", signed(counts, 1, OLD, OLD))
     for _ in range(2):
