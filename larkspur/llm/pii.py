@@ -6,8 +6,9 @@ pseudonyms in every document.  The permutation is a Feistel network on a pair
 (x mod a, y mod b): eight rounds of adding a keyed hash of one half to the
 other, which is a bijection for any a and b:
 
-* card numbers of 13-19 digits with a valid check digit: the digits before
-  the check digit are permuted, the check digit is computed again;
+* card numbers of 13-19 digits with a valid check digit, alone or beside other
+  groups of digits (an expiry date, a security code): the digits before the
+  check digit are permuted, the check digit is computed again;
 * telephone numbers of ten digits after +1;
 * IPv4 addresses: 65,536 x 65,536;
 * calendar dates of 1800-2199 (ISO, or day first with dots or slashes): their
@@ -32,13 +33,19 @@ from larkspur.llm.common import free_name, open_table
 ROUNDS = 8
 
 # The formats (Java regular expressions).
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Digits in groups with one blank or hyphen between them, 13 digits at least in
+#: all; the quantifier gives nothing back, so long runs need no stack.
+DIGIT_RUN = r"(?<![0-9])(?<![0-9]\.)[0-9](?:[ -]?[0-9]){12,}+"
+#: Whole groups of a given number of digits, from every group on; not after a +.
+CARD = r"(?<![0-9+])(?=([0-9](?:[ -]?[0-9]){{{}}})(?![0-9]))"
+#: Groups that a card beside other digits is written in.
+CARD_GROUPS = "^(?:[0-9]{4,}[ -])*[0-9]{3,}$"
 PHONE = r"\+1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}-?[0-9]{4}(?![0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1(?:18|19|20|21)[0-9]{2}(?![0-9/])"
 #: The look-ahead spares all other characters the alternatives.
-NUMBERS = "(?=[+0-9])(?:" + "|".join([PHONE, ISO_DATE, DAY_DATE, IPV4, CARD]) + ")"
+NUMBERS = "(?=[+0-9])(?:" + "|".join([PHONE, ISO_DATE, DAY_DATE, IPV4]) + ")"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?=[A-Za-z0-9-]{1,63}\.[A-Za-z0-9])"
 
 
@@ -104,12 +111,6 @@ def _pair(text: Column, base: int, key: str, tag: Column) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of NUMBERS, or the match if it is not valid."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    fresh = _pair(body, 10, key, F.lit("card"))
-    check = F.pmod(F.lit(10) - F.pmod(_luhn(fresh, True), F.lit(10)), F.lit(10))
-    card = F.when(F.pmod(_luhn(digits, False), F.lit(10)) == 0,
-                  _refill(m, F.concat(fresh, check.cast("string")), "0-9"))
-
     phone = _refill(m, F.concat(F.lit("1"), _pair(F.substring(digits, 2, 10), 10, key, F.lit("phone"))), "0-9")
 
     octet = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
@@ -135,8 +136,51 @@ def pseudonym(m: Column, key: str) -> Column:
         F.when(m.startswith("+"), phone)
         .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), iso)
         .when(m.rlike(r"^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), day_first)
-        .when(m.rlike(r"^[0-9.]+$") & m.contains("."), ip)
-        .otherwise(card), m)
+        .otherwise(ip), m)
+
+
+def _card(shape: Column, digits: Column, key: str) -> Column:
+    """``shape`` (with its separators) holding the pseudonym of a valid card."""
+    fresh = _pair(F.substring(digits, F.lit(1), F.length(digits) - 1), 10, key, F.lit("card"))
+    check = F.pmod(F.lit(10) - F.pmod(_luhn(fresh, True), F.lit(10)), F.lit(10))
+    return _refill(shape, F.concat(fresh, check.cast("string")), "0-9")
+
+
+def replace_cards(docs: DataFrame, col: str, key: str) -> DataFrame:
+    """``docs`` with the cards in a text column replaced.
+
+    In every run of digit groups the run itself and all sequences of groups of
+    four digits or more (the last: three) with 13-19 digits are tried, so a card
+    next to other numbers is found like one by itself.
+    Those with a valid check digit are replaced in the order of their first
+    place, longer ones first; one that overlaps a replaced one is no longer
+    there.  The steps are columns of their own, used twice, so what one has
+    found is not computed again for every element of the next."""
+    runs, valid, fresh = (free_name(docs, c) for c in ("runs", "valid", "fresh"))
+    text = F.col(col)
+    out = docs.withColumn(runs, F.when(text.rlike(DIGIT_RUN), F.regexp_extract_all(text, F.lit(DIGIT_RUN), F.lit(0))))
+
+    def checked(run: Column) -> Column:
+        found = F.flatten(F.array(*[F.regexp_extract_all(run, F.lit(CARD.format(n - 1)), F.lit(1))
+                                    for n in range(13, 20)]))
+        return F.filter(F.array_distinct(found), lambda c: (c.rlike(CARD_GROUPS) | (c == run)) & (F.pmod(
+            _luhn(F.regexp_replace(c, "[^0-9]", ""), False), F.lit(10)) == 0))
+    out = out.withColumn(valid, F.when(F.size(runs) > 0, F.transform(runs, checked)))
+
+    def renamed(cards: Column, run: Column) -> Column:
+        return F.transform(cards, lambda c: F.struct(
+            F.call_function("instr", run, c).alias("at"),
+            (-F.length(c)).alias("less"), c.alias("card"),
+            _card(c, F.regexp_replace(c, "[^0-9]", ""), key).alias("new")))
+    out = out.withColumn(fresh, F.when(F.size(valid) > 0, F.zip_with(valid, runs, renamed)))
+
+    def written(run: Column, cards: Column) -> Column:
+        return F.aggregate(F.sort_array(cards), run, lambda t, c: F.call_function(
+            "regexp_replace", t, F.concat(F.lit("(?<![0-9])"), c["card"], F.lit("(?![0-9])")), c["new"]))
+    whole = F.array_join(F.zip_with(F.split(text, DIGIT_RUN, -1), F.zip_with(runs, fresh, written),
+                                    lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return out.withColumn(col, F.when(F.exists(valid, lambda v: F.size(v) > 0) & (F.size(fresh) > 0), whole)
+                          .otherwise(text)).drop(runs, valid, fresh)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -161,6 +205,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     step = free_name(docs, "masked")
     mail = F.when(text.contains("@") & text.rlike(EMAIL), _replace(text, EMAIL, lambda m: _email(m, key))).otherwise(text)
     out = docs.withColumn(step, mail)
+    # cards first: they may stand beside dates and other numbers
+    out = replace_cards(out, step, key)
     done = F.col(step)
     done = F.when(done.rlike(NUMBERS), _replace(done, NUMBERS, lambda m: pseudonym(m, key))).otherwise(done)
     return out.withColumn(text_col, done).drop(step)
