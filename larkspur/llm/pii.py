@@ -35,9 +35,9 @@ ROUNDS = 8
 # The formats (Java regular expressions).
 #: Digits in groups with one blank or hyphen between them, 13 digits at least in
 #: all; the quantifier gives nothing back, so long runs need no stack.
-DIGIT_RUN = r"(?<![0-9])(?<![0-9]\.)[0-9](?:[ -]?[0-9]){12,}+"
+DIGIT_RUN = r"(?=[0-9])(?<![0-9])(?<![0-9]\.)[0-9](?:[ -]?[0-9]){12,}+"
 #: Whole groups of a given number of digits, from every group on; not after a +.
-CARD = r"(?<![0-9+])(?=([0-9](?:[ -]?[0-9]){{{}}})(?![0-9]))"
+CARD = r"(?=[0-9])(?<![0-9+])(?=([0-9](?:[ -]?[0-9]){{{}}})(?![0-9]))"
 #: Groups that a card beside other digits is written in.
 CARD_GROUPS = "^(?:[0-9]{4,}[ -])*[0-9]{3,}$"
 PHONE = r"\+1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}-?[0-9]{4}(?![0-9])"
