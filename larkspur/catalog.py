@@ -575,15 +575,15 @@ tox AS (SELECT r.request_id, coalesce(arg_max(c.g, c.b) FILTER (WHERE c.b <= {_b
 """
 
 
-def _answer_models(spark, sf_dir, plan):
+def _answer_models(spark, sf_dir, plan, judges=True):
     from larkspur.plans.answer import fit_models
     docs = T.scan_documents(spark, sf_dir)
-    return docs, fit_models(docs, _labelled(spark, sf_dir), plan)
+    return docs, fit_models(T.spread(docs), _labelled(spark, sf_dir) if judges else None, plan)
 
 
 def _labelled(spark, sf_dir):
     return (T.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-            .join(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+            .join(T.spread(T.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"))
 
 
 @register("label_probabilities", _answer_sql_ctes() + """
@@ -612,7 +612,7 @@ def _ranked(spark, sf_dir):
     from larkspur.plans.answer import retrieve
     from larkspur.plans.plan import AnswerPlan
     plan = AnswerPlan().validate()
-    docs, models = _answer_models(spark, sf_dir, plan)
+    docs, models = _answer_models(spark, sf_dir, plan, judges=False)
     req = T.requests_from_benchmark(spark, sf_dir)
     return req, retrieve(req, docs, models, plan), plan, models
 

@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,30 +60,70 @@ def token_sign(w: Column, hashed: bool = False) -> Column:
     return F.when(F.pmod(digit, F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
 
 
-def _signed_counts(words: pa.ListArray, dim: int) -> np.ndarray:
-    """(row, bucket) sums of the token signs of a slice of token lists; every
-    distinct token of the slice is digested once."""
-    flat = words.flatten().dictionary_encode()
-    raw = [hashlib.md5(w.encode()).digest() for w in flat.dictionary.to_pylist()]
-    bucket = np.array([int.from_bytes(r[:4], "big") % dim for r in raw], dtype=np.int64)
-    sign = np.array([1.0 - 2.0 * (r[4] >> 4 & 1) for r in raw], dtype=np.float64)
-    at = flat.indices.to_numpy()
-    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
-    place = np.repeat(np.arange(len(words)) * dim, lengths) + bucket[at]
-    return np.bincount(place, sign[at], len(words) * dim).reshape(len(words), dim)
+#: Tokens that an embedding task remembers the place of.
+KNOWN_TOKENS = 400_000
+#: Every ASCII character as a lower-case letter, a digit or a blank.
+_ASCII_TOKENS = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+_TOKEN = re.compile(r"[^\W_]+")
+#: Characters of which every Unicode version at hand says the same (letter, number or neither).
+SETTLED = r"\u0000-\u086F\u1E00-\u2C2E\u3000-\u9FEF\uAC00-\uD7A3"
+
+
+class _Places(dict):
+    """Token (UTF-8) -> 2 * bucket, + 1 where the sign is negative; bounded."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        raw = hashlib.md5(word).digest()
+        place = 2 * (int.from_bytes(raw[:4], "big") % self.dim) + (raw[4] >> 4 & 1)
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = place
+        return place
+
+
+def _shipped_column(t: Column) -> Column:
+    """What a worker needs to find the tokens of a text: the text itself if both
+    sides know its characters alike, else its tokens, found in the JVM, with
+    blanks between."""
+    alike = (F.length(t) == F.octet_length(t)) | ~t.rlike(f"[^{SETTLED}]")
+    return F.when(alike, t).otherwise(F.array_join(tokens(t), " "))
+
+
+def shipped_tokens(text: str) -> list[bytes]:
+    """The tokens of ``functions.text.tokens`` as UTF-8, from the shipped text."""
+    if text.isascii():
+        return text.encode().translate(_ASCII_TOKENS).split()
+    return " ".join(_TOKEN.findall(text.lower())).encode().split()
+
+
+def _signed_counts(texts: list[str | None], places: _Places) -> np.ndarray:
+    """(row, bucket) sums of the token signs of a slice of texts."""
+    out = np.zeros((len(texts), places.dim))
+    for row, text in zip(out, texts):
+        if text:
+            at = np.fromiter(map(places.__getitem__, shipped_tokens(text)), np.int64)
+            both = np.bincount(at, minlength=2 * places.dim)
+            row[:] = both[::2] - both[1::2]
+    return out
 
 
 def _embed(df: DataFrame, key: str, text: str, dim: int, field: str, kind: str, pack) -> DataFrame:
-    """(key, field) per row with a non-zero vector: the text is tokenised in the
-    JVM and an Arrow batch becomes a matrix, ``EMBED_ROWS`` rows at a time.  A
-    row's vector depends on that row alone, so nothing is shuffled."""
-    rows = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("_t"))
+    """(key, field) per row with a non-zero vector: the worker tokenises the texts
+    of an Arrow batch, ``EMBED_ROWS`` at a time, and looks up every token's place.
+    A row's vector depends on that row alone, so nothing is shuffled."""
+    rows = df.select(F.col(key).alias(key), _shipped_column(F.col(text).cast("string")).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(dim)
         for batch in batches:
             for lo in range(0, batch.num_rows, EMBED_ROWS):
                 part = batch.slice(lo, EMBED_ROWS)
-                sums = _signed_counts(part.column(1), dim)
+                sums = _signed_counts(part.column(1).to_pylist(), places)
                 norm = np.sqrt((sums * sums).sum(axis=1))
                 some = norm > 0
                 unit = sums[some] / norm[some, None]

@@ -26,18 +26,20 @@ TIE_DECIMALS = 9
 class AnswerModels:
     doc_vectors: DataFrame            # (doc_id, embedding array<double>)
     idf: scorers.IdfModel
-    labels: label_models.LabelModels  # sentiment (quality) and toxicity, calibrated
+    labels: label_models.LabelModels | None  # sentiment (quality) and toxicity, calibrated
     lexicon: DataFrame | None = None
     ivf: tuple[DataFrame, DataFrame] | None = None   # (assigned, centroids)
 
 
-def fit_models(docs: DataFrame, labelled: DataFrame, plan: AnswerPlan,
+def fit_models(docs: DataFrame, labelled: DataFrame | None, plan: AnswerPlan,
                lexicon: DataFrame | None = None) -> AnswerModels:
     """Corpus-side fitting over whole texts: document vectors, idf, sentiment
-    and toxicity weights from labelled texts (doc_id, text, quality, toxic)."""
+    and toxicity weights from labelled texts (doc_id, text, quality, toxic).
+    Without labelled texts the models serve retrieval (C1) only."""
     vec = scorers.embed_dense(docs, "doc_id", "content", plan.embed_dim)
     idf = scorers.idf_table(docs, "doc_id", "content")
-    labels = label_models.fit_labels(labelled, ("quality", "toxic"), "text", "doc_id")
+    labels = None if labelled is None else \
+        label_models.fit_labels(labelled, ("quality", "toxic"), "text", "doc_id")
     ivf = None
     if plan.search == "ivf":
         ivf = knn.build_ivf(vec.withColumnRenamed("doc_id", "vec_id"), plan.nlist)
@@ -118,6 +120,9 @@ def judge(answers: DataFrame, what: list[str], models: AnswerModels, plan: Answe
     """Sentiment (M4, P13) and toxicity (M5, P14) of the answers that have
     none yet, both from the text as it is handed over; then toxic answers are
     masked (P15)."""
+    if models.labels is None and (models.lexicon is None or "toxicity" in what):
+        raise ValueError("the plan judges answers, but the models hold no labels")
+
     def compute(todo: DataFrame) -> DataFrame:
         out = todo
         if models.lexicon is None or "toxicity" in what:
@@ -195,10 +200,11 @@ def save_models(models: AnswerModels, path: str) -> None:
     spark = models.doc_vectors.sparkSession
     models.doc_vectors.write.mode("overwrite").parquet(f"{path}/doc_vectors")
     models.idf.table.write.mode("overwrite").parquet(f"{path}/idf")
-    models.labels.weights.write.mode("overwrite").parquet(f"{path}/label_weights")
-    spark.createDataFrame([(c, m.prior, m.shares) for c, m in models.labels.labels.items()],
-                          "label string, prior double, shares array<double>").write.mode("overwrite") \
-        .parquet(f"{path}/labels")
+    if models.labels is not None:
+        models.labels.weights.write.mode("overwrite").parquet(f"{path}/label_weights")
+        spark.createDataFrame([(c, m.prior, m.shares) for c, m in models.labels.labels.items()],
+                              "label string, prior double, shares array<double>").write.mode("overwrite") \
+            .parquet(f"{path}/labels")
     spark.createDataFrame([(models.idf.n_docs,)], "n_docs long").write.mode("overwrite") \
         .parquet(f"{path}/scalars")
     if models.lexicon is not None:
@@ -208,13 +214,15 @@ def save_models(models: AnswerModels, path: str) -> None:
             part.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_models(spark, path: str, with_lexicon: bool = False, with_ivf: bool = False) -> AnswerModels:
+def load_models(spark, path: str, with_lexicon: bool = False, with_ivf: bool = False,
+                with_labels: bool = True) -> AnswerModels:
     sc = spark.read.parquet(f"{path}/scalars").first()
     return AnswerModels(
         spark.read.parquet(f"{path}/doc_vectors"),
         scorers.IdfModel(spark.read.parquet(f"{path}/idf"), int(sc["n_docs"])),
         label_models.LabelModels(spark.read.parquet(f"{path}/label_weights"), {
-            r.label: label_models.Label(r.prior, r.shares) for r in spark.read.parquet(f"{path}/labels").collect()}),
+            r.label: label_models.Label(r.prior, r.shares) for r in spark.read.parquet(f"{path}/labels").collect()})
+        if with_labels else None,
         spark.read.parquet(f"{path}/lexicon") if with_lexicon else None,
         (spark.read.parquet(f"{path}/ivf_assigned"), spark.read.parquet(f"{path}/ivf_centroids"))
         if with_ivf else None)

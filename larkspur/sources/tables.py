@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for work on whole texts that costs more than moving them.
+
+    A table in fewer splits than cores (so smaller than ``maxPartitionBytes`` a
+    core; often one row group, read by one task) is dealt to all cores; any
+    larger table is read in place.  Same rows either way.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def category_of(doc_id) -> F.Column:
     """Category chosen by ``doc_id % 4`` from the fixed category list."""
     cats = F.array(*[F.lit(c) for c in CATEGORIES])

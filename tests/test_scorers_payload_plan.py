@@ -116,3 +116,33 @@ def test_plan_validation():
     with pytest.raises(ValueError):
         AnswerPlan(rerank_passes=4).validate()
     assert not AnswerPlan(rerank_passes=0).runs("rerank")
+
+
+def test_worker_finds_the_tokens_of_the_jvm(spark, tmp_path):
+    """Every code point, between letters and between blanks."""
+    import pandas as pd
+    from larkspur.functions.text import tokens
+    path = str(tmp_path / "chars.parquet")
+    pd.DataFrame({"c": [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k <= 0xDFFF]}).to_parquet(
+        path, row_group_size=100_000)
+    x = F.concat(F.lit("A"), "c", F.lit("1 "), "c")
+    rows = spark.read.parquet(path).select(tokens(x).alias("t"), scorers._shipped_column(x).alias("x"))
+
+    def differ(batches):
+        import pyarrow as pa
+        for b in batches:
+            t, x = (c.to_pylist() for c in b.columns)
+            yield pa.record_batch([pa.array([w for w, y in zip(t, x)
+                                             if [v.encode() for v in w] != scorers.shipped_tokens(y)],
+                                            pa.list_(pa.string()))], names=["t"])
+    assert rows.mapInArrow(differ, "t array<string>").collect() == []
+
+
+def test_small_scan_is_dealt_to_all_cores(spark):
+    from larkspur.sources import tables as T
+    rows = spark.range(100, numPartitions=1)
+    cores = spark.sparkContext.defaultParallelism
+    assert T.spread(rows).rdd.getNumPartitions() == max(1, cores)
+    assert T.spread(rows).count() == 100
+    wide = spark.range(100, numPartitions=cores + 1)
+    assert T.spread(wide) is wide
