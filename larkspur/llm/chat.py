@@ -9,13 +9,17 @@ gives the hashes of all prefixes, and an anti-join against the proper prefixes
 of every conversation leaves the maximal ones.  Only DataFrame functions are
 used.
 
-Conversations are handled in blocks of ``BLOCK_TURNS`` turns: running sums are
-taken within a block and the sums of earlier blocks are added, so that one very
-long conversation is spread over many tasks.  Rendering gives one text per
-block (``part``); most conversations have just one.
+Turns get their positions from ranges of (conversation, turn, role, text): the
+place within a range plus the counts of the ranges before, so that neither a long
+conversation nor one of equal or null turns is ever sorted in one task (the ranges
+are cut by the first ``RANGE_CHARS`` characters of role and text; turns that also
+agree in these stay together).  Conversations are then handled in blocks of
+``BLOCK_TURNS`` positions: running sums are taken within a block and the sums of
+earlier blocks are added.  Rendering gives one text per block (``part``); most
+conversations have just one.
 
 Defined cases: a null conv_id is a conversation of its own, a null turn sorts
-before 0; exact repeats of a row collapse; rows that share a turn are ordered
+first; exact repeats of a row collapse; rows that share a turn are ordered
 by role and text; null roles and texts differ from empty ones for the
 comparison and render as empty; no rows give no rows; further columns are not
 read.
@@ -29,23 +33,28 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import materialise, open_table
 
 BLOCK_TURNS = 128
+#: Characters of role and text by which ranges of turns are cut; bounds the sampled keys.
+RANGE_CHARS = 128
 
 
 def numbered_turns(turns: DataFrame) -> DataFrame:
     """(conv, block, pos, role, text, p1, p2): position from 1 and prefix hashes."""
-    rows = (turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
-                         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-            .distinct()
-            .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1 << 60))))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
+                        F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
+    order = ["conv", "turn", "role", "text"]
+    ranges = rows.repartitionByRange("conv", "turn", *(F.substring(c, 1, RANGE_CHARS) for c in ("role", "text")))
+    # the number of a row grows with its range and its place there
+    rows = materialise(ranges.sortWithinPartitions(*order).select(
+        *order, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row")), "ordered")
+    earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("conv", "range").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("count")) \
+        .withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    same = [F.col("rows.conv").eqNullSafe(F.col("starts.conv")), F.col("rows.range") == F.col("starts.range")]
+    rows = rows.alias("rows").join(starts.alias("starts"), same).select(
+        "rows.conv", "rows.role", "rows.text", (F.col("before") + F.col("row") - F.col("first") + 1).alias("pos")) \
+        .withColumn("block", F.floor((F.col("pos") - 1) / BLOCK_TURNS))
     key = ["conv", "block"]
-    counts = rows.groupBy(*key).count()
     upto = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
-    order = Window.partitionBy(*key).orderBy("turn", "role", "text")
-    rows = rows.withColumn("rank", F.row_number().over(order))
-    same = [F.col("rows.conv").eqNullSafe(F.col("starts.conv")), F.col("rows.block") == F.col("starts.block")]
-    rows = rows.alias("rows").join(starts.alias("starts"), same).select(
-        "rows.*", (F.col("before") + F.col("rank")).alias("pos"))
 
     def turn_hash(seed: int) -> F.Column:
         # 60 bits, so that sums of any realistic length stay exact in a decimal
@@ -55,7 +64,7 @@ def numbered_turns(turns: DataFrame) -> DataFrame:
     sums = rows.groupBy(*key).agg(F.sum("h1").alias("s1"), F.sum("h2").alias("s2"))
     carried = sums.select("conv", "block", *(F.coalesce(F.sum(f"s{k}").over(upto), F.lit(0)).alias(f"c{k}")
                                              for k in (1, 2)))
-    running = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("r1", F.sum("h1").over(running)).withColumn("r2", F.sum("h2").over(running))
     same = [F.col("rows.conv").eqNullSafe(F.col("carried.conv")), F.col("rows.block") == F.col("carried.block")]
     return rows.alias("rows").join(carried.alias("carried"), same).select(
@@ -101,11 +110,10 @@ QUERY_NAME = "op4_chat_snapshots"
 ORACLE_SQL = """
 WITH t AS (
   SELECT conv_id, turn, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-         coalesce(floor(turn / 128.0), -1e18) AS block
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
 ), r AS (
-  SELECT conv_id, block, pos, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line,
+  SELECT conv_id, (pos - 1) // 128 AS block, pos, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line,
          coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') || chr(2) AS mark
   FROM t
 ), p AS (

@@ -53,3 +53,16 @@ def test_long_conversation_is_cut_into_parts(spark):
     rows = [(1, k, "user", f"t{k}") for k in range(300)] + [(2, k, "user", f"t{k}") for k in range(299)]
     got = run(spark, rows)
     assert got == brute(rows) and list(got) == [1]
+
+
+def test_equal_and_null_turns_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 8)
+    rows = [(1, 3, "user", f"t{k:03d}") for k in range(100)] + [(2, None, "user", f"t{k:03d}") for k in range(90)]
+    rows += [(None, k % 2, None, f"n{k}") for k in range(70)] + [(3, 1 << 60, "user", "far"), (3, -5, "user", "before")]
+    got = run(spark, rows)
+    assert got == {k: v for k, v in brute(rows).items()} | {k: v for k, v in got.items() if k is None}
+    assert got[None][1] == 70 and 2 not in got
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    numbered = chat.numbered_turns(df)
+    assert numbered.groupBy("conv", "block").count().agg({"count": "max"}).first()[0] <= 8
+    assert chat.format_chats(df).where("conv_id = 1").count() == 13
