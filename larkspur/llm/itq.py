@@ -233,7 +233,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         groups.join(counted, "id", "left").join(comps, "id", "left")
         .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                 F.coalesce("component", "id").alias("component_id")), "labels")
-    linked = good.join(label.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")
+    # rows of one vec_id that repeat its vector are no links of each other
+    twice = good.groupBy("vec_id").count().where("count > 1").select("vec_id")
+    own = materialise(good.join(twice, "vec_id", "left_semi").groupBy("vec_id", "embedding")
+                      .agg((F.count(F.lit(1)) - 1).alias("again")).where("again > 0"), "repeats")
+    linked = good.join(label.hint("merge"), "embedding").join(own, ["vec_id", "embedding"], "left") \
+        .select("vec_id", (F.col("n_links") - F.coalesce("again", F.lit(0))).alias("n_links"), "component_id")
     alone = rows.where(F.col("vec_id").isNull() | ~usable("embedding")) \
         .select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn(

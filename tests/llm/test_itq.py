@@ -92,3 +92,10 @@ def test_recall_with_a_common_direction(spark, monkeypatch, share, exact):
     want = near.sum(axis=1)
     assert all(g <= w for g, w in zip(got, want))
     assert sum(got) >= 0.95 * want.sum() > 0
+
+
+def test_repeated_rows_of_one_id(spark):
+    rows = [(6, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in I.near_vectors(df).collect())
+    assert got == [(6, 1, 6, True), (6, 1, 6, True), (7, 2, 6, False), (8, 0, 8, True), (8, 0, 8, True), (9, 0, 9, True)]
