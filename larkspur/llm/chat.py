@@ -38,7 +38,7 @@ RANGE_CHARS = 128
 
 
 def numbered_turns(turns: DataFrame) -> DataFrame:
-    """(conv, block, pos, role, text, p1, p2): position from 1 and prefix hashes."""
+    """(conv, block, pos, role, text, h1, h2): position from 1 and hashes of the turn."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
                         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
     order = ["conv", "turn", "role", "text"]
@@ -53,14 +53,20 @@ def numbered_turns(turns: DataFrame) -> DataFrame:
     rows = rows.alias("rows").join(starts.alias("starts"), same).select(
         "rows.conv", "rows.role", "rows.text", (F.col("before") + F.col("row") - F.col("first") + 1).alias("pos")) \
         .withColumn("block", F.floor((F.col("pos") - 1) / BLOCK_TURNS))
-    key = ["conv", "block"]
-    upto = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
     def turn_hash(seed: int) -> F.Column:
         # 60 bits, so that sums of any realistic length stay exact in a decimal
         return F.pmod(F.xxhash64(F.lit(seed), "pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text"),
-                      F.lit(1 << 60)).cast("decimal(38,0)")
-    rows = rows.withColumn("h1", turn_hash(11)).withColumn("h2", turn_hash(23))
+                      F.lit(1 << 60))
+    return rows.select("conv", "block", "pos", "role", "text", turn_hash(11).alias("h1"), turn_hash(23).alias("h2"))
+
+
+def prefix_hashes(rows: DataFrame) -> DataFrame:
+    """(conv, block, pos, p1, p2): the prefix hashes at every turn of ``numbered_turns``;
+    roles and texts take no part in it, so they are not moved."""
+    key = ["conv", "block"]
+    rows = rows.select(*key, "pos", *(F.col(f"h{k}").cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)))
+    upto = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*key).agg(F.sum("h1").alias("s1"), F.sum("h2").alias("s2"))
     carried = sums.select("conv", "block", *(F.coalesce(F.sum(f"s{k}").over(upto), F.lit(0)).alias(f"c{k}")
                                              for k in (1, 2)))
@@ -68,14 +74,14 @@ def numbered_turns(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("r1", F.sum("h1").over(running)).withColumn("r2", F.sum("h2").over(running))
     same = [F.col("rows.conv").eqNullSafe(F.col("carried.conv")), F.col("rows.block") == F.col("carried.block")]
     return rows.alias("rows").join(carried.alias("carried"), same).select(
-        "rows.conv", "rows.block", "pos", "role", "text",
+        "rows.conv", "rows.block", "pos",
         (F.col("r1") + F.col("c1")).cast("string").alias("p1"),
         (F.col("r2") + F.col("c2")).cast("string").alias("p2"))
 
 
 def maximal_conversations(rows: DataFrame) -> DataFrame:
     """(conv, n_turns, n_copies) of the conversations that are no prefix of a
-    longer one, from ``numbered_turns``; the smallest id of equal ones."""
+    longer one, from ``prefix_hashes``; the smallest id of equal ones."""
     full = rows.groupBy("conv").agg(F.max("pos").alias("n"),
                                     F.max(F.struct("pos", "p1", "p2")).alias("end"))
     whole = (full.groupBy("n", F.col("end.p1").alias("p1"), F.col("end.p2").alias("p2"))
@@ -95,7 +101,7 @@ def rendered_turn(role: str = "role", text: str = "text") -> F.Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, n_copies, text): the maximal conversations, rendered."""
     rows = materialise(numbered_turns(turns), "turns")
-    kept = materialise(maximal_conversations(rows), "maximal")
+    kept = materialise(maximal_conversations(materialise(prefix_hashes(rows), "prefixes")), "maximal")
     lines = rows.alias("r").join(kept.alias("k"), F.col("r.conv").eqNullSafe(F.col("k.conv"))).select(
         F.col("r.conv").alias("conv_id"), "block", "n_turns", "n_copies",
         F.struct("pos", rendered_turn().alias("line")).alias("line"))
