@@ -16,10 +16,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +29,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from larkspur.session import shared_dir
 from larkspur.streaming.streams import finish
 
+# Spark loads a state processor once in a process beside the driver, which has
+# neither its search path nor the files given by ``addPyFile``
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def judge(t: np.ndarray, last_miss: int | None, ttl_micros: int) -> tuple[np.ndarray, int | None]:
     """Hit flags of ordered times after a last miss, and the new last miss."""

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -78,3 +82,18 @@ def test_registered_streams_equal_sql(spark, name):
     df = E.queries()[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({E.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 100
+
+
+def test_ordered_reuse_runs_where_the_package_is_on_the_drivers_path_only(tmp_path):
+    """The process in which Spark first loads the state processor cannot import the package."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, sys.argv[1])\n"
+            "from larkspur.session import get_spark\n"
+            "import __spark_entry__ as E\n"
+            "spark = get_spark('local[2]', shuffle_partitions=2, driver_memory='1g')\n"
+            "print('ROWS', E.queries()['stream_reuse_in_order'](spark, sys.argv[2]).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, repo, SF], cwd=tmp_path, env=env, capture_output=True,
+                          text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("ROWS")[1]) > 100
