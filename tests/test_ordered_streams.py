@@ -74,6 +74,33 @@ def test_every_key_is_computed_once(spark, tmp_path):
     assert seen.value == 7
 
 
+def run_many_keys(spark, tmp_path, monkeypatch, make):
+    """Rows of 400 keys, some null, over three files in time order; 16 buckets of state."""
+    monkeypatch.setattr(streams, "KEY_BUCKETS", 16)
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.integers(1, 50 * HOUR, 3000))
+    rows = [(None if k == 0 else int(k), "ab"[int(k) % 2], (1 << 60) + i, int(m))
+            for i, (k, m) in enumerate(zip(rng.integers(0, 400, 3000), t))]
+    for j in range(3):
+        spark.createDataFrame(rows[j * 1000:(j + 1) * 1000], "k long, s string, id long, t_us long").coalesce(1) \
+            .write.parquet(str(tmp_path / "in" / f"part={j}"))
+    src = spark.readStream.schema("k long, s string, id long, t_us long, part int").option("maxFilesPerTrigger", 1) \
+        .parquet(str(tmp_path / "in")).withColumn("t", F.timestamp_micros("t_us"))
+    q = make(src).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")) \
+        .option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    streams.finish(q, 200)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 16
+    return rows, spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_reuse_keeps_one_state_for_many_keys(spark, tmp_path, monkeypatch):
+    rows, got = run_many_keys(spark, tmp_path, monkeypatch, lambda src: streams.stream_reuse_within_ttl(
+        src, ["k", "s"], "t", "t_us", "id", 6 * HOUR, "1 hour"))
+    want = plain([((k, s), t, i) for k, s, i, t in rows], 6 * HOUR)
+    assert {r.id: r.hit for r in got} == want and len(got) == len(rows)
+    assert {(r.id, r.k, r.s) for r in got} == {(i, k, s) for k, s, i, _ in rows}
+
+
 @pytest.mark.parametrize("name", ["stream_reuse_in_order", "stream_compute_once"])
 def test_registered_streams_equal_sql(spark, name):
     import duckdb
