@@ -101,6 +101,26 @@ def test_reuse_keeps_one_state_for_many_keys(spark, tmp_path, monkeypatch):
     assert {(r.id, r.k, r.s) for r in got} == {(i, k, s) for k, s, i, _ in rows}
 
 
+def test_batches_keep_one_state_for_many_keys(spark, tmp_path, monkeypatch):
+    rows, got = run_many_keys(spark, tmp_path, monkeypatch, lambda src: streams.stream_batches(
+        src, ["k", "s"], "t", "t_us", "id", 3, 9 * HOUR, "1 hour"))
+    want, open_, number = {}, {}, {}
+    for k, s, i, t in rows:
+        if open_.get((k, s)) and t >= open_[k, s][0][1] + 9 * HOUR:
+            want |= {j: (k, s, number[k, s], p + 1, "timeout") for p, (j, _) in enumerate(open_.pop((k, s)))}
+        if not open_.get((k, s)):
+            open_[k, s], number[k, s] = [], number.get((k, s), 0) + 1
+        open_[k, s].append((i, t))
+        if len(open_[k, s]) == 3:
+            want |= {j: (k, s, number[k, s], p + 1, "full") for p, (j, _) in enumerate(open_.pop((k, s)))}
+    passed = (rows[-1][3] // 1000 - 3_600_000) * 1000
+    for (k, s), batch in open_.items():
+        if (batch[0][1] + 9 * HOUR) // 1000 < passed // 1000:
+            want |= {j: (k, s, number[k, s], p + 1, "timeout") for p, (j, _) in enumerate(batch)}
+    assert {r.id: (r.k, r.s, r.batch_no, r.pos, r.reason) for r in got} == want and len(got) == len(want)
+    assert {r.reason for r in got} == {"full", "timeout"}
+
+
 @pytest.mark.parametrize("name", ["stream_reuse_in_order", "stream_compute_once"])
 def test_registered_streams_equal_sql(spark, name):
     import duckdb
