@@ -108,3 +108,23 @@ def test_odd_vectors(spark):
     assert [r.vec_id for r in knn.knn_exact(q, corpus, k=5).orderBy("rank").collect()] == [1, 3]
     with pytest.raises(Exception, match="other than 2 components"):
         knn.knn_exact(q, corpus.union(spark.createDataFrame([(5, [1.0])], corpus.schema)), k=5).collect()
+
+
+def test_search_holds_few_numbers_a_query():
+    """Neither the neighbours' vectors nor all differences are in memory at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(20000, 64)), rng.normal(size=(2000, 64))
+    top = knn._TopK(q, 10)
+    tracemalloc.start()
+    top.add(np.arange(1000), x[:1000])
+    top.add(np.arange(1000, 2000), x[1000:])
+    got = [(r["query_id"], r["vec_id"]) for b in top.results(pa.array(np.arange(20000))) for r in b.slice(0, 10).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000                             # the vectors of the neighbours alone: 102 MB
+    for j in {a for a, _ in got}:
+        d = ((q[j] - x) ** 2).sum(1)
+        assert [v for a, v in got if a == j] == np.argsort(d)[:10].tolist()
