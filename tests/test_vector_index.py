@@ -96,3 +96,25 @@ def test_odd_and_few_vectors(spark, tmp_path):
     assert got == {("a", 1, 1), ("a", 2, 3), ("a", 3, 10), ("b", 1, 10), ("b", 2, 11), ("b", 3, 12)}
     empty = V.VectorIndex.build(corpus.limit(0), str(tmp_path / "b"))
     assert empty.search(q, 3).collect() == [] and empty.stats().first().n_vectors == 0
+
+
+@pytest.mark.parametrize("nprobe", [3, 1000])
+def test_many_queries_list_no_probes(spark, tmp_path, monkeypatch, nprobe):
+    """A row per query and probed cell would be queries times cells of rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1500)] + [(7, [0.5] * 8), (1600, [float("nan")] * 8)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = V.VectorIndex.build(e, str(tmp_path / "index"), nlist=20)
+    q = e.withColumnRenamed("vec_id", "query_id").where("query_id < 1500")
+    if nprobe < index.nlist:
+        want = index.search(q, 5, nprobe)                # its probes fit the bound
+    else:
+        want = knn.knn_exact(q, e, k=5)
+    want = sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 9)) for r in want.collect() if r.query_id != 7)
+
+    def listed(*args, **kw):
+        raise AssertionError("probes listed")
+    monkeypatch.setattr(V, "probe", listed)
+    got = index.search(q, 5, nprobe, limit=20_000)
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 9)) for r in got.collect() if r.query_id != 7) == want
+    assert len(want) == 1499 * 5
