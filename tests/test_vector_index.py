@@ -118,3 +118,11 @@ def test_many_queries_list_no_probes(spark, tmp_path, monkeypatch, nprobe):
     got = index.search(q, 5, nprobe, limit=20_000)
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 9)) for r in got.collect() if r.query_id != 7) == want
     assert len(want) == 1499 * 5
+
+
+def test_every_vector_is_asked(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    found = {(r.query_id, r.vec_id) for r in E.queries()["knn_ivf"](spark, SF).collect()}
+    exact = {(r.query_id, r.vec_id) for r in E.queries()["knn_exact"](spark, SF).collect()}
+    assert {q for q, _ in found} == ids
+    assert len(found & exact) >= 0.9 * len(exact)
