@@ -146,3 +146,19 @@ def test_small_scan_is_dealt_to_all_cores(spark):
     assert T.spread(rows).count() == 100
     wide = spark.range(100, numPartitions=cores + 1)
     assert T.spread(wide) is wide
+
+
+def test_packing_holds_one_text_at_a_time():
+    """Of a batch of 200 texts of 1 MB only the packed ones are held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from larkspur.operators import payload
+    texts = pa.array(["x" * 1_000_000, None] * 200)
+    tracemalloc.start()
+    packed = payload._zlib_compress.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000 and packed.null_count == 200
+    assert payload._zlib_decompress.func(packed.slice(0, 4)).equals(texts.slice(0, 4))
+    assert payload._zlib_decompress.func(pa.array([b"no", None])).to_pylist() == [None, None]
