@@ -1,13 +1,15 @@
 """R2 and J9 on streams whose rows come out of order.
 
-* ``stream_reuse_in_order`` (R2): rows wait in the key's state until the
-  watermark has passed them and are then judged in the order (time, id), so the
-  result is that of the batch fold however rows are spread over micro-batches.
-  Waiting rows are kept by time slot, and one slot is all that is held at a
-  time, also for a key with a third of all rows.  An event-time timer per key
-  wakes it when its oldest waiting row is due, and removes the entry when it can
-  give no more hits.  Rows later than the watermark are dropped by Spark; rows
-  the final watermark has not passed stay in state.
+* ``stream_reuse_in_order`` (R2): rows wait in state until the watermark has
+  passed them and are then judged in the order (time, id), so the result is that
+  of the batch fold however rows are spread over micro-batches.  A call to the
+  state takes part of a millisecond, so keys are dealt to ``ORDERED_BUCKETS``
+  buckets, and a bucket is the unit of state.  Its waiting rows are kept by time
+  slot, in the parts in which they came; one slot is all that is held at a time,
+  also for a key with a third of all rows.  Event-time timers wake a bucket when
+  its oldest waiting row is due, and remove the entries that can give no more
+  hits.  Rows without a time or later than the watermark are dropped; rows the
+  final watermark has not passed stay in state.
 * ``stream_compute_once`` (J9): repeats of a key within the watermark never
   reach the scorer (``dropDuplicatesWithinWatermark``); of the others only keys
   without a written answer do.  Each micro-batch writes its answers under its
@@ -16,6 +18,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 
@@ -27,12 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from larkspur.session import shared_dir
-from larkspur.streaming.streams import finish
+from larkspur.streaming.streams import _by_bucket, _out_schema, _restored, finish
 
 # Spark loads a state processor once in a process beside the driver, which has
 # neither its search path nor the files given by ``addPyFile``
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Units of state, and rows of one that are put into it or handed on at once.
+ORDERED_BUCKETS = 256
+_STATE_ROWS = 50_000
+
 
 def judge(t: np.ndarray, last_miss: int | None, ttl_micros: int) -> tuple[np.ndarray, int | None]:
     """Hit flags of ordered times after a last miss, and the new last miss."""
@@ -46,68 +53,137 @@ def judge(t: np.ndarray, last_miss: int | None, ttl_micros: int) -> tuple[np.nda
     return hit, last_miss
 
 
+def judge_in_turn(t: list[int], names: list, last: dict, ttl_micros: int) -> list[bool]:
+    """Hit flags of rows in order of time, of many keys; ``last`` is each key's
+    last miss and is brought up to date."""
+    hit = []
+    for at, name in zip(t, names):
+        miss = last.get(name)
+        hit.append(miss is not None and at - miss <= ttl_micros)
+        if not hit[-1]:
+            last[name] = at
+    return hit
+
+
+def _by_time(t: list[int], names: list, ids: list) -> tuple[list, list, list]:
+    """Rows by (time, id), null ids last."""
+    order = sorted(range(len(t)), key=lambda i: (t[i], ids[i] is None, 0 if ids[i] is None else ids[i]))
+    return [t[i] for i in order], [names[i] for i in order], [ids[i] for i in order]
+
+
 class _OrderedReuse(StatefulProcessor):
-    """State of a key: its last miss, and the rows the watermark has not passed."""
+    """State of a bucket of keys: each key's last miss, and the rows the watermark
+    has not passed, by (slot, part); ``slots`` has the parts and the first time of each."""
 
-    def __init__(self, keys: list[str], id_col: str, id_type: str, ttl_micros: int, slot_micros: int):
-        self.keys, self.id_col, self.id_type = keys, id_col, id_type
+    def __init__(self, keys: list[str], id_col: str, types: dict[str, str], ttl_micros: int, slot_micros: int):
+        self.keys, self.id_col, self.types = keys, id_col, types
         self.ttl, self.slot = ttl_micros, slot_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        names = ", ".join(f"k{i} array<{self.types[k]}>" for i, k in enumerate(self.keys))
         self.handle = handle
-        self.last = handle.getValueState("last_miss", "t long")
-        self.waiting = handle.getMapState("waiting", "slot long", f"t array<long>, ids array<{self.id_type}>")
+        self.last = handle.getValueState("last_miss", f"{names}, t array<long>")
+        self.slots = handle.getValueState("slots", "slot array<long>, parts array<int>, first array<long>")
+        # pickled columns: Spark would take every value of an array by itself
+        self.waiting = handle.getMapState("waiting", "slot long, part int", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        held, some, n, earliest = self._held(), [], 0, []
         for pdf in rows:
-            t, ids = pdf["time_micros"].to_numpy(np.int64), pdf[self.id_col].to_numpy()
-            slots = t // self.slot
-            for s in np.unique(slots).tolist():
-                mine = slots == s
-                old = self.waiting.getValue((s,)) if self.waiting.containsKey((s,)) else None
-                head = (list(old[0]), list(old[1])) if old is not None else ([], [])
-                self.waiting.updateValue((s,), (head[0] + t[mine].tolist(), head[1] + ids[mine].tolist()))
-            if len(t):
-                earliest = min(int(t.min()), earliest if earliest is not None else int(t.min()))
-        if earliest is not None:
-            self._wake(earliest, timerValues)
+            some.append(pdf)
+            n += len(pdf)
+            if n >= _STATE_ROWS:
+                earliest.append(self._wait(pd.concat(some, ignore_index=True), held))
+                some, n = [], 0
+        if n:
+            earliest.append(self._wait(pd.concat(some, ignore_index=True), held))
+        if earliest:
+            self._keep(held)
+            self._wake(min(earliest))
         return iter([])
 
-    def _wake(self, micros: int, timerValues) -> None:
-        """A timer for when the watermark has reached ``micros``."""
-        self.handle.registerTimer(max(micros // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+    def _held(self) -> dict[int, list[int]]:
+        """slot -> [parts, first time]"""
+        slots = self.slots.get()
+        return {s: [p, f] for s, p, f in zip(*slots)} if slots is not None else {}
+
+    def _keep(self, held: dict[int, list[int]]) -> None:
+        if held:
+            self.slots.update((list(held), [p for p, _ in held.values()], [f for _, f in held.values()]))
+        else:
+            self.slots.clear()
+
+    def _put(self, slot: int, held: dict[int, list[int]], t: list[int], names: list, ids: list) -> None:
+        entry = held.setdefault(slot, [0, t[0]])
+        self.waiting.updateValue((slot, entry[0]), (pickle.dumps((list(zip(*names)), ids, t)),))
+        held[slot] = [entry[0] + 1, min(entry[1], t[0])]
+
+    def _wait(self, pdf: pd.DataFrame, held: dict[int, list[int]]) -> int:
+        """Adds a part to every slot that ``pdf`` has rows of; the first time of its rows."""
+        from larkspur.streaming.streams import _with_nulls
+        n = len(self.keys) + 1                           # by place: Spark renames columns that begin with _
+        columns = [_with_nulls(pdf.iloc[:, 3 + i].tolist(), pdf.iloc[:, 3 + n + i].to_numpy(bool)) for i in range(n)]
+        t, names, ids = _by_time(pdf.iloc[:, 2].tolist(), list(zip(*columns[:-1])), columns[-1])
+        of = np.asarray(t, np.int64) // self.slot
+        starts = np.flatnonzero(np.insert(of[1:] != of[:-1], 0, True)).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(t)]):
+            self._put(int(of[lo]), held, t[lo:hi], names[lo:hi], ids[lo:hi])
+        return t[0]
+
+    def _take(self, slot: int, parts: int) -> tuple[list, list, list]:
+        """The rows of a slot in order, removed from state."""
+        from larkspur.streaming.streams import _with_nulls
+        t, names, ids = [], [], []
+        for p in range(parts):
+            columns, more_ids, more_t = pickle.loads(self.waiting.getValue((slot, p))[0])
+            t += more_t
+            names += zip(*[_with_nulls(list(c), np.zeros(0, bool)) for c in columns])
+            ids += more_ids
+            self.waiting.removeKey((slot, p))
+        return _by_time(t, names, ids) if parts > 1 else (t, names, ids)
+
+    def _wake(self, micros: int) -> None:
+        """A timer that is due as soon as the watermark has reached ``micros``
+        (Spark's are due once it is beyond them)."""
+        self.handle.registerTimer(-(-micros // 1000) - 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        from larkspur.streaming.streams import _rows_out, _with_nulls
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        last = self.last.get()[0] if self.last.exists() else None
-        left = None
-        for s in sorted(k[0] for k in self.waiting.keys()):
-            if s * self.slot > passed:
-                left = s
-                break
-            t, ids = self.waiting.getValue((s,))
-            t, ids = np.asarray(t, np.int64), np.asarray(ids)
-            order = np.lexsort((ids, t))
-            t, ids = t[order], ids[order]
-            n = int(np.searchsorted(t, passed, side="right"))
-            hit, last = judge(t[:n], last, self.ttl)
-            if n:
-                out = {k: np.repeat(np.asarray([v]), n) for k, v in zip(self.keys, key)}
-                out[self.id_col], out["hit"] = ids[:n], hit
-                yield pd.DataFrame(out)
+        held, last, stored = self._held(), {}, self.last.get()
+        if stored is not None:
+            *names, times = stored
+            last = dict(zip(zip(*[_with_nulls(list(v), np.zeros(0, bool)) for v in names]), times))
+        due = sorted(s for s, (_, first) in held.items() if first <= passed)
+        if not due and all(m + self.ttl >= passed for m in last.values()):
+            return                                       # another timer of this batch has done it
+        kept, out_names, out_ids, out_hit = len(last), [], [], []
+        for s in due:
+            t, names, ids = self._take(s, held.pop(s)[0])
+            n = int(np.searchsorted(np.asarray(t, np.int64), passed, side="right"))
+            out_hit += judge_in_turn(t[:n], names[:n], last, self.ttl)
+            out_names += names[:n]
+            out_ids += ids[:n]
             if n < len(t):
-                self.waiting.updateValue((s,), (t[n:].tolist(), ids[n:].tolist()))
-                self._wake(int(t[n]), timerValues)
-                break
-            self.waiting.removeKey((s,))
-        if left is not None:
-            self._wake(int(min(self.waiting.getValue((left,))[0])), timerValues)
-        if last is not None and last + self.ttl < passed:
-            self.last.clear()                            # no later row can be a hit of it
-        elif last is not None:
-            self.last.update((last,))
-            self._wake(last + self.ttl + 1000, timerValues)
+                self._put(s, held, t[n:], names[n:], ids[n:])
+            if len(last) > 2 * kept + _STATE_ROWS:       # keys that later rows cannot hit
+                last = {k: m for k, m in last.items() if m + self.ttl >= t[n - 1]}
+                kept = len(last)
+            if len(out_ids) >= _STATE_ROWS:
+                yield _rows_out(self.keys, out_names, self.id_col, out_ids, self.types, hit=out_hit)
+                out_names, out_ids, out_hit = [], [], []
+        if out_ids:
+            yield _rows_out(self.keys, out_names, self.id_col, out_ids, self.types, hit=out_hit)
+        if due:
+            self._keep(held)
+        if held:
+            self._wake(min(first for _, first in held.values()))
+        last = {k: m for k, m in last.items() if m + self.ttl >= passed}
+        if last:
+            self.last.update((*[list(c) for c in zip(*last)], list(last.values())))
+            self._wake(max(last.values()) + self.ttl + 1)
+        else:
+            self.last.clear()
 
     def close(self) -> None:
         pass
@@ -115,12 +191,15 @@ class _OrderedReuse(StatefulProcessor):
 
 def stream_reuse_in_order(events: DataFrame, keys: list[str], ts: str, ts_micros: str, id_col: str,
                           ttl_micros: int, watermark: str, slot_micros: int = 3_600_000_000) -> DataFrame:
-    """R2 -> (keys..., id_col, hit) of the rows the watermark has passed."""
-    types = {c: events.schema[c].dataType.simpleString() for c in [*keys, id_col]}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, id_col]) + ", hit boolean"
-    src = events.select(*keys, id_col, ts, F.col(ts_micros).alias("time_micros")).withWatermark(ts, watermark)
-    return src.groupBy(*keys).transformWithStateInPandas(
-        _OrderedReuse(keys, id_col, types[id_col], ttl_micros, slot_micros), schema, "Append", "EventTime")
+    """R2 -> (keys..., id_col, hit) of the rows the watermark has passed.  Its state
+    needs RocksDB: in a session not of ``get_spark``, start it by ``run_to_sink(..., rocksdb=True)``."""
+    cols = [*keys, id_col]
+    types = {c: events.schema[c].dataType.simpleString() for c in cols}
+    timed = events.where(F.col(ts).isNotNull() & F.col(ts_micros).isNotNull())
+    out = _by_bucket(timed, keys, ts, ts_micros, id_col, watermark, ORDERED_BUCKETS).transformWithStateInPandas(
+        _OrderedReuse(keys, id_col, types, ttl_micros, slot_micros), _out_schema(cols, types, "hit boolean"),
+        "Append", "EventTime")
+    return _restored(out, cols, "hit")
 
 
 def stream_compute_once(requests: DataFrame, key: str, ts: str, watermark: str,

@@ -144,3 +144,68 @@ def test_ordered_reuse_runs_where_the_package_is_on_the_drivers_path_only(tmp_pa
                           text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert int(done.stdout.split("ROWS")[1]) > 100
+
+
+def test_ordered_reuse_runs_where_the_session_keeps_state_elsewhere(spark):
+    """It needs RocksDB, which only ``get_spark`` sets; the session's own setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own, hdfs = spark.conf.get(name), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    try:
+        for other in (hdfs, None):
+            spark.conf.set(name, other) if other else spark.conf.unset(name)
+            assert E.queries()["stream_reuse_in_order"](spark, SF).count() > 100
+            assert spark.conf.getAll.get(name) == other
+    finally:
+        spark.conf.set(name, own)
+
+
+def test_ordered_reuse_keeps_few_states_for_odd_keys(spark, tmp_path, monkeypatch):
+    """Null keys, ids and times, repeated rows, ids that no double holds; a row exactly at the final
+    watermark, and one that comes last but is due at once.  State is per bucket and slot, not per key."""
+    monkeypatch.setattr(ordered, "ORDERED_BUCKETS", 4)
+    monkeypatch.setattr(ordered, "_STATE_ROWS", 100)
+    rng = np.random.default_rng(5)
+    n, end = 1500, 60 * HOUR
+    t = np.sort(rng.integers(HOUR, end, n))
+    t[-1] = end
+    rows = [(None if k == 0 else int(k), "ab"[int(k) % 2] if k % 7 else None, (1 << 60) + i, int(m))
+            for i, (k, m) in enumerate(zip(rng.integers(0, 500, n), t))]
+    rows[5] = (*rows[5][:2], None, rows[5][3])
+    rows[700:700] = [rows[699]] * 3
+    arrival = sorted(range(len(rows)), key=lambda i: rows[i][3] + int(rng.integers(0, HOUR)))
+    files = [[rows[i] for i in part] for part in np.array_split(arrival, 4)]
+    files[1] += [(3, "b", 7, None), (None, None, 8, None)]                   # no time: never passed
+    files[3] += [(901, "a", 9, end - 2 * HOUR)]                              # at the final watermark
+    files.append([(902, "a", 10, end - 2 * HOUR - 1), (902, "a", 11, end - 2 * HOUR)])
+    for j, part in enumerate(files):
+        spark.createDataFrame(part, "k long, s string, id long, t_us long").coalesce(1) \
+            .write.parquet(str(tmp_path / "in" / f"part={j}"))
+    src = spark.readStream.schema("k long, s string, id long, t_us long, part int").option("maxFilesPerTrigger", 1) \
+        .parquet(str(tmp_path / "in")).withColumn("t", F.timestamp_micros("t_us"))
+    out = ordered.stream_reuse_in_order(src, ["k", "s"], "t", "t_us", "id", 20 * HOUR, "2 hours", 6 * HOUR)
+    q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")) \
+        .option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    streams.finish(q, 200)
+    last, want = {}, []
+    for k, s, i, m in sorted((r for part in files for r in part if r[3] is not None),
+                             key=lambda r: (r[3], r[2] is None, r[2] or 0)):
+        hit = (k, s) in last and m - last[k, s] <= 20 * HOUR
+        if not hit:
+            last[k, s] = m
+        if m <= end - 2 * HOUR:
+            want.append((k, s, i, hit))
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("k", "s", "id", "hit").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {9, 10, 11, None} <= {r[2] for r in got} and {r[3] for r in got} == {True, False}
+    # a part a slot, time and flush, the two values and the timers of a bucket; over 800 keys wait
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 200 < len({r[:2] for r in rows})
+
+
+def test_rows_of_many_keys_are_judged_as_key_by_key():
+    rng = np.random.default_rng(2)
+    t, k = np.sort(rng.integers(0, 500, 400)), rng.integers(0, 20, 400)
+    last = {(3,): -5}
+    hit = np.array(ordered.judge_in_turn(t.tolist(), [(int(j),) for j in k], last, 40))
+    for j in range(20):
+        want, miss = ordered.judge(t[k == j], -5 if j == 3 else None, 40)
+        assert hit[k == j].tolist() == want.tolist() and last[j,] == miss
