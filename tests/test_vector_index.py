@@ -126,3 +126,38 @@ def test_every_vector_is_asked(spark):
     exact = {(r.query_id, r.vec_id) for r in E.queries()["knn_exact"](spark, SF).collect()}
     assert {q for q, _ in found} == ids
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+#: What ``knn_ivf`` was compared with before its cells were trained: every vector asked, the 4 nearest of 16 picked cells.
+GIVEN_CELLS_SQL = """
+WITH c AS (SELECT CAST(vec_id AS INTEGER) AS cell, embedding::DOUBLE[] AS center FROM embeddings
+           ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT 16),
+d AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, c.cell,
+             row_number() OVER (PARTITION BY e.vec_id
+                                ORDER BY list_distance(e.embedding::DOUBLE[], c.center), c.cell) AS r
+      FROM embeddings e, c)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM (
+  SELECT q.vec_id AS query_id, a.vec_id, pow(list_distance(a.v, q.v), 2) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(a.v, q.v), a.vec_id) AS rank
+  FROM d q JOIN d a ON a.cell = q.cell AND a.r = 1 WHERE q.r <= 4)
+WHERE rank <= 10
+"""
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 20_000])
+def test_search_of_given_cells_equals_sql(spark, limit):
+    """The search of ``knn_ivf``, row by row, where SQL knows the cells."""
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    want = con.execute(GIVEN_CELLS_SQL).fetchall()
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    centre = F.col("embedding").cast("array<double>")
+    cells = e.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary"))).limit(16) \
+        .select(F.col("vec_id").cast("int").alias("cell"), F.col("vec_id").cast("int").alias("cell_group"),
+                centre.alias("center"), centre.alias("group_center")).localCheckpoint()
+    stored = V.assign(V.sound_vectors(e), cells).localCheckpoint()
+    got = V.search_cells(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), stored, cells,
+                          nprobe=4, k=10, limit=limit).select("query_id", "rank", "vec_id", F.round("distance", 6))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len({r[0] for r in want}) == e.count() and len(want) == 10 * e.count()
